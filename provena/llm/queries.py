@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import decontam, mixing, quality, simhash
+from provena.llm import decontam, lines, mixing, quality, simhash, urls, warc
+from provena.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,35 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed_lines").alias("n_removed_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.archived_pages(spark, folder)
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urls.judge_urls(urls.captures_of(pages), urls.entries_of(pages))
+    return found.select(
+        "page_id", F.date_format("fetched_on", "yyyy-MM-dd").alias("fetched_on"), F.col("_host").alias("host"), F.col("_pattern").alias("pattern"),
+        F.col("_action").alias("action"), F.col("_kept").alias("kept"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op9_warc": op9_warc,
+    "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE, "op9_warc": warc.ORACLE, "op10_url_filters": urls.ORACLE}

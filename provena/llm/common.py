@@ -49,6 +49,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits of MD5 over id and text: rows share it only if they repeat both."""
+    own = F.coalesce(doc_id.cast("string"), F.lit("-"))
+    return F.md5(F.concat(own, F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), text.cast("string")))).cast("binary"))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import materialise, n_words, running_total
+from provena.llm.common import materialise, n_words, row_key, running_total
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -88,3 +88,15 @@ def mix(
         turns = sum((F.when(place(k) <= stop, 1).otherwise(0) for k in range(repeats)), F.lit(0))
         taken = F.when(F.col("size") > 0, F.col("size") * turns).otherwise(F.lit(0)).cast("long")
     return shares.select("doc_id", F.col("raw_source").alias("source"), "size", "source_size", "target", taken.alias("taken"), *carry)
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target and taken."""
+    keyed = docs.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
+    slim = keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), "_key")
+    found = mix(slim, carry=("_key",), **options)
+    # Rows that repeat id and text share a key and are told apart by number.
+    taken = found.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("taken", "source")))
+    rows = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(source)))
+    own = ["size", "source_size", "target", "taken"]
+    return rows.drop(*own).join(taken.where("taken > 0").select("_key", "_nth", *own), ["_key", "_nth"]).drop("_key", "_nth")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import decontam, lines, mixing, quality, simhash, urls, warc
+from provena.llm import chat, decontam, lines, mixing, quality, simhash, tokens, urls, warc
 from provena.llm.common import new_path
 
 
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -41,6 +45,13 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ledger = table(spark, sf_dir, "documents"), tokens.Ledger(spark)
+    for name in tokens.VOCABULARIES:
+        ledger.apply(f"load-{name.partition('.')[0]}", tokens.inserts(docs, f"{tokens.vocabulary_dir()}/{name}"))
+    return ledger.totals()
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -58,10 +69,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_url_filters": op10_url_filters,
 }

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import as_bytes, materialise
+from provena.llm.common import as_bytes, materialise, row_key
 from provena.llm.graph import components
 
 SHINGLE = 4
@@ -119,17 +119,20 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS, dense: int = DENSE
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS, dense: int = DENSE, carry: tuple = ()
 ) -> DataFrame:
-    """(doc_id, fp long, component_id): component_id is the smallest doc_id reachable over links."""
-    prints = materialise(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "prints")
+    """(doc_id, fp long, label, component_id, *carry): component_id is the smallest doc_id reachable over links.
+
+    label is the component's least fingerprint; it is never null.
+    """
+    prints = materialise(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp"), *carry), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = near_links(nodes, max_bits, blocks, dense)
     labels = components(links)
     grouped = nodes.join(labels, nodes.fp == labels.id, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     class_ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = materialise(grouped.join(class_ids, "label").select("fp", "component_id"), "classes")
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = materialise(grouped.join(class_ids, "label").select("fp", "label", "component_id"), "classes")
+    return prints.join(found, "fp").select("doc_id", "fp", "label", "component_id", *carry)
 
 
 def as_hex(fp: Column) -> Column:
@@ -137,10 +140,10 @@ def as_hex(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with the smallest doc_id of each near-duplicate group, one row of each."""
-    tagged = docs.withColumn("_key", F.xxhash64(F.col(text).cast("string"))).withColumn("_id", F.col(doc_id))
-    found = near_duplicates(tagged.select("_id", "_key", text), "_id", text)
-    keepers = found.groupBy("component_id").agg(F.count("*").alias("n")).select(F.col("component_id").alias("_keep"))
-    kept = tagged.join(keepers, F.col("_id").eqNullSafe(F.col("_keep")))
-    first = F.row_number().over(Window.partitionBy("_keep").orderBy("_key"))
-    return kept.withColumn("_nth", first).where("_nth = 1").drop("_key", "_id", "_keep", "_nth")
+    """The row of docs with the smallest doc_id (null last, then least text hash) of each near-duplicate group."""
+    keyed = docs.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
+    found = near_duplicates(keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "_key"), carry=("_key",))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    keepers = found.groupBy("label").agg(F.min(order)["_key"].alias("_key")).select("_key")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))  # rows that repeat id and text
+    return keyed.join(keepers, "_key").withColumn("_nth", nth).where("_nth = 1").drop("_key", "_nth")

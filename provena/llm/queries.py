@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import chat, decontam, lines, mixing, quality, simhash, tokens, urls, warc
+from provena.llm import chat, decontam, lines, mixing, quality, simhash, suffix, tokens, urls, warc
 from provena.llm.common import new_path
 
 
@@ -38,6 +38,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_substrings(table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,

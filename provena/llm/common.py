@@ -2,49 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from provena.sources.shared import materialise, new_path, shared_dir
+
+__all__ = ["as_bytes", "materialise", "n_words", "new_path", "partitions", "row_key", "running_total", "shared_dir"]
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\r\x0b\x0c"
 #: UTF-8 continuation bytes; without them one byte stands for one code point.
 CONTINUATION = bytes(range(0x80, 0xC0))
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _own_dirs[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def as_bytes(texts: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text of an Arrow batch; null counts as empty."""
-    return [b or b"" for b in texts.cast(pa.binary()).to_pylist()]
-
-
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

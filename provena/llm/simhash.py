@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.llm.common import as_bytes, materialise, row_key
-from provena.llm.graph import components
+from provena.operators.graph import components
 
 SHINGLE = 4
 MAX_BITS = 4

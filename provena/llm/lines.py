@@ -30,7 +30,9 @@ def line_hash(line: Column) -> Column:
 
 def chunked(docs: DataFrame, text: str = "text", divisor: int = DIVISOR) -> DataFrame:
     """docs with _lines and _chunks, an array of (start, stop): first and last line, from 1."""
-    ends = f"filter(sequence(1, size(_hashes)), i -> i = size(_hashes) or (i >= {WINDOW} and (_hashes[i - 2] * 31 + _hashes[i - 1]) % {divisor} = 0))"
+    pairs = "zip_with(slice(_hashes, 1, size(_hashes) - 1), slice(_hashes, 2, size(_hashes)), (p, h) -> (p * 31 + h) % {0} = 0)".format(divisor)
+    cuts = f"filter(transform({pairs}, (cut, i) -> if(cut, i + {WINDOW}, 0)), e -> e > 0)"
+    ends = f"array_union({cuts}, array(size(_hashes)))"
     starts = "concat(array(1), transform(slice(_ends, 1, size(_ends) - 1), e -> e + 1))"
     return (
         docs.withColumn("_lines", F.split(F.col(text).cast("string"), "\n", -1))
@@ -41,8 +43,10 @@ def chunked(docs: DataFrame, text: str = "text", divisor: int = DIVISOR) -> Data
     )
 
 
-def chunk_text(start: str = "start", stop: str = "stop") -> Column:
-    return F.expr(f"array_join(slice(_lines, {start}, {stop} - {start} + 1), '\\n')")
+def bodies(which: str) -> Column:
+    """Array of (start, body) of the chunks c for which the SQL condition holds; rows carry no array of all lines."""
+    body = "array_join(slice(_lines, c.start, c.stop - c.start + 1), '\\n')"
+    return F.expr(f"transform(filter(_chunks, c -> {which}), c -> struct(c.start as start, {body} as body))")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -57,8 +61,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor
     """(_id, _th, gone): for each document that loses chunks, the first lines of these chunks."""
     key = ["_id", "_th"]
     parts = _keyed(docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")), "_d", "_t").select(*key, "_t")
-    body = chunked(parts, "_t", divisor).drop("_t").select(*key, "_lines", F.explode("_chunks").alias("c"))
-    found = body.where("c.stop > c.start").select(*key, F.col("c.start").alias("start"), chunk_text("c.start", "c.stop").alias("body"))
+    # explode_outer: for a plain explode Spark adds a filter on the array, which computes it twice, within its own lambdas.
+    found = chunked(parts, "_t", divisor).select(*key, F.explode_outer(bodies("c.stop > c.start")).alias("c")).where("c is not null").select(*key, "c.*")
     slim = materialise(
         found.select(*key, "start", F.xxhash64("body").alias("h"), _several_lines(F.col("body")).alias("several")).where("several").drop("several").distinct(), "chunks"
     )
@@ -67,10 +71,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor
     marked = materialise(marked.select(F.col("_id").alias("m_id"), F.col("_th").alias("m_th"), "starts"), "marked")
 
     wanted = parts.join(marked, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_th") == F.col("m_th")))
-    chosen = (
-        chunked(wanted, "_t", divisor).drop("_t").select(*key, "_lines", F.explode(F.filter("_chunks", lambda c: F.array_contains("starts", c["start"]))).alias("c"))
-        .select(*key, F.col("c.start").alias("start"), chunk_text("c.start", "c.stop").alias("body")).withColumn("h", F.xxhash64("body"))
-    )
+    chosen = chunked(wanted, "_t", divisor).select(*key, F.explode_outer(bodies("array_contains(starts, c.start)")).alias("c")).where("c is not null")
+    chosen = chosen.select(*key, "c.*").withColumn("h", F.xxhash64("body"))
     chosen = materialise(chosen, "candidates")
     place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "start")
     first = chosen.groupBy("h", "body").agg(F.min(place).alias("first"))

@@ -1,6 +1,6 @@
 """All registered queries of the library and their SQL twins."""
 
-from provena.plans import screening
+from provena.plans import evidence, screening
 
-QUERIES = screening.QUERIES
-ORACLES = screening.ORACLES
+QUERIES = screening.QUERIES | evidence.QUERIES
+ORACLES = screening.ORACLES | evidence.ORACLES

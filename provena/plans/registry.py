@@ -1,6 +1,6 @@
 """All registered queries of the library and their SQL twins."""
 
-from provena.plans import evidence, screening
+from provena.plans import evidence, imports, screening
 
-QUERIES = screening.QUERIES | evidence.QUERIES
-ORACLES = screening.ORACLES | evidence.ORACLES
+QUERIES = screening.QUERIES | evidence.QUERIES | imports.QUERIES
+ORACLES = screening.ORACLES | evidence.ORACLES | imports.ORACLES

@@ -70,7 +70,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor
     marked = slim.join(twice, "h").groupBy(*key).agg(F.collect_set("start").alias("starts"))
     marked = materialise(marked.select(F.col("_id").alias("m_id"), F.col("_th").alias("m_th"), "starts"), "marked")
 
-    wanted = parts.join(marked, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_th") == F.col("m_th")))
+    # Joins of whole texts are merges at every size: the plan, and what it shuffles, does not change as tables grow.
+    wanted = parts.join(marked.hint("merge"), F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_th") == F.col("m_th")))
     chosen = chunked(wanted, "_t", divisor).select(*key, F.explode_outer(bodies("array_contains(starts, c.start)")).alias("c")).where("c is not null")
     chosen = chosen.select(*key, "c.*").withColumn("h", F.xxhash64("body"))
     chosen = materialise(chosen, "candidates")
@@ -83,7 +84,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
     """docs with `text` less its repeated chunks, and _n_lines and _n_removed_lines."""
     gone = repeats(docs, doc_id, text, divisor).select(F.col("_id").alias("m_id"), F.col("_th").alias("m_th"), "gone")
-    joined = _keyed(docs, doc_id, text).join(gone, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_th") == F.col("m_th")), "left")
+    joined = _keyed(docs, doc_id, text).join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_th") == F.col("m_th")), "left")
     cut = chunked(joined, text, divisor)
     stay = F.filter("_chunks", lambda c: ~F.array_contains("gone", c["start"]))
     lost = F.filter("_chunks", lambda c: F.array_contains("gone", c["start"]))

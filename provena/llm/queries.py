@@ -58,7 +58,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, compress=True)
     return warc.archived_pages(spark, folder)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import as_bytes, materialise, row_key
+from provena.llm.common import as_bytes, materialise, partitions, row_key
 from provena.operators.graph import components
 
 SHINGLE = 4
@@ -112,7 +112,8 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
         raise ValueError("midpoints need an even number of bits")
     flips = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)]
     crowd = members.where(F.col("n") > dense).select("fp").distinct()
-    around = crowd.select("fp", F.explode(_long_array(flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
+    spread = crowd.repartition(partitions(nodes.sparkSession), "fp")  # few rows by now, but each makes len(flips)
+    around = spread.select("fp", F.explode(_long_array(flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     met = around.groupBy("mid").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("mid", "b")
     through = around.join(met, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.unionByName(through)

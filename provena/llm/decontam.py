@@ -189,3 +189,26 @@ def digest(items: Column) -> Column:
 
 
 __all__ = ["WINDOW", "clean", "covered", "digest", "find", "hits", "index_of", "judged", "words_of"]
+
+
+ORACLE = r"""
+with fold as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), items as (
+  select item_id::varchar as item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), windows as (
+  select distinct item_id, least(len(w), 13) as size, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as body
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from items where len(w) > 0)
+), places as (
+  select rid, w, i, size from (select rid, w, unnest(range(1, len(w) + 1)) as i from fold), (select distinct size from windows) where i + size - 1 <= len(w)
+), hits as (
+  select p.rid, p.i, p.size, x.item_id from places p join windows x on x.size = p.size and x.body = array_to_string(p.w[p.i:p.i + p.size - 1], ' ')
+), words as (
+  select rid, count(distinct j) as n_hit from (select rid, unnest(range(i, i + size)) as j from (select distinct rid, i, size from hits)) group by rid
+), found as (
+  select rid, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct rid, item_id from hits where item_id is not null) group by rid
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from fold left join words using (rid) left join found using (rid)
+"""

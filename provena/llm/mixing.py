@@ -100,3 +100,34 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     rows = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(source)))
     own = ["size", "source_size", "target", "taken"]
     return rows.drop(*own).join(taken.where("taken > 0").select("_key", "_nth", *own), ["_key", "_nth"]).drop("_key", "_nth")
+
+
+ORACLE = r"""
+with sized as (
+  select row_number() over () as rid, doc_id, source is null as no_source, coalesce(source, '') as source,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|mix-1'), 1, 15))::bigint as key from documents
+), totals as (
+  select no_source, source, sum(size)::bigint as source_size from sized group by all
+), weighed as (
+  select *, row_number() over (order by no_source, source) - 1 as rank, [1, 2, 3][(row_number() over (order by no_source, source) - 1) % 3 + 1] as weight from totals
+), ratios as (
+  select *, (3 * source_size)::double / weight as ratio from weighed
+), levels as (
+  select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over e, 0))::double / (sum(weight) over () - coalesce(sum(weight) over e, 0)) as level
+  from ratios window e as (order by ratio, rank rows between unbounded preceding and 1 preceding)
+), targets as (
+  select no_source, source, source_size, least((3 * source_size)::double, (select first(level order by ratio, rank) from levels where level <= ratio) * weight) as target from levels
+), shares as (
+  select s.*, t.source_size, t.target, sum(s.size) over (partition by s.no_source, s.source order by s.key, s.doc_id nulls first, s.size rows unbounded preceding) as so_far
+  from sized s join targets t using (no_source, source)
+), offers as (
+  select rid, size, key, no_source, source, doc_id, so_far, turn, (turn * source_size + so_far)::double / target as finish
+  from shares, (select unnest([0, 1, 2]) as turn) where size > 0 and target > 0
+), spent as (
+  select *, sum(size) over (order by finish, turn, key, no_source, source, doc_id nulls first, so_far rows unbounded preceding) as spent from offers
+), taken as (
+  select rid, count(*) as n from spent where spent <= (select sum(size) from sized) group by rid
+)
+select doc_id, size, source_size, target, (size * coalesce(n, 0))::bigint as taken from shares left join taken using (rid)
+"""

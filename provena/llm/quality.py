@@ -191,3 +191,38 @@ def keep_good(docs: DataFrame, text: str = "text", rules: Iterable[Rule] = RULES
     """The rows of docs that the cascade keeps, with their own columns."""
     judged = docs.select(F.struct("*").alias("_row"), verdict(F.col(text), fit_order(docs, rules, text))["kept"].alias("_kept"))
     return judged.where("_kept").select("_row.*")
+
+
+ORACLE = r"""
+with docs as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents
+), words as (
+  select rid, unnest(w) as word, generate_subscripts(w, 1) as i from (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from docs)
+), windows as (
+  select rid, i, word, lead(word, 1) over o as w1, lead(word, 2) over o as w2 from words window o as (partition by rid order by i)
+), twice as (
+  select rid, i from (select rid, i, count(*) over (partition by rid, word, w1, w2) as n from windows where w2 is not null) where n > 1
+), covered as (
+  select rid, count(*) as n from (select rid, i from twice union select rid, i + 1 from twice union select rid, i + 2 from twice) group by rid
+), per_word as (
+  select rid, count(*) as n_words, sum(length(word)) as word_chars, sum((not regexp_matches(word, '[A-Za-z]|[^\x00-\x7F]'))::int) as bare from words group by rid
+), most as (
+  select rid, max(n) as n from (select rid, word, count(*) as n from words group by all) group by rid
+), lines as (
+  select rid, len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines
+  from (select rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from docs)
+), base as (
+  select d.doc_id, d.text, coalesce(p.n_words, 0)::bigint as n_words, coalesce(p.word_chars, 0)::bigint as word_chars,
+    length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, l.n_lines, l.n_dup_lines::bigint as n_dup_lines,
+    coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(p.bare, 0) as bare, coalesce(m.n, 0) as most
+  from docs d join lines l using (rid) left join per_word p using (rid) left join covered c using (rid) left join most m using (rid)
+), judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not (10 * n_symbols > n_words) and not (10 * n_dup_lines > 3 * n_lines) and word_chars between 2 * n_words and 20 * n_words
+    and not (10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words)
+    and length(regexp_replace(text, '[^A-Z]', '', 'g')) <= length(regexp_replace(text, '[^a-z]', '', 'g'))
+    and not (10 * bare > 2 * n_words) and not contains(translate(text, 'LOREMIPSU', 'loremipsu'), 'lorem ipsum') and not (10 * most > 4 * n_words) as kept
+from judged
+"""

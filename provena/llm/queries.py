@@ -83,4 +83,11 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op6_line_dedup": lines.ORACLE, "op9_warc": warc.ORACLE, "op10_url_filters": urls.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op7_decontamination": decontam.ORACLE,
+    "op6_line_dedup": lines.ORACLE,
+    "op9_warc": warc.ORACLE,
+    "op10_url_filters": urls.ORACLE,
+}

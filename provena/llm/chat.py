@@ -100,7 +100,7 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     quotes = said.where("size(quotes) > 0").select("conv", "turn", "key", F.explode("quotes").alias("q")).distinct().select("conv", "turn", "key", "q.*")
     tied = quotes.join(here, F.col("conv").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")), "left").join(there, "hash", "left")
     near = F.when(F.col("here") < F.col("turn"), F.struct(F.col("conv").alias("conv"), F.col("here").alias("turn")))
-    far = F.when(~F.col("there.conv").eqNullSafe(F.col("conv")), F.struct(F.col("there.conv").alias("conv"), F.col("there.turn").alias("turn")))
+    far = F.when(F.col("there").isNotNull() & ~F.col("there.conv").eqNullSafe(F.col("conv")), F.struct(F.col("there.conv").alias("conv"), F.col("there.turn").alias("turn")))
     source = F.coalesce(near, far)
     parents = tied.withColumn("source", source).groupBy("conv", "turn", "key").agg(
         F.count("source").alias("n_linked"), F.min(F.when(F.col("source").isNotNull(), F.struct("level", "nth", "source")))["source"].alias("parent")

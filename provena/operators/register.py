@@ -13,14 +13,32 @@ from provena.functions.text import let
 # Fixed values ---------------------------------------------------------------------------------
 
 LEGAL_FORMS = ["ou", "as", "uu", "tu", "tuh", "se"]
+FORM_NAMES = {"osauhing": "ou", "aktsiaselts": "as", "usaldusuhing": "uu", "taisuhing": "tu", "tulundusuhistu": "tuh", "euroopaariuhing": "se"}
+IGNORED_TABLES = ["likvideerimise", "loppbilanss", "rahavoog", "rahavoogude", "kasumi jaot", "kasumijaot", "pdf"]
+ELEMENTS = {
+    "Revenue": "revenue", "EBITDA": "ebitda", "TotalAnnualPeriodProfitLoss": "net_income", "TotalProfitLoss": "operating_profit", "TotalProfitLossBeforeTax": "profit_before_tax",
+    "EmployeeExpense": "labour_cost", "DepreciationAndImpairmentLossReversal": "depreciation_and_impairment", "Assets": "total_assets", "Equity": "equity",
+    "AverageNumberOfEmployeesInFullTimeEquivalentUnits": "employees_fte",
+}
 UNIT_ENDINGS = {"county": " maakond", "rural_municipality": " vald", "city_district": " linnaosa", "town": " linn"}
 BUCKETS = [(0, 1_000_000), (1_000_000, 2_000_000), (2_000_000, 5_000_000), (5_000_000, 10_000_000), (10_000_000, 20_000_000), (20_000_000, 50_000_000), (50_000_000, None)]
 
 
+def legal_form(c: Column) -> Column:
+    """Folded letters and digits of a legal form, long names abbreviated."""
+    compact = F.regexp_replace(t.fold(c), "[^a-z0-9]", "")
+    return F.coalesce(t.lookup(FORM_NAMES, F.coalesce(compact, F.lit(""))), compact)
+
+
+def is_ignored_table(name: Column) -> Column:
+    """Statement tables that hold no comparable figures."""
+    return F.coalesce(t.fold(t.collapse(name)).rlike("|".join(IGNORED_TABLES)), F.lit(False))
+
+
 def eligible_reports(reports: DataFrame) -> DataFrame:
     """Reports with ids, an integer year and a legal form that files comparable accounts."""
     year = F.col("fiscal_year").try_cast("int")
-    form = F.regexp_replace(t.fold(F.col("legal_form")), "[^a-z0-9]", "")
+    form = legal_form(F.col("legal_form"))
     there = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
     return reports.withColumn("fiscal_year", year).where(there(F.col("report_id")) & there(F.col("registry_code")) & year.isNotNull() & form.isin(LEGAL_FORMS))
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from provena.functions import html as h
 from provena.functions import text as t
-from provena.operators import register
-from provena.plans.adapters import COMPANIES, STATEMENTS, companies, statements, table
+from provena.operators import corrections, records, register, versions, website
+from provena.plans.adapters import COMPANIES, FACTS, STATEMENTS, companies, facts, statements, table
+from provena.plans.evidence import _evidence
 from provena.plans.screening import FUNNEL, items
 
 QUERIES: dict = {}
@@ -233,3 +234,120 @@ def f11(spark: SparkSession, d: str) -> DataFrame:
 def d16(spark: SparkSession, d: str) -> DataFrame:
     c = companies(spark, d).select("company_id", "domain")
     return c.join(c.groupBy("domain").agg(F.count("*").alias("n")), "domain").select("company_id", "domain", (F.col("n") > 1).alias("shared"))
+
+
+@query(
+    "D12_post_history",
+    """with m as (select user_id as site, 'https://x.ee/en/news/post-' || (event_id % 40) as loc, ts::date as d, 'post-' || (event_id % 40) as k from events where event_id % 4 <> 0
+), f as (select site, k as key, min(d) as day, min(loc) as url from m group by all), b as (select *, count(*) over (partition by site, day) as n from f
+), p as (select user_id as site, 'post-' || (event_id % 40) as key, max(ts::date) as day, 'https://x.ee/blogi/post-' || (event_id % 40) as url from events where event_id % 4 = 0 group by all
+) select site, key, day::varchar as day, url, 'page' as source from p union all select site, key, day::varchar, url, 'sitemap' from b where n < 4 and not exists (select 1 from p where p.site = b.site and p.key = b.key)""",
+)
+def d12(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("site"), (F.col("event_id") % 40).cast("string").alias("k"), F.col("ts").cast("date").alias("day"), "event_id")
+    sitemap = e.where("event_id % 4 <> 0").select("site", F.concat(F.lit("https://x.ee/en/news/post-"), "k").alias("loc"), F.col("day").alias("lastmod"))
+    pages = e.where("event_id % 4 = 0").select("site", F.concat(F.lit("https://x.ee/blogi/post-"), "k").alias("url"), "day")
+    return website.post_history(sitemap, pages, F.lit(TODAY).cast("date")).withColumn("day", F.col("day").cast("string"))
+
+
+@query("D13_hiring")
+def d13(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages")
+    links, domain = h.links(F.col("html"), F.lower("url")), h.host(F.col("url"))
+    careers = p.select(F.col("page_id").alias("site"), domain.alias("domain"), links.alias("links"), h.visible_text(F.col("html")).alias("text"))
+    careers = careers.withColumn("careers_url", h.section_link(F.col("links"), F.col("domain"), h.SECTIONS["careers"]))
+    return website.hiring(careers)
+
+
+@query(
+    "D15_choose_domain",
+    """with c as (select c_custkey as k, 'w' || c_custkey || '.ee' as domain, 2 as r, true as ok from customer where c_custkey % 3 <> 0 union all
+  select c_custkey, 'm' || (c_custkey % 50) || '.ee', 3, c_custkey % 4 = 0 from customer union all select c_custkey, 'g' || c_custkey || '.ee', 4, c_custkey % 5 <> 0 from customer
+), r as (select *, row_number() over (partition by k order by r, domain) as n from c where ok) select k as company_id, domain, ['', 'register_www', 'register_email', 'guess'][r] as origin from r where n = 1""",
+)
+def d15(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    one = lambda name, origin, verified, shared, named: c.select(k.alias("company_id"), F.concat(name, F.lit(".ee")).alias("domain"), F.lit(origin).alias("origin"), verified.alias("verification"), shared.alias("shared"), named.alias("names_company"))
+    no, text = F.lit(False), F.lit("unverified")
+    www = one(F.concat(F.lit("w"), k.cast("string")), "register_www", text, no, no).where("company_id % 3 <> 0")
+    mail = one(F.concat(F.lit("m"), (k % 50).cast("string")), "register_email", text, F.lit(True), k % 4 == 0)
+    guess = one(F.concat(F.lit("g"), k.cast("string")), "guess", F.when(k % 5 != 0, "registry_code").otherwise("unverified"), no, no)
+    return website.choose_domain(www.union(mail).union(guess))
+
+
+@query("D17_contact_domains", "select c_custkey as company_id, 'firm' || c_custkey || '.ee,shop.com' as domains from customer")
+def d17(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey").cast("string")
+    entry = lambda kind, value, ends=None: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(ends).cast("string").alias("ends"))
+    entries = F.array(
+        entry("WWW", F.concat(F.lit("http://www.firm"), k, F.lit(".ee/"))), entry("EMAIL", F.concat(F.lit("info@firm"), k, F.lit(".ee"))), entry("EMAIL", F.lit("x@gmail.com")),
+        entry("WWW", F.lit("old.ee"), "2020-01-01"), entry("TEL", F.lit("tel.ee")), entry("WWW", F.lit("shop.com")),
+    )
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("company_id"), F.array_join(website.contact_domains(entries), ",").alias("domains"))
+
+
+@query("F10_ignored_tables", "select l_orderkey, l_linenumber from lineitem where l_linenumber % 3 <> 0")
+def f10(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("l_linenumber") % 3 == 0, "Rahavoogude aruanne").otherwise("Bilanss")
+    return table(spark, d, "lineitem").where(~register.is_ignored_table(name)).select("l_orderkey", "l_linenumber")
+
+
+@query("N14_legal_form", "select c_custkey as company_id, ['ou', 'as', 'tuh', 'fie'][c_custkey % 4 + 1] as form from customer")
+def n14(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.element_at(F.array(F.lit("Osaühing"), F.lit("AS"), F.lit("Tulundusühistu"), F.lit("FIE")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("company_id"), register.legal_form(raw).alias("form"))
+
+
+@query("V03_set_versions", "select l_orderkey, count(*) as n from lineitem group by all")
+def v03(spark: SparkSession, d: str) -> DataFrame:
+    return versions.set_versions(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey", "l_partkey", "l_linenumber").select("l_orderkey", "n")
+
+
+@query(
+    "V06_build_record",
+    f"""with {COMPANIES} select company_id, case when company_id % 10 = 7 then null else country end as country, case when company_id % 10 = 7 then 1 when country not in ('EE', 'FI', 'SE', 'DE') then 1 else 0 end::bigint as n_errors,
+  case when company_id % 10 <> 7 and country in ('EE', 'FI', 'SE', 'DE') then 'https://' || domain end as website, case when company_id % 10 <> 7 and country in ('EE', 'FI', 'SE', 'DE') and employee_min is not null then employee_min end as staff from companies""",
+)
+def v06(spark: SparkSession, d: str) -> DataFrame:
+    c = companies(spark, d)
+    rows = c.select(
+        "company_id", F.col("company_id").cast("string").alias("source_key"), "legal_name", F.when(F.col("company_id") % 10 == 7, "Atlantis").otherwise(F.col("country")).alias("country"), "city",
+        F.concat(F.lit("http://www."), "domain").alias("website"), F.col("employee_min").cast("string").alias("employees"), "industry_code",
+    )
+    built = records.build(rows, ["EE", "FI", "SE", "DE"], ["EE", "FI", "SE", "DE"])
+    fact = lambda f, k: F.get_json_object(F.try_element_at("facts", F.lit(f)), f"$.{k}")
+    return built.select("company_id", "country", F.size("errors").cast("bigint").alias("n_errors"), fact("website", "v").alias("website"), fact("employees", "min").cast("bigint").alias("staff"))
+
+
+@query("V14_company_view")
+def v14(spark: SparkSession, d: str) -> DataFrame:
+    return corrections.company_view(_evidence(spark, d), F.lit("2024-06-30").cast("timestamp"), ["click", "purchase", "view"])
+
+
+@query(
+    "V18_corrections",
+    f"""with {FACTS}, c as (select company_id, field_name from facts where fact_id % 50 = 0 group by all)
+  select count(*) filter (where fixed) as n_corrections, count(*) filter (where not fixed and marked) as n_marked, count(*) as n from (
+    select false as fixed, c.company_id is not null as marked from facts f left join c using (company_id, field_name) union all select true, false from c)""",
+)
+def v18(spark: SparkSession, d: str) -> DataFrame:
+    f = facts(spark, d).select("company_id", "field_name", "value", "observed_at", F.lit(False).alias("is_correction"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit("open").alias("review_status"))
+    fixes = facts(spark, d).where("fact_id % 50 = 0").select("company_id", "field_name", "value", "observed_at")
+    out = corrections.apply(f, fixes)
+    return out.agg(F.count_if("is_correction").alias("n_corrections"), F.count_if(F.col("review_status") == "corrected").alias("n_marked"), F.count("*").alias("n"))
+
+
+@query("V19_erase_contacts", "select count(*) filter (where user_id % 7 <> 0) as n_left, count(distinct case when user_id % 7 = 0 then user_id end) as n_tombstones from events")
+def v19(spark: SparkSession, d: str) -> DataFrame:
+    hashed = F.sha2(F.col("user_id").cast("string"), 256)
+    contacts = table(spark, d, "events").select("user_id", hashed.alias("identity_hash"), F.lit(None).cast("string").alias("email_hash"))
+    left, tombs = corrections.erase(contacts, contacts.where("user_id % 7 = 0").select("identity_hash"))
+    return left.agg(F.count("*").alias("n_left")).crossJoin(tombs.agg(F.count("*").alias("n_tombstones")))
+
+
+@query("N28_redact", "select event_id, 'a [erased] b [erased]' as line from events")
+def n28(spark: SparkSession, d: str) -> DataFrame:
+    k = F.concat(F.lit("<"), F.col("event_id").cast("string"), F.lit(">"))
+    line = F.concat(F.lit("a "), k, F.lit(" b "), F.lit("Mari Maasikas"))
+    return table(spark, d, "events").select("event_id", corrections.redact(line, F.array(k, F.lit("Mari Maasikas"))).alias("line"))

@@ -23,9 +23,15 @@ from provena.sources.shared import new_path
 
 PIECE = 64 << 20
 REQUIRED = ["basic", "reports", "activity"]
-LINK_KINDS = {
-    "basic": "lihtandmed", "general": "yldandmed", "shareholders": "osanikud", "reports": "aruannete_yldandmed", "activity": "myygitulu", "indicators": "elemendid",
-}
+#: File names of the official open data.
+LINK_PATTERNS = {
+    "basic": r"ettevotja_rekvisiidid__lihtandmed\.csv\.zip$",
+    "general": r"ettevotja_rekvisiidid__yldandmed\.json\.zip$",
+    "shareholders": r"ettevotja_rekvisiidid__osanikud\.json\.zip$",
+    "reports": r"1\.aruannete_yldandmed_kuni_[0-9]{8}\.zip$",
+    "activity": r"2\.EMTAK_myygitulu_kuni_[0-9]{8}\.zip$",
+    "indicators": r"4\.[0-9]{4}_aruannete_elemendid_kuni_[0-9]{8}\.zip$",
+}
 STAGED = "path string, piece string, n_rows long"
 
 
@@ -204,6 +210,7 @@ def discover_links(pages: DataFrame, html: str = "html") -> DataFrame:
     url = F.explode(F.regexp_extract_all(F.col(html), F.lit(r'href="([^"]+\.zip)"'), F.lit(1)))
     links = pages.select(url.alias("url"))
     kind = F.when(F.lit(False), "")
-    for name, mark in LINK_KINDS.items():
-        kind = kind.when(F.lower("url").contains(mark), name)
-    return links.select("url", kind.alias("kind"), F.nullif(F.regexp_extract("url", r"((?:19|20)[0-9]{2})", 1), F.lit("")).cast("int").alias("year")).where("kind is not null").distinct()
+    for name, pattern in LINK_PATTERNS.items():
+        kind = kind.when(F.col("url").rlike(pattern), name)
+    year = F.nullif(F.regexp_extract("url", r"/4\.([0-9]{4})_", 1), F.lit("")).cast("int")
+    return links.select("url", kind.alias("kind"), year.alias("year")).where("kind is not null").distinct()

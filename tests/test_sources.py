@@ -49,7 +49,7 @@ def test_manifest_and_links(spark, tmp_path):
     problems = {r["path"][-1]: list(r["problems"]) for r in register_files.verified(manifest, sums, "https://x/").collect()}
     assert problems == {"n": [], "2": ["file missing", "not an official address"]}
     assert register_files.missing_datasets([("basic", None), ("reports", None), ("indicators", 2024)], [2024, 2025]) == ["activity", "indicators 2025"]
-    html = spark.createDataFrame([('<a href="/f/ettevotja_lihtandmed.csv.zip">x</a> <a href="/f/4.2024_aruannete_elemendid.zip">y</a> <a href="/z.zip">',)], "html string")
+    html = spark.createDataFrame([('<a href="/f/ettevotja_rekvisiidid__lihtandmed.csv.zip">x</a> <a href="/f/4.2024_aruannete_elemendid_kuni_20260101.zip">y</a> <a href="/z.zip">',)], "html string")
     assert {(r["kind"], r["year"]) for r in register_files.discover_links(html).collect()} == {("basic", None), ("indicators", 2024)}
 
 

@@ -72,8 +72,8 @@ def not_suppressed(contacts: DataFrame, tombstones: DataFrame) -> DataFrame:
 def sync_sources(catalog: DataFrame, registry: DataFrame) -> DataFrame:
     """Catalog against registry: unlisted sources are disabled, a catalog downgrade wins, enabling is never automatic."""
     c = catalog.select("source_id", F.col("permission_status").alias("listed"))
-    r = registry.select("source_id", F.col("permission_status").alias("stored"), "enabled")
+    r = registry.select("source_id", F.col("permission_status").alias("stored"), "enabled", F.lit(True).alias("_r"))
     both = c.join(r, "source_id", "full_outer")
     status = F.when(F.col("listed").isNull(), F.col("stored")).when(F.col("stored").isNull() | (F.col("listed") != "approved"), F.col("listed")).otherwise(F.col("stored"))
     enabled = F.coalesce(F.col("enabled"), F.lit(False)) & F.col("listed").isNotNull() & (status == "approved")
-    return both.select("source_id", status.alias("permission_status"), enabled.alias("enabled"), F.when(F.col("stored").isNull(), "added").when(F.col("listed").isNull(), "unlisted").otherwise("kept").alias("outcome"))
+    return both.select("source_id", status.alias("permission_status"), enabled.alias("enabled"), F.when(F.col("_r").isNull(), "added").when(F.col("listed").isNull(), "unlisted").otherwise("kept").alias("outcome"))

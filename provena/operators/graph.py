@@ -45,19 +45,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return labels.unionByName(labels.select(F.col("label").alias("id"), "label").distinct())
 
 
-def canonical(pointers: DataFrame, rounds: int = 40) -> DataFrame:
+def canonical(pointers: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, root) for pointers(id long, to long or null): follow `to` until it ends; a cycle stops at its least id.
 
-    Pointer jumping: every round doubles the length of the chains that are already followed.
+    Pointer jumping: every round doubles the length of the chains that are already followed. `low` is the
+    least id on the way; on a cycle it settles at the cycle's least id.
     """
-    now = materialise(pointers.select("id", F.coalesce("to", "id").alias("root")), "pointers")
+    now = materialise(pointers.select("id", F.coalesce("to", "id").alias("root"), F.col("id").alias("low")), "pointers")
+    last = None
     for _ in range(rounds):
-        ends = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = now.join(ends, "root", "left").select("id", F.coalesce("next", "root").alias("to"), "root")
-        step = materialise(step, "pointers")
-        moved = step.where("to <> root").limit(1).count()
-        now = step.select("id", F.col("to").alias("root"))
-        if not moved:
-            return now
-    least = now.groupBy("root").agg(F.min("id").alias("least"))
-    return now.join(least, "root").select("id", F.col("least").alias("root"))
+        ahead = now.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("low").alias("then"))
+        now = now.join(ahead, "root", "left").select("id", F.coalesce("next", "root").alias("next"), "root", F.least("low", "then").alias("low"))
+        now = materialise(now, "pointers")
+        going = now.where("next <> root")
+        state = tuple(going.agg(F.count("*"), F.sum(F.col("low").cast("decimal(38,0)"))).first())
+        now = now.select("id", F.col("next").alias("root"), "low")
+        if state[0] == 0 or state == last:
+            break
+        last = state
+    ends = now.select(F.col("id").alias("root"), F.when(F.col("root") == F.col("id"), F.col("id")).otherwise(F.col("low")).alias("end"))
+    return now.join(ends, "root", "left").select("id", F.coalesce("end", "root").alias("root"))

@@ -124,7 +124,7 @@ def _no_letters(data: bytes, base: Base) -> bool:
 
 RULES = (
     Rule("symbols", lambda d, b: 10 * b.n_symbols > b.n_words),
-    Rule("repeated_lines", lambda d, b: 10 * b.n_dup_lines > 3 * b.n_lines),
+    Rule("repeated_lines", lambda d, b: 2 * b.n_dup_lines > b.n_lines),
     Rule("word_length", lambda d, b: not 2 * b.n_words <= b.word_chars <= 20 * b.n_words),
     Rule("exclamation", lambda d, b: 10 * d.count(b"!") > 3 * b.n_words),
     Rule("capitals", _mostly_capitals),
@@ -220,7 +220,7 @@ with docs as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (10 * n_symbols > n_words) and not (10 * n_dup_lines > 3 * n_lines) and word_chars between 2 * n_words and 20 * n_words
+  not base_failed and not (10 * n_symbols > n_words) and not (2 * n_dup_lines > n_lines) and word_chars between 2 * n_words and 20 * n_words
     and not (10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words)
     and length(regexp_replace(text, '[^A-Z]', '', 'g')) <= length(regexp_replace(text, '[^a-z]', '', 'g'))
     and not (10 * bare > 2 * n_words) and not contains(translate(text, 'LOREMIPSU', 'loremipsu'), 'lorem ipsum') and not (10 * most > 4 * n_words) as kept

@@ -1,6 +1,6 @@
 """All registered queries of the library and their SQL twins."""
 
-from provena.plans import evidence, imports, screening
+from provena.plans import evidence, imports, more, screening
 
-QUERIES = screening.QUERIES | evidence.QUERIES | imports.QUERIES
-ORACLES = screening.ORACLES | evidence.ORACLES | imports.ORACLES
+QUERIES = screening.QUERIES | evidence.QUERIES | imports.QUERIES | more.QUERIES
+ORACLES = screening.ORACLES | evidence.ORACLES | imports.ORACLES | more.ORACLES

@@ -45,18 +45,19 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_on: str = "fetched_on") -> DataFrame:
     """captures with _host, _pattern and _action of the deciding entry (null: none) and _kept."""
     spans = intervals(entries)
-    bounds = captures.agg(F.min(fetched_on).alias("lo"), F.max(fetched_on).alias("hi"))
-    depth = spans.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("depth"))
+    bounds = captures.agg(F.min(fetched_on).alias("lo"), F.max(fetched_on).alias("hi")).first()
+    depth = spans.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("depth")).first()["depth"]
+    lo, hi = (F.lit(bounds[k]).cast("date") for k in ("lo", "hi"))
     month = lambda c: F.trunc(c, "MM")
-    months = F.sequence(month(F.greatest("starts", "lo")), month(F.least(F.date_sub("ends", 1), F.col("hi"))), F.expr("interval 1 month"))
-    by_month = spans.crossJoin(F.broadcast(bounds)).where("starts <= hi and ends > lo").select("pattern", "action", "starts", "ends", F.explode(months).alias("month"))
+    months = F.sequence(month(F.greatest("starts", lo)), month(F.least(F.date_sub("ends", 1), hi)), F.expr("interval 1 month"))
+    by_month = spans.where((F.col("starts") <= hi) & (F.col("ends") > lo)).select("pattern", "action", "starts", "ends", F.explode(months).alias("month"))
 
     asked = captures.select(F.col(url).alias("u"), F.col(fetched_on).alias("t")).where("u is not null and t is not null").distinct()
     split = asked.withColumn("h", host_of(F.col("u"))).where("h is not null").withColumn("labels", F.split("h", r"\.")).withColumn("parts", path_parts(F.col("u")))
     hosts = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")
-    paths = F.expr("transform(sequence(1, least(size(parts), depth)), i -> concat(h, '/', array_join(slice(parts, 1, i), '/')))")
-    deep = F.when(F.least(F.size("parts"), F.col("depth")) > 0, paths).otherwise(F.array().cast("array<string>"))
-    keys = split.crossJoin(F.broadcast(depth)).select("u", "t", F.explode(F.concat(hosts, deep)).alias("pattern")).withColumn("month", month("t"))
+    paths = F.expr(f"transform(sequence(1, least(size(parts), {depth})), i -> concat(h, '/', array_join(slice(parts, 1, i), '/')))")
+    deep = F.when(F.least(F.size("parts"), F.lit(depth)) > 0, paths).otherwise(F.array().cast("array<string>"))
+    keys = split.select("u", "t", F.explode(F.concat(hosts, deep)).alias("pattern")).withColumn("month", month("t"))
     active = keys.join(by_month, ["pattern", "month"]).where("starts <= t and t < ends")
     weight = F.struct(F.col("pattern").contains("/").alias("deep"), F.length("pattern").alias("long"), "pattern", "action")
     best = active.groupBy("u", "t").agg(F.max(weight).alias("best")).select(F.col("u").alias("_u"), F.col("t").alias("_t"), "best")

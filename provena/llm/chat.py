@@ -119,3 +119,41 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
         F.col("conv").alias("conv_id"), "turn", "role", (F.col("position") - 1).cast("long").alias("position"), F.col("reply.conv").alias("reply_conv_id"),
         F.col("reply.turn").alias("reply_turn"), "n_quotes", "n_linked", F.col("body").alias("text"),
     )
+
+
+ORACLE = r"""
+with m as (
+  select row_number() over () as rid, conv_id::bigint as conv, turn::bigint as turn, role, text,
+    md5(concat_ws('|', conv_id, turn) || case when text is null then '-' else '+' || text end) as key from conversations
+), raw as (
+  select rid, generate_subscripts(l, 1) as i, unnest(l) as line from (select rid, string_split(coalesce(text, ''), chr(10)) as l from m)
+), marked as (
+  select *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+) ?', 1), '[^>]', '', 'g')) as level from raw
+), lines as (
+  select rid, i, level, case when level > 0 then regexp_replace(line, '^(?:[ \t]*>)+ ?', '') else line end as body, lead(level) over (partition by rid order by i) as next_level from marked
+), kept as (
+  select *, trim(regexp_replace(body, '\s+', ' ', 'g')) = '' as blank from lines where not (regexp_matches(body, '(?i)\bwrote:\s*$') and coalesce(next_level > level, false))
+), started as (
+  select *, not blank and coalesce(lag(blank) over w or lag(level) over w <> level, true) as starts from kept window w as (partition by rid order by i)
+), passages as (
+  select rid, level, nth - 1 as nth, trim(regexp_replace(lower(string_agg(body, ' ' order by i)), '\s+', ' ', 'g')) as passage
+  from (select *, sum(starts::int) over (partition by rid order by i) as nth from started) where not blank group by rid, level, nth
+), bodies as (
+  select rid, trim(regexp_replace(string_agg(body, chr(10) order by i), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) as body from kept where level = 0 group by rid
+), own as (
+  select distinct m.conv, m.turn, p.passage from passages p join m using (rid) where level = 0
+), here as (select conv, passage, min(turn) as here from own group by all
+), there as (select passage, first(conv order by conv nulls first, turn nulls first) as conv, first(turn order by conv nulls first, turn nulls first) as turn from own group by all
+), quotes as (
+  select m.rid, q.level, q.nth, case when h.here < m.turn then {'conv': m.conv, 'turn': h.here} when t.passage is not null and t.conv is distinct from m.conv then {'conv': t.conv, 'turn': t.turn} end as source
+  from passages q join m using (rid) left join here h on h.conv is not distinct from m.conv and h.passage = q.passage left join there t on t.passage = q.passage where q.level > 0
+), parents as (
+  select rid, count(*) as n_quotes, count(source) as n_linked, first(source order by level, nth) filter (where source is not null) as parent from quotes group by rid
+), turns as (select distinct conv, turn + 1 as turn from m where turn is not null
+), joined as (
+  select m.*, coalesce(b.body, '') as body, coalesce(p.n_quotes, 0) as n_quotes, coalesce(p.n_linked, 0) as n_linked, coalesce(p.parent, case when t.turn is not null then {'conv': m.conv, 'turn': m.turn - 1} end) as reply
+  from m left join bodies b using (rid) left join parents p using (rid) left join turns t on t.conv is not distinct from m.conv and t.turn = m.turn
+)
+select conv as conv_id, turn, role, row_number() over (partition by conv order by turn nulls first, key, role nulls first) - 1 as position, reply.conv as reply_conv_id, reply.turn as reply_turn,
+  n_quotes::bigint as n_quotes, n_linked::bigint as n_linked, body as text from joined
+"""

@@ -85,6 +85,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
+    "op2_chat_formatting": chat.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op7_decontamination": decontam.ORACLE,
     "op6_line_dedup": lines.ORACLE,

@@ -412,9 +412,13 @@ def k13(spark: SparkSession, d: str) -> DataFrame:
     return identity.identity_keys(records(spark, d)).where("kind = 'registry_id'").select("value", "derived").distinct()
 
 
-@query("N16_sector_sizes", FUNNEL + " select peer_group, count(*) as n from items where peer_group is not null group by all")
+@query(
+    "N16_division_label",
+    FUNNEL + " select peer_group, case peer_group when '70' then '70 · Head offices' else 'EMTAK ' || peer_group end as label, count(*) as n from items where peer_group is not null group by all",
+)
 def n16(spark: SparkSession, d: str) -> DataFrame:
-    return with_codes(companies(spark, d)).groupBy(t.industry_division(F.col("industry_codes")).alias("peer_group")).agg(F.count("*").alias("n")).where("peer_group is not null")
+    sizes = with_codes(companies(spark, d)).groupBy(t.industry_division(F.col("industry_codes")).alias("peer_group")).agg(F.count("*").alias("n")).where("peer_group is not null")
+    return sizes.select("peer_group", t.division_label(F.col("peer_group"), {"70": "Head offices"}).alias("label"), "n")
 
 
 __all__ = ["BAND", "ORACLES", "QUERIES", "YEAR"]

@@ -83,17 +83,17 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
     """docs with `text` less its repeated chunks, and _n_lines and _n_removed_lines."""
-    gone = repeats(docs, doc_id, text, divisor).select(F.col("_id").alias("m_id"), F.col("_th").alias("m_th"), "gone")
-    joined = _keyed(docs, doc_id, text).join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_th") == F.col("m_th")), "left")
+    gone = repeats(docs, doc_id, text, divisor).select(F.col("_id").alias("_m_id"), F.col("_th").alias("_m_th"), F.col("gone").alias("_gone"))
+    joined = _keyed(docs, doc_id, text).join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_m_id")) & (F.col("_th") == F.col("_m_th")), "left")
     cut = chunked(joined, text, divisor)
-    stay = F.filter("_chunks", lambda c: ~F.array_contains("gone", c["start"]))
-    lost = F.filter("_chunks", lambda c: F.array_contains("gone", c["start"]))
+    stay = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["start"]))
+    lost = F.filter("_chunks", lambda c: F.array_contains("_gone", c["start"]))
     kept = F.array_join(F.transform(stay, lambda c: F.array_join(F.slice("_lines", c["start"], c["stop"] - c["start"] + 1), "\n")), "\n")
     return (
         cut.withColumn("_n_lines", F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long"))
-        .withColumn("_n_removed_lines", F.when(F.col("gone").isNull(), 0).otherwise(F.aggregate(lost, F.lit(0), lambda a, c: a + c["stop"] - c["start"] + 1)).cast("long"))
-        .withColumn(text, F.when(F.col("gone").isNull(), F.col(text).cast("string")).otherwise(kept))
-        .drop("_id", "_th", "m_id", "m_th", "gone", "_lines", "_chunks")
+        .withColumn("_n_removed_lines", F.when(F.col("_gone").isNull(), 0).otherwise(F.aggregate(lost, F.lit(0), lambda a, c: a + c["stop"] - c["start"] + 1)).cast("long"))
+        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text).cast("string")).otherwise(kept))
+        .drop("_id", "_th", "_m_id", "_m_th", "_gone", "_lines", "_chunks")
     )
 
 

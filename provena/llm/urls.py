@@ -60,14 +60,14 @@ def judge_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
     keys = split.select("u", "t", F.explode(F.concat(hosts, deep)).alias("pattern")).withColumn("month", month("t"))
     active = keys.join(by_month, ["pattern", "month"]).where("starts <= t and t < ends")
     weight = F.struct(F.col("pattern").contains("/").alias("deep"), F.length("pattern").alias("long"), "pattern", "action")
-    best = active.groupBy("u", "t").agg(F.max(weight).alias("best")).select(F.col("u").alias("_u"), F.col("t").alias("_t"), "best")
+    best = active.groupBy("u", "t").agg(F.max(weight).alias("best")).select(F.col("u").alias("_u"), F.col("t").alias("_t"), F.col("best").alias("_best"))
     joined = captures.join(best, (F.col(url) == F.col("_u")) & (F.col(fetched_on) == F.col("_t")), "left")
     return (
         joined.withColumn("_host", host_of(F.col(url)))
-        .withColumn("_pattern", F.col("best.pattern"))
-        .withColumn("_action", F.col("best.action"))
-        .withColumn("_kept", ~F.coalesce(F.col("best.action") == "block", F.lit(False)))
-        .drop("_u", "_t", "best")
+        .withColumn("_pattern", F.col("_best.pattern"))
+        .withColumn("_action", F.col("_best.action"))
+        .withColumn("_kept", ~F.coalesce(F.col("_best.action") == "block", F.lit(False)))
+        .drop("_u", "_t", "_best")
     )
 
 

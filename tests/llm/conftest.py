@@ -24,9 +24,10 @@ def prose(vocabulary):
 @pytest.fixture
 def documents(spark):
     """Rows of (doc_id, text) or (doc_id, text, source) as a documents table with columns that clash with operators' own."""
+    clashing = ["size", "kept", "gone", "fp", "label", "h", "n", "d", "key", "spans", "starts", "start", "body", "v", "c", "component_id", "n_words", "rank", "at"]
 
     def make(rows):
-        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1]) if r[1] is not None else None, "x", "y") for r in rows]
-        return spark.createDataFrame(full, DOCS + ", size string, kept string")
+        full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", len(r[1]) if r[1] is not None else None, *clashing) for r in rows]
+        return spark.createDataFrame(full, DOCS + "".join(f", {c} string" for c in clashing))
 
     return make

@@ -36,7 +36,7 @@ def test_mix_of_nothing(documents):
 def test_mixed_rows(documents, prose):
     rows = [(i, prose(30, i), "ab"[i % 2]) for i in range(40)] + [(1, prose(30, 1), "b")] * 2
     found = mixing.mixed(documents(rows))
-    assert set(found.columns) == set(documents(rows).columns) | {"size", "source_size", "target", "taken"}
+    assert set(found.columns) == set(documents(rows).columns) | {"source_size", "target", "taken"}
     assert sum(r["taken"] for r in found.collect()) == sum(r["taken"] for r in mixing.mix(documents(rows)).collect())
 
 
@@ -104,7 +104,7 @@ def test_urls_against_brute_force(spark):
     entries = [(r.choice(names), r.choice(["block", "allow", "remove"]), day(r.randrange(300))) for _ in range(60)] + [(None, "block", day(1)), ("c.net", "odd", day(1)), ("c.net", "block", None)]
     hosts = ["http://x.a.com/p/1", "https://y.x.a.com/", "http://b.org/p/q/r?z", "http://B.org:80/p", "http://user@c.net", "nonsense", None, "http://a.com.evil/"]
     captures = [(i, r.choice(hosts), day(r.randrange(330))) for i in range(200)] + [(900, hosts[0], None)]
-    c = spark.createDataFrame(captures, "page_id long, url string, fetched_on string").withColumn("fetched_on", F.col("fetched_on").cast("date")).withColumn("action", F.lit("clash"))
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched_on string").withColumn("fetched_on", F.col("fetched_on").cast("date")).withColumn("action", F.lit("clash")).withColumn("best", F.lit("clash")).withColumn("pattern", F.lit("clash"))
     e = spark.createDataFrame(entries, "pattern string, action string, listed_on string").withColumn("listed_on", F.col("listed_on").cast("date"))
     rank = ["block", "allow", "remove"]
 

@@ -93,8 +93,9 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
     width = max(map(len, skipped))
     gaps = F.array(*[_long_array(s + [-1] * (width - len(s))) for s in skipped])
     pick = F.posexplode(_long_array([sum(masks[j] for j in c) for c in chosen])).alias("choice", "mask")
-    # One row a fingerprint is small and would be gathered into few tasks; each row makes len(chosen) keys.
-    spread = nodes.select("fp").repartition(partitions(nodes.sparkSession), "fp")
+    # One row a fingerprint is small and would be gathered into few tasks; each row makes len(chosen) keys. Dealt
+    # without a key: a repartition by fp is what the grouping already did, and Spark leaves it out.
+    spread = nodes.select("fp").repartition(partitions(nodes.sparkSession))
     keys = spread.select("fp", pick).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
     shared = keys.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(keys.join(shared, ["choice", "bits"]), "buckets")
@@ -114,7 +115,7 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
         raise ValueError("midpoints need an even number of bits")
     flips = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)]
     crowd = members.where(F.col("n") > dense).select("fp").distinct()
-    dealt = crowd.repartition(partitions(nodes.sparkSession), "fp")  # few rows by now, but each makes len(flips)
+    dealt = crowd.repartition(partitions(nodes.sparkSession))  # few rows by now, but each makes len(flips)
     around = dealt.select("fp", F.explode(_long_array(flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     met = around.groupBy("mid").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("mid", "b")
     through = around.join(met, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()

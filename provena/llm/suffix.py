@@ -382,7 +382,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(d, n, spans): the first and last windows of runs of repeated windows, packed as first << 32 | last."""
     key = ["d", "n"]
     sampled = materialise(anchors(keyed), "anchors")
-    counted = sampled.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    # Written first: a join with a table is one that AQE may split where a gram is hot, a join with an aggregation is not.
+    counted = materialise(sampled.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "grams")
     again = sampled.join(counted, "h").select(*key, (F.col("pack") + (F.col("c") > HOT).cast("int")).alias("pack"))
     wanted = materialise(again.groupBy(*key).agg(F.collect_set("pack").alias("packs")), "wanted")
     total = wanted.agg(F.coalesce(F.sum(F.size("packs")), F.lit(0)).alias("n")).first()["n"]

@@ -66,7 +66,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor
     slim = materialise(
         found.select(*key, "start", F.xxhash64("body").alias("h"), _several_lines(F.col("body")).alias("several")).where("several").drop("several").distinct(), "chunks"
     )
-    twice = slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written first: a join with a table is one that AQE may split where a chunk is hot, a join with an aggregation is not.
+    twice = materialise(slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     marked = slim.join(twice, "h").groupBy(*key).agg(F.collect_set("start").alias("starts"))
     marked = materialise(marked.select(F.col("_id").alias("m_id"), F.col("_th").alias("m_th"), "starts"), "marked")
 

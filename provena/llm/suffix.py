@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provena.llm.common import as_bytes, materialise
-from provena.sources.shared import release
 
 LENGTH = 200
 GRAM = 32
@@ -387,13 +386,11 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     counted = materialise(sampled.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "grams")
     again = sampled.join(counted, "h").select(*key, (F.col("pack") + (F.col("c") > HOT).cast("int")).alias("pack"))
     wanted = materialise(again.groupBy(*key).agg(F.collect_set("pack").alias("packs")), "wanted")
-    release(keyed.sparkSession)
     total = wanted.agg(F.coalesce(F.sum(F.size("packs")), F.lit(0)).alias("n")).first()["n"]
     parts = max(8, total * 400 // (8 << 20))
 
     runs = keyed.join(wanted, key).select("packs", *key, "text").mapInArrow(sorted_runs(parts), RUN)
     merged = materialise(runs.groupBy("part").applyInArrow(merge_part, MERGED), "merged")
-    release(keyed.sparkSession)  # the texts are dealt once more below
     windows = merged.where("w is not null")
     twice = windows.groupBy("w").agg(F.sum("c").alias("times")).where("times > 1").select("w")
     found = windows.where("d is not null").select(*key, "lo", "hi", "w").join(twice, "w").select(*key, "lo", "hi")

@@ -9,6 +9,12 @@ hashes only nominate: equality is decided by grouping on the bytes of the chunk.
 Defined results: a null text stays null, has no lines and loses none; an empty text is one empty
 line; rows that repeat both doc_id and text are one document and are treated alike; null ids sort
 last; a document may lose all its lines and then has the empty text; further columns pass through.
+
+A passage of a few lines rarely holds a whole chunk. `dedup_passages` therefore takes every line that holds
+a word with the next such line (and the blank lines between) as a window, and removes all lines of windows
+whose bytes stand at an earlier place: overlapping windows grow to the whole repeated passage. A window
+that overlaps its own first copy stays. The first place of a line always stays, since an earlier window would hold
+an earlier one.
 """
 
 from __future__ import annotations
@@ -98,6 +104,55 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", div
     )
 
 
+def _windows(docs: DataFrame, text: str) -> DataFrame:
+    """docs with _lines and _windows, an array of (start, stop): lines that hold a word, each with the next such line, from 1."""
+    worded = f"filter(transform(_lines, (x, i) -> if(x rlike r'{HAS_WORD}', i + 1, 0)), i -> i > 0)"
+    pairs = "zip_with(slice(_worded, 1, greatest(size(_worded) - 1, 0)), slice(_worded, 2, size(_worded)), (a, b) -> struct(a as start, b as stop))"
+    split = docs.withColumn("_lines", F.split(F.col(text).cast("string"), "\n", -1)).withColumn("_worded", F.expr(worded))
+    return split.withColumn("_windows", F.expr(pairs)).drop("_worded")
+
+
+def _window_bodies(windows: str) -> Column:
+    return F.expr(f"transform({windows}, c -> struct(c.start as start, c.stop as stop, array_join(slice(_lines, c.start, c.stop - c.start + 1), '\\n') as body))")
+
+
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_id, _th, gone): for each document that loses lines, the windows (start, stop) that it loses."""
+    key = ["_id", "_th"]
+    parts = _keyed(docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")), "_d", "_t").select(*key, "_t")
+    found = _windows(parts, "_t").select(*key, F.explode_outer(_window_bodies("_windows")).alias("c")).where("c is not null").select(*key, "c.*")
+    slim = materialise(found.select(*key, "start", "stop", F.xxhash64("body").alias("h")).distinct(), "windows")
+    twice = materialise(slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
+    marked = slim.join(twice, "h").groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
+    marked = materialise(marked.select(F.col("_id").alias("m_id"), F.col("_th").alias("m_th"), "marks"), "marked")
+
+    wanted = parts.join(marked.hint("merge"), F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_th") == F.col("m_th")))
+    split = wanted.withColumn("_lines", F.split(F.col("_t").cast("string"), "\n", -1))
+    chosen = split.select(*key, F.explode_outer(_window_bodies("marks")).alias("c")).where("c is not null").select(*key, "c.*")
+    chosen = materialise(chosen.withColumn("h", F.xxhash64("body")), "candidates")
+    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "start", "stop")
+    first = materialise(chosen.groupBy("h", "body").agg(F.min(place).alias("first")), "firsts")
+    same = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_th") == F.col("first._th"))
+    later = chosen.join(first, ["h", "body"]).where(~same | (F.col("start") > F.col("first.stop")))
+    return later.groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
+
+
+def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with `text` less its repeated passages of two or more lines that hold a word, and _n_lines and _n_removed_lines."""
+    gone = repeated_passages(docs, doc_id, text).select(F.col("_id").alias("_m_id"), F.col("_th").alias("_m_th"), F.col("gone").alias("_gone"))
+    joined = _keyed(docs, doc_id, text).join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_m_id")) & (F.col("_th") == F.col("_m_th")), "left")
+    cut = joined.withColumn("_lines", F.split(F.col(text).cast("string"), "\n", -1))
+    lost = "flatten(transform(_gone, c -> sequence(c.start, c.stop)))"
+    cut = cut.withColumn("_stay", F.when(F.col("_gone").isNotNull(), F.expr(f"array_except(sequence(1, size(_lines)), {lost})")))
+    n_lines = F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long")
+    return (
+        cut.withColumn("_n_lines", n_lines)
+        .withColumn("_n_removed_lines", F.when(F.col("_gone").isNull(), 0).otherwise(F.array_size("_lines") - F.array_size("_stay")).cast("long"))
+        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text).cast("string")).otherwise(F.expr("array_join(transform(_stay, i -> _lines[i - 1]), '\\n')")))
+        .drop("_id", "_th", "_m_id", "_m_th", "_gone", "_lines", "_stay")
+    )
+
+
 ORACLE = r"""
 with lines as (
   select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i

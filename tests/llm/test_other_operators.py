@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from provena.llm import chat, decontam, lines, mixing, tokens, urls, warc
 from provena.llm.common import new_path
 
@@ -94,6 +95,32 @@ def test_cuts_survive_a_shift(spark, prose):
     assert len(ends(one, 0) ^ ends(two, 1)) <= 2
 
 
+def test_short_passages_go_whole(documents, prose):
+    rows, want = [], {}
+    for n in range(2, 7):
+        for k in range(4):
+            passage, before, after = prose(12 * n, 50 + n), prose(36, 1000 + 10 * n + k), prose(36, 2000 + 10 * n + k)
+            rows.append((10 * n + k, f"{before}\n{passage}\n{after}"))
+            want[10 * n + k] = rows[-1][1] if k == 0 else f"{before}\n{after}"
+    rows += [(100, "a b\n\nc d\nown"), (101, "x\na b\n\nc d\n"), (102, "a b\nc d"), (103, "r\nr\nr\nr\nr"), (104, None), (105, ""), (None, "x y\nown\nc d\nown")]
+    want |= {100: rows[20][1], 101: "x\n", 102: "a b\nc d", 103: "r\nr", 104: None, 105: "", None: "x y\nown"}
+    out = lines.dedup_passages(documents(rows + rows[:1])).collect()
+    assert len(out) == len(rows) + 1
+    assert {r["doc_id"]: r["text"] for r in out} == want
+    n_lines = lambda t: len(t.split("\n")) if t is not None else 0
+    for r in out:
+        whole = dict(rows)[r["doc_id"]]
+        assert (r["_n_lines"], r["_n_removed_lines"]) == (n_lines(whole), n_lines(whole) - n_lines(r["text"]))
+    assert lines.dedup_passages(documents([])).count() == 0
+
+
+def test_line_stage_cuts_short_passages(spark, documents, prose):
+    rows = [(k, f"{prose(36, 10 + k)}\n{prose(24, 1)}\n{prose(36, 20 + k)}") for k in range(6)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, documents(rows), "").collect()}
+    assert [prose(24, 1) in out[k] for k in range(6)] == [True] + [False] * 5
+    assert all(prose(36, 10 + k) in out[k] and prose(36, 20 + k) in out[k] for k in range(6))
+
+
 # --- urls -----------------------------------------------------------------------------------------------
 
 

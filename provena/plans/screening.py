@@ -10,7 +10,7 @@ from provena.operators import funnel, signals
 from provena.plans.adapters import COMPANIES, STATEMENTS, companies, statements, table
 
 BAND = (100_000, 900_000)
-YEAR = 2001
+YEAR = 2002
 
 
 def with_codes(df: DataFrame) -> DataFrame:
@@ -159,12 +159,12 @@ V28 = FUNNEL + """ select company_id, legal_name, registry_status, peer_group, f
 
 
 def o03(spark: SparkSession, sf_dir: str, view: str = "all") -> DataFrame:
-    top = funnel.listed(items(spark, sf_dir), view, limit=100)
+    top = funnel.listed(items(spark, sf_dir), view)
     return top.select("company_id", "legal_name", "next_action", funnel.decay_tier(F.col("verdict")).alias("tier"))
 
 
 def _o03(keys: str, where: str) -> str:
-    return f"{FUNNEL} select company_id, legal_name, next_action, tier from items where {where} order by {keys}, coalesce(idx, -99) desc, lower(legal_name), company_id limit 100"
+    return f"{FUNNEL} select company_id, legal_name, next_action, tier from items where {where} order by {keys}, coalesce(idx, -99) desc, lower(legal_name), company_id"
 
 
 ACTION = "case next_action when 'advisor_review' then 0 when 'research' then 1 when 'outside_size_band' then 2 else 3 end"

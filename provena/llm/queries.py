@@ -32,7 +32,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    return decontam.judged(docs, items).select(
+    return decontam.judged(docs, items, keep=["doc_id"]).select(
         "doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
         decontam.digest(F.col("_items")).alias("items_sha256"), F.col("_contaminated").alias("contaminated"),
     )

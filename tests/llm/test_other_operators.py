@@ -56,22 +56,45 @@ def slow_hits(text, items):
     return len(words), len(hit), sorted(ids)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
-def test_decontamination_against_brute_force(spark, documents, prose, block_bytes):
+@pytest.mark.parametrize("max_bits", [1 << 20, 1 << 3])
+def test_decontamination_against_brute_force(spark, documents, prose, max_bits):
     items = [(i, prose(10 + 5 * i, i)) for i in range(6)] + [(3, prose(40, 77)), (50, "Three short words"), (51, ""), (52, None), (None, prose(20, 88)), (53, "!!! ...")]
     rows = [(i, prose(50, 100 + i)) for i in range(10)]
     rows += [(20, prose(20, 7) + "\n" + prose(40, 77).upper().replace(" ", ",  ")), (21, prose(300, 5) + " " + prose(35, 5)), (22, "x three SHORT--words y"), (23, None), (24, ""), (25, prose(20, 88))]
     rows += [(26, " ".join(prose(35, 5).split()[:20]) + " gap " + " ".join(prose(35, 5).split()[5:30])), (20, rows[0][1]), (20, rows[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.judged(documents(rows), bench, block_bytes=block_bytes).collect()
+    got = decontam.judged(documents(rows), bench, max_bits=max_bits).collect()
     assert len(got) == len(rows)
     for r in got:
         n, hit, ids = slow_hits(r["text"], items)
         assert (r["_n_words"], r["_n_hit"], list(r["_items"]), r["_contaminated"]) == (n, hit, ids, hit > 0 and 20 * hit >= n)
+    clashing = documents(rows).withColumns({c: F.lit("own") for c in ("_hits", "row", "nth", "p", "items", "_items")})
+    assert {r["_hits"] for r in decontam.judged(clashing, bench).collect()} == {"own"}
+    assert decontam.clean(clashing, bench).columns == clashing.columns
     assert decontam.clean(documents(rows), bench.limit(0)).count() == len(rows)
     assert decontam.clean(documents([]), bench).count() == 0
 
 
+def test_decontamination_of_very_long_texts(spark, prose, monkeypatch):
+    monkeypatch.setattr(decontam, "GROUP_BYTES", 1 << 10)
+    monkeypatch.setattr(decontam, "STRETCH", 20)
+    items = [(i, prose(60, 500 + i)) for i in range(5)]
+    body = " ".join(prose(300, i) + " " + items[i % 5][1] for i in range(40))
+    rows = [(1, body), (2, "x" * 5000 + " " + items[0][1]), (3, items[1][1] * 3)]
+    got = decontam.judged(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    for r in got:
+        n, hit, ids = slow_hits(r["text"], items)
+        assert (r["_n_words"], r["_n_hit"], list(r["_items"])) == (n, hit, ids)
+
+
+def test_word_hashes_tell_words_apart():
+    data = "Ab  cd é1! ab \u4e2d ".encode()
+    hashes, starts, stops = decontam.word_hashes(data.translate(decontam.FOLD))
+    words = [data.translate(decontam.FOLD)[a:b] for a, b in zip(starts, stops, strict=True)]
+    assert words == decontam.words_of(data)
+    assert [[x == y for y in hashes] for x in hashes] == [[x == y for y in words] for x in words]
+
+
 # --- lines --------------------------------------------------------------------------------------------
 
 

@@ -1,20 +1,19 @@
 """Line deduplication by content-defined chunks of lines. DataFrame functions only.
 
-Every line is hashed, and a rolling hash over the last `WINDOW` line hashes decides whether a chunk
-ends after a line. A cut depends on the lines around it alone, so an inserted or removed line moves
-no cut but those beside it. A chunk with two or more lines that hold a word, whose bytes equal those of
-an earlier chunk (by doc_id, then text hash and line), is removed; the first one stays. Chunk
-hashes only nominate: equality is decided by grouping on the bytes of the chunk.
-
-Defined results: a null text stays null, has no lines and loses none; an empty text is one empty
-line; rows that repeat both doc_id and text are one document and are treated alike; null ids sort
-last; a document may lose all its lines and then has the empty text; further columns pass through.
-
-A passage of a few lines rarely holds a whole chunk. `dedup_passages` therefore takes every line that holds
-a word with the next such line (and the blank lines between) as a window, and removes all lines of windows
-whose bytes stand at an earlier place: overlapping windows grow to the whole repeated passage. A window
-that overlaps its own first copy stays. The first place of a line always stays, since an earlier window would hold
-an earlier one.
+A rolling hash over the hashes of two neighbouring lines that hold a word (with the blank lines between) depends on these
+lines alone, so lines that come or go elsewhere move no chunk. Cutting where the hash has one residue gives chunks of
+several lines, and a passage of two to six lines in new surroundings rarely holds a whole one. Every residue is therefore
+taken: with the rule of its own residue, each such pair of lines is a chunk, and a repeated passage is the union of its
+chunks. All lines of a chunk whose bytes stand at an earlier place (by doc_id, then text hash and line) are removed.
+
+Hashes only nominate. The least and the greatest text of each repeated hash are compared byte by byte, which pre-aggregates; only
+where they differ are the chunks of that hash grouped by their bytes. A chunk that overlaps its own first copy
+stays. The first place of a line always stays, since an earlier chunk would hold an earlier one.
+
+Defined results: a null text stays null, has no lines and loses none; an empty text is one empty line; rows that repeat
+both doc_id and text are one document and are treated alike; null ids sort last; a document may lose all
+its lines and then has the empty text; other columns pass through under any name, but _n_lines and _n_removed_lines are replaced.
+Single lines are never removed, whatever their length.
 """
 
 from __future__ import annotations
@@ -24,156 +23,107 @@ from pyspark.sql import functions as F
 
 from provena.llm.common import materialise
 
-WINDOW = 2
-DIVISOR = 4
 HAS_WORD = r"[^\x20\x09-\x0D]"
+KEY = ["id", "k1", "k2"]
 
 
-def line_hash(line: Column) -> Column:
-    """32 bits of the line's MD5."""
-    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
+def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with `lines` and `chunks`, an array of (start, stop): lines that hold a word, each with the next such line, from 1."""
+    worded = f"filter(transform(lines, (x, i) -> if(x rlike r'{HAS_WORD}', i + 1, 0)), i -> i > 0)"
+    pairs = "zip_with(slice(worded, 1, greatest(size(worded) - 1, 0)), slice(worded, 2, size(worded)), (a, b) -> struct(a as start, b as stop))"
+    split = docs.withColumn("lines", F.split(F.col(text), "\n", -1)).withColumn("worded", F.expr(worded))
+    return split.withColumn("chunks", F.expr(pairs)).drop("worded")
 
 
-def chunked(docs: DataFrame, text: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """docs with _lines and _chunks, an array of (start, stop): first and last line, from 1."""
-    pairs = "zip_with(slice(_hashes, 1, size(_hashes) - 1), slice(_hashes, 2, size(_hashes)), (p, h) -> (p * 31 + h) % {0} = 0)".format(divisor)
-    cuts = f"filter(transform({pairs}, (cut, i) -> if(cut, i + {WINDOW}, 0)), e -> e > 0)"
-    ends = f"array_union({cuts}, array(size(_hashes)))"
-    starts = "concat(array(1), transform(slice(_ends, 1, size(_ends) - 1), e -> e + 1))"
-    return (
-        docs.withColumn("_lines", F.split(F.col(text).cast("string"), "\n", -1))
-        .withColumn("_hashes", F.transform("_lines", line_hash))
-        .withColumn("_ends", F.when(F.col("_hashes").isNotNull(), F.expr(ends)))
-        .withColumn("_chunks", F.expr(f"zip_with({starts}, _ends, (a, b) -> struct(a as start, b as stop))"))
-        .drop("_hashes", "_ends")
-    )
+def bodies(chunks: str, *more: str) -> Column:
+    """The chunks with their text, and further fields of theirs; rows carry no array of all lines."""
+    fields = "".join(f", c.{m} as {m}" for m in more)
+    return F.expr(f"transform({chunks}, c -> struct(c.start as start, c.stop as stop, array_join(slice(lines, c.start, c.stop - c.start + 1), '\\n') as body{fields}))")
 
 
-def bodies(which: str) -> Column:
-    """Array of (start, body) of the chunks c for which the SQL condition holds; rows carry no array of all lines."""
-    body = "array_join(slice(_lines, c.start, c.stop - c.start + 1), '\\n')"
-    return F.expr(f"transform(filter(_chunks, c -> {which}), c -> struct(c.start as start, {body} as body))")
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, id, k1, k2, t): the row as a struct, its id, 128 bits over its text, and the text."""
+    t = F.col(text).cast("string")
+    return docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2"), t.alias("t"))
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumn("_id", F.col(doc_id)).withColumn("_th", F.xxhash64(F.col(text).cast("string")))
+def _place(*more: str) -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), *KEY, "start", *more)
 
 
-def _several_lines(body: Column) -> Column:
-    return F.size(F.filter(F.split(body, "\n", -1), lambda x: x.rlike(HAS_WORD))) >= 2
+def _is_later() -> Column:
+    """Not the first place, nor one that overlaps it."""
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    return ~same | (F.col("start") > F.col("first.stop"))
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """(_id, _th, gone): for each document that loses chunks, the first lines of these chunks."""
-    key = ["_id", "_th"]
-    parts = _keyed(docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")), "_d", "_t").select(*key, "_t")
+def repeated_chunks(keyed: DataFrame) -> DataFrame:
+    """keyed with `marks`, an array of (start, stop, h, later) of the chunks whose hash is repeated, null if none; written."""
     # explode_outer: for a plain explode Spark adds a filter on the array, which computes it twice, within its own lambdas.
-    found = chunked(parts, "_t", divisor).select(*key, F.explode_outer(bodies("c.stop > c.start")).alias("c")).where("c is not null").select(*key, "c.*")
-    slim = materialise(
-        found.select(*key, "start", F.xxhash64("body").alias("h"), _several_lines(F.col("body")).alias("several")).where("several").drop("several").distinct(), "chunks"
-    )
+    found = chunked(keyed.select(*KEY, "t"), "t").select(*KEY, F.explode_outer(bodies("chunks")).alias("c")).where("c is not null").select(*KEY, "c.*")
+    slim = materialise(found.select(*KEY, "start", "stop", F.xxhash64("body").alias("h")).distinct(), "chunks")
     # Written first: a join with a table is one that AQE may split where a chunk is hot, a join with an aggregation is not.
-    twice = materialise(slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    marked = slim.join(twice, "h").groupBy(*key).agg(F.collect_set("start").alias("starts"))
-    marked = materialise(marked.select(F.col("_id").alias("m_id"), F.col("_th").alias("m_th"), "starts"), "marked")
-
-    # Joins of whole texts are merges at every size: the plan, and what it shuffles, does not change as tables grow.
-    wanted = parts.join(marked.hint("merge"), F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_th") == F.col("m_th")))
-    chosen = chunked(wanted, "_t", divisor).select(*key, F.explode_outer(bodies("array_contains(starts, c.start)")).alias("c")).where("c is not null")
-    chosen = chosen.select(*key, "c.*").withColumn("h", F.xxhash64("body"))
-    chosen = materialise(chosen, "candidates")
-    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "start")
-    first = chosen.groupBy("h", "body").agg(F.min(place).alias("first"))
-    later = chosen.join(first, ["h", "body"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy(*key).agg(F.collect_set("start").alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """docs with `text` less its repeated chunks, and _n_lines and _n_removed_lines."""
-    gone = repeats(docs, doc_id, text, divisor).select(F.col("_id").alias("_m_id"), F.col("_th").alias("_m_th"), F.col("gone").alias("_gone"))
-    joined = _keyed(docs, doc_id, text).join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_m_id")) & (F.col("_th") == F.col("_m_th")), "left")
-    cut = chunked(joined, text, divisor)
-    stay = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["start"]))
-    lost = F.filter("_chunks", lambda c: F.array_contains("_gone", c["start"]))
-    kept = F.array_join(F.transform(stay, lambda c: F.array_join(F.slice("_lines", c["start"], c["stop"] - c["start"] + 1), "\n")), "\n")
-    return (
-        cut.withColumn("_n_lines", F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long"))
-        .withColumn("_n_removed_lines", F.when(F.col("_gone").isNull(), 0).otherwise(F.aggregate(lost, F.lit(0), lambda a, c: a + c["stop"] - c["start"] + 1)).cast("long"))
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text).cast("string")).otherwise(kept))
-        .drop("_id", "_th", "_m_id", "_m_th", "_gone", "_lines", "_chunks")
-    )
-
-
-def _windows(docs: DataFrame, text: str) -> DataFrame:
-    """docs with _lines and _windows, an array of (start, stop): lines that hold a word, each with the next such line, from 1."""
-    worded = f"filter(transform(_lines, (x, i) -> if(x rlike r'{HAS_WORD}', i + 1, 0)), i -> i > 0)"
-    pairs = "zip_with(slice(_worded, 1, greatest(size(_worded) - 1, 0)), slice(_worded, 2, size(_worded)), (a, b) -> struct(a as start, b as stop))"
-    split = docs.withColumn("_lines", F.split(F.col(text).cast("string"), "\n", -1)).withColumn("_worded", F.expr(worded))
-    return split.withColumn("_windows", F.expr(pairs)).drop("_worded")
-
-
-def _window_bodies(windows: str) -> Column:
-    return F.expr(f"transform({windows}, c -> struct(c.start as start, c.stop as stop, array_join(slice(_lines, c.start, c.stop - c.start + 1), '\\n') as body))")
-
-
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _th, gone): for each document that loses lines, the windows (start, stop) that it loses."""
-    key = ["_id", "_th"]
-    parts = _keyed(docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")), "_d", "_t").select(*key, "_t")
-    found = _windows(parts, "_t").select(*key, F.explode_outer(_window_bodies("_windows")).alias("c")).where("c is not null").select(*key, "c.*")
-    slim = materialise(found.select(*key, "start", "stop", F.xxhash64("body").alias("h")).distinct(), "windows")
-    twice = materialise(slim.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
-    marked = slim.join(twice, "h").groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
-    marked = materialise(marked.select(F.col("_id").alias("m_id"), F.col("_th").alias("m_th"), "marks"), "marked")
-
-    wanted = parts.join(marked.hint("merge"), F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_th") == F.col("m_th")))
-    split = wanted.withColumn("_lines", F.split(F.col("_t").cast("string"), "\n", -1))
-    chosen = split.select(*key, F.explode_outer(_window_bodies("marks")).alias("c")).where("c is not null").select(*key, "c.*")
-    chosen = materialise(chosen.withColumn("h", F.xxhash64("body")), "candidates")
-    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_th", "start", "stop")
-    first = materialise(chosen.groupBy("h", "body").agg(F.min(place).alias("first")), "firsts")
-    same = F.col("_id").eqNullSafe(F.col("first._id")) & (F.col("_th") == F.col("first._th"))
-    later = chosen.join(first, ["h", "body"]).where(~same | (F.col("start") > F.col("first.stop")))
-    return later.groupBy(*key).agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
-
-
-def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    first = slim.groupBy("h").agg(F.count("*").alias("n"), F.min(_place("stop")).alias("first")).where("n > 1")
+    first = materialise(first.drop("n"), "firsts")
+    marked = slim.join(first, "h").groupBy(*KEY).agg(F.collect_list(F.struct("start", "stop", "h", _is_later().alias("later"))).alias("marks"))
+    marked = materialise(marked.select(F.col("id").alias("m_id"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), "marks"), "marked")
+    # A merge at every size: the plan, and what it shuffles, does not change as tables grow.
+    joined = keyed.join(marked.hint("merge"), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
+    return materialise(joined.drop("m_id", "m1", "m2"), "marked-texts")
+
+
+def _marked_bodies(marked: DataFrame) -> DataFrame:
+    split = marked.where("marks is not null").select(*KEY, "marks", F.split("t", "\n", -1).alias("lines")).distinct()
+    return split.select(*KEY, F.explode_outer(bodies("marks", "h")).alias("c")).select(*KEY, "c.*")
+
+
+def compared(marked: DataFrame) -> DataFrame:
+    """marked with `gone`, an array of (start, stop) of the chunks whose bytes stand at an earlier place."""
+    extremes = _marked_bodies(marked).groupBy("h").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    differ = materialise(extremes.where("least <> most").select("h"), "differ")
+    by_hash = F.expr("transform(filter(marks, m -> m.later), m -> struct(m.start as start, m.stop as stop))")
+    if differ.isEmpty():
+        return marked.select("row", "t", by_hash.alias("gone"))
+    own = materialise(_marked_bodies(marked).join(differ, "h"), "same-hash")
+    first = materialise(own.groupBy("h", "body").agg(F.min(_place("stop")).alias("first")), "first-bytes")
+    exact = own.join(first, ["h", "body"]).groupBy(*KEY).agg(
+        F.collect_set(F.struct("start", "stop")).alias("judged"), F.collect_set(F.when(_is_later(), F.struct("start", "stop"))).alias("late")
+    )
+    exact = materialise(exact.select(F.col("id").alias("m_id"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), "judged", "late"), "exact")
+    joined = marked.join(exact, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
+    gone = F.when(F.col("judged").isNull(), by_hash).otherwise(F.array_union(F.array_except(by_hash, "judged"), "late"))
+    return joined.select("row", "t", gone.alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `text` less its repeated passages of two or more lines that hold a word, and _n_lines and _n_removed_lines."""
-    gone = repeated_passages(docs, doc_id, text).select(F.col("_id").alias("_m_id"), F.col("_th").alias("_m_th"), F.col("gone").alias("_gone"))
-    joined = _keyed(docs, doc_id, text).join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_m_id")) & (F.col("_th") == F.col("_m_th")), "left")
-    cut = joined.withColumn("_lines", F.split(F.col(text).cast("string"), "\n", -1))
-    lost = "flatten(transform(_gone, c -> sequence(c.start, c.stop)))"
-    cut = cut.withColumn("_stay", F.when(F.col("_gone").isNotNull(), F.expr(f"array_except(sequence(1, size(_lines)), {lost})")))
-    n_lines = F.coalesce(F.array_size("_lines"), F.lit(0)).cast("long")
-    return (
-        cut.withColumn("_n_lines", n_lines)
-        .withColumn("_n_removed_lines", F.when(F.col("_gone").isNull(), 0).otherwise(F.array_size("_lines") - F.array_size("_stay")).cast("long"))
-        .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text).cast("string")).otherwise(F.expr("array_join(transform(_stay, i -> _lines[i - 1]), '\\n')")))
-        .drop("_id", "_th", "_m_id", "_m_th", "_gone", "_lines", "_stay")
-    )
+    cut = compared(repeated_chunks(_keyed(docs, doc_id, text))).withColumn("lines", F.split("t", "\n", -1))
+    lost = "flatten(transform(gone, c -> sequence(c.start, c.stop)))"
+    cut = cut.withColumn("stay", F.when(F.size("gone") > 0, F.expr(f"array_except(sequence(1, size(lines)), {lost})")))
+    kept = F.when(F.col("stay").isNull(), F.col("t")).otherwise(F.expr("array_join(transform(stay, i -> lines[i - 1]), '\\n')"))
+    own = [F.col(f"row.`{c}`") if c != text else kept.alias(text) for c in docs.columns if c not in ("_n_lines", "_n_removed_lines")]
+    n_lines = F.coalesce(F.array_size("lines"), F.lit(0)).cast("long")
+    removed = F.when(F.col("stay").isNull(), 0).otherwise(F.array_size("lines") - F.array_size("stay")).cast("long")
+    return cut.select(*own, n_lines.alias("_n_lines"), removed.alias("_n_removed_lines"))
 
 
 ORACLE = r"""
-with lines as (
-  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
-  from (select distinct doc_id, text from documents where text is not null)
-), hashed as (
-  select *, ('0x' || substr(md5(line), 1, 8))::bigint as h, max(i) over (partition by doc_id, text) as n from lines
-), cuts as (
-  select *, case when i = n or (i >= 2 and (lag(h) over (partition by doc_id, text order by i) * 31 + h) % 4 = 0) then 1 else 0 end as ends from hashed
-), numbered as (
-  select *, coalesce(sum(ends) over (partition by doc_id, text order by i rows between unbounded preceding and 1 preceding), 0) as c from cuts
+with docs as (
+  select distinct doc_id, text, string_split(text, chr(10)) as l from documents where text is not null
+), lines as (
+  select doc_id, text, unnest(l) as line, generate_subscripts(l, 1) as i from docs
+), worded as (
+  select doc_id, text, i as start, lead(i) over (partition by doc_id, text order by i) as stop from lines where regexp_matches(line, '[^\x20\x09-\x0D]')
 ), chunks as (
-  select doc_id, text, c, min(i) as start, count(*) as n_lines, string_agg(line, chr(10) order by i) as body,
-    sum(case when regexp_matches(line, '[^\x20\x09-\x0D]') then 1 else 0 end) as worded
-  from numbered group by doc_id, text, c
-), marked as (
-  select *, n_lines >= 2 and worded >= 2
-    and row_number() over (partition by body order by doc_id nulls last, start) > 1 as gone from chunks
+  select w.doc_id, w.text, start, stop, array_to_string(d.l[start:stop], chr(10)) as body
+  from worded w join docs d on w.doc_id is not distinct from d.doc_id and w.text = d.text where stop is not null
+), ranked as (
+  select *, first(doc_id) over f as first_id, first(text) over f as first_text, first(stop) over f as first_stop from chunks window f as (partition by body order by doc_id nulls last, text, start)
+), gone as (
+  select distinct doc_id, text, unnest(range(start, stop + 1)) as i from ranked where not (doc_id is not distinct from first_id and text = first_text) or start > first_stop
 ), kept as (
-  select doc_id, text, sum(n_lines)::bigint as n_lines, coalesce(sum(n_lines) filter (where gone), 0)::bigint as n_removed_lines,
-    coalesce(string_agg(body, chr(10) order by c) filter (where not gone), '') as body
-  from marked group by doc_id, text
+  select l.doc_id, l.text, count(*) as n_lines, count(g.i) as n_removed_lines, coalesce(string_agg(line, chr(10) order by l.i) filter (where g.i is null), '') as body
+  from lines l left join gone g on l.doc_id is not distinct from g.doc_id and l.text = g.text and l.i = g.i group by l.doc_id, l.text
 )
 select d.doc_id, coalesce(k.n_lines, 0)::bigint as n_lines, coalesce(k.n_removed_lines, 0)::bigint as n_removed_lines, sha256(k.body) as kept_sha256
 from documents d left join kept k on d.doc_id is not distinct from k.doc_id and d.text = k.text

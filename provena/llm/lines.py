@@ -42,9 +42,13 @@ def bodies(chunks: str, *more: str) -> Column:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, id, k1, k2, t): the row as a struct, its id, 128 bits over its text, and the text."""
+    """(row, id, k1, k2): the row as a struct, its id, and 128 bits over its text."""
     t = F.col(text).cast("string")
-    return docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2"), t.alias("t"))
+    return docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2"))
+
+
+def _text(text: str) -> Column:
+    return F.col("row")[text].cast("string")
 
 
 def _place(*more: str) -> Column:
@@ -57,10 +61,10 @@ def _is_later() -> Column:
     return ~same | (F.col("start") > F.col("first.stop"))
 
 
-def repeated_chunks(keyed: DataFrame) -> DataFrame:
+def repeated_chunks(keyed: DataFrame, text: str = "text") -> DataFrame:
     """keyed with `marks`, an array of (start, stop, h, later) of the chunks whose hash is repeated, null if none; written."""
     # explode_outer: for a plain explode Spark adds a filter on the array, which computes it twice, within its own lambdas.
-    found = chunked(keyed.select(*KEY, "t"), "t").select(*KEY, F.explode_outer(bodies("chunks")).alias("c")).where("c is not null").select(*KEY, "c.*")
+    found = chunked(keyed.select(*KEY, _text(text).alias("t")), "t").select(*KEY, F.explode_outer(bodies("chunks")).alias("c")).where("c is not null").select(*KEY, "c.*")
     slim = materialise(found.select(*KEY, "start", "stop", F.xxhash64("body").alias("h")).distinct(), "chunks")
     # Written first: a join with a table is one that AQE may split where a chunk is hot, a join with an aggregation is not.
     first = slim.groupBy("h").agg(F.count("*").alias("n"), F.min(_place("stop")).alias("first")).where("n > 1")
@@ -72,19 +76,19 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     return materialise(joined.drop("m_id", "m1", "m2"), "marked-texts")
 
 
-def _marked_bodies(marked: DataFrame) -> DataFrame:
-    split = marked.where("marks is not null").select(*KEY, "marks", F.split("t", "\n", -1).alias("lines")).distinct()
+def _marked_bodies(marked: DataFrame, text: str) -> DataFrame:
+    split = marked.where("marks is not null").select(*KEY, "marks", F.split(_text(text), "\n", -1).alias("lines"))
     return split.select(*KEY, F.explode_outer(bodies("marks", "h")).alias("c")).select(*KEY, "c.*")
 
 
-def compared(marked: DataFrame) -> DataFrame:
+def compared(marked: DataFrame, text: str = "text") -> DataFrame:
     """marked with `gone`, an array of (start, stop) of the chunks whose bytes stand at an earlier place."""
-    extremes = _marked_bodies(marked).groupBy("h").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    extremes = _marked_bodies(marked, text).groupBy("h").agg(F.min("body").alias("least"), F.max("body").alias("most"))
     differ = materialise(extremes.where("least <> most").select("h"), "differ")
     by_hash = F.expr("transform(filter(marks, m -> m.later), m -> struct(m.start as start, m.stop as stop))")
     if differ.isEmpty():
-        return marked.select("row", "t", by_hash.alias("gone"))
-    own = materialise(_marked_bodies(marked).join(differ, "h"), "same-hash")
+        return marked.select("row", by_hash.alias("gone"))
+    own = materialise(_marked_bodies(marked, text).join(differ, "h"), "same-hash")
     first = materialise(own.groupBy("h", "body").agg(F.min(_place("stop")).alias("first")), "first-bytes")
     exact = own.join(first, ["h", "body"]).groupBy(*KEY).agg(
         F.collect_set(F.struct("start", "stop")).alias("judged"), F.collect_set(F.when(_is_later(), F.struct("start", "stop"))).alias("late")
@@ -92,15 +96,15 @@ def compared(marked: DataFrame) -> DataFrame:
     exact = materialise(exact.select(F.col("id").alias("m_id"), F.col("k1").alias("m1"), F.col("k2").alias("m2"), "judged", "late"), "exact")
     joined = marked.join(exact, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left")
     gone = F.when(F.col("judged").isNull(), by_hash).otherwise(F.array_union(F.array_except(by_hash, "judged"), "late"))
-    return joined.select("row", "t", gone.alias("gone"))
+    return joined.select("row", gone.alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `text` less its repeated passages of two or more lines that hold a word, and _n_lines and _n_removed_lines."""
-    cut = compared(repeated_chunks(_keyed(docs, doc_id, text))).withColumn("lines", F.split("t", "\n", -1))
+    cut = compared(repeated_chunks(_keyed(docs, doc_id, text), text), text).withColumn("lines", F.split(_text(text), "\n", -1))
     lost = "flatten(transform(gone, c -> sequence(c.start, c.stop)))"
     cut = cut.withColumn("stay", F.when(F.size("gone") > 0, F.expr(f"array_except(sequence(1, size(lines)), {lost})")))
-    kept = F.when(F.col("stay").isNull(), F.col("t")).otherwise(F.expr("array_join(transform(stay, i -> lines[i - 1]), '\\n')"))
+    kept = F.when(F.col("stay").isNull(), _text(text)).otherwise(F.expr("array_join(transform(stay, i -> lines[i - 1]), '\\n')"))
     own = [F.col(f"row.`{c}`") if c != text else kept.alias(text) for c in docs.columns if c not in ("_n_lines", "_n_removed_lines")]
     n_lines = F.coalesce(F.array_size("lines"), F.lit(0)).cast("long")
     removed = F.when(F.col("stay").isNull(), 0).otherwise(F.array_size("lines") - F.array_size("stay")).cast("long")

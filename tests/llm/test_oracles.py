@@ -35,6 +35,7 @@ def test_quotes_in_sql(spark):
     rows = [
         (1, 0, "u", "Hello there\nfriend.\n\nSecond part."), (1, 1, "a", "On Monday u wrote:\n> Hello   there friend.\n\nMy answer."), (1, 2, "u", ">> hello there\n>> FRIEND.\n>\n> My answer.\n\n\n\nThanks"),
         (2, 0, "u", "> Second part.\nnot mine"), (2, 1, "a", "> nobody said this\nok"), (3, 0, "u", None), (3, None, "u", "text"), (None, 4, "u", ""), (1, 1, "a", "On Monday u wrote:\n> Hello   there friend.\n\nMy answer."),
+        (1, 3, "a", "> Second part.\nback to the start"), (1, 4, "u", "after that"), (1, 5, "u", "> My answer.\nlate"), (1, 6, "u", "> Second part.\nagain"), (2, 5, "u", "gap"), (0, 0, "u", "> late\nthing"), (5, 0, "u", "> thing\nlate"),
     ]
     con = duckdb.connect()
     con.register("conversations", pa.table({n: [r[k] for r in rows] for k, n in enumerate(("conv_id", "turn", "role", "text"))}))

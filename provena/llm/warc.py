@@ -1,24 +1,27 @@
 """WARC archives: a writer that turns repeated payloads into revisit records, and a Spark data source.
 
 Writing: payloads are compared by SHA-1; of equal ones the one with the smallest page_id becomes the
-response record and the others revisit it. Every partition writes one archive to a folder all
-executors share, under a temporary name first, so a repeated task replaces its own file.
+response record and the others revisit it. Every partition writes archives of about ARCHIVE_BYTES to a folder all
+executors share, in a fixed order and under temporary names first, so a repeated task replaces its own files.
+Compressed archives hold one gzip member a record, and the member's header says how long the member is (the
+skip-lengths field of the standard's annex on compression).
 
 Reading: format("warc") plans partitions of whole archives by size. Filters on record type and on other
-header fields are pushed into the reader; it parses a record's header first and skips the block
-of a record that the filters drop, or whose payload no wanted column needs, without decoding it.
+header fields are pushed into the reader. It inflates and parses a record's header first, and steps over the rest
+of a record that the filters drop, or whose payload no wanted column needs, without reading or inflating it. Compressed archives of
+other writers lack the field; their records are read through instead.
 
 Defined results: a null payload is the empty payload; null urls leave out the header; rows that
 repeat the page_id and payload of a response are responses too; null ids sort last; an empty table
-writes no archive and reads back as no rows.
+writes no archive and reads back as no rows; payloads may have any length; other columns do not matter.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +40,7 @@ from provena.llm.common import materialise
 IDS = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace for URLs
 DATE = "2024-01-01T00:00:00Z"
 PARTITION_BYTES = 64 << 20
+ARCHIVE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 
 
@@ -70,44 +74,85 @@ def _record(kind: str, page_id: object, url: str | None, digest: str, date: str,
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def member(record: bytes) -> bytes:
+    """A gzip member whose header holds its own length and the record's (zero where they need over 32 bits)."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(record) + deflate.flush()
+    size = 32 + len(body)
+    lengths = (size, len(record)) if max(size, len(record)) < 1 << 32 else (0, 0)
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, *lengths)
+    return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+
+
+def member_length(head: bytes) -> int:
+    """The length that a member's header holds, zero if none."""
+    if head[:4] != b"\x1f\x8b\x08\x04":
+        return 0
+    at, end = 12, 12 + int.from_bytes(head[10:12], "little")
+    while at + 4 <= end:
+        size = int.from_bytes(head[at + 2 : at + 4], "little")
+        if head[at : at + 2] == b"sl" and size == 8:
+            return int.from_bytes(head[at + 4 : at + 8], "little")
+        at += 4 + size
+    return 0
+
+
 def with_roles(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, html, sha1 hex, first_id) with the page_id of the response that has the same payload."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
+    # Written first: a join with a table is one that AQE may split where many pages have one payload.
+    first = materialise(rows.groupBy("sha1").agg(F.min("page_id").alias("first_id")), "first-pages")
     return rows.join(first, "sha1")
 
 
 def write_archives(
-    pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, compress: bool = False
+    pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, compress: bool = False, archive_bytes: int = ARCHIVE_BYTES
 ) -> DataFrame:
     """Write the pages' archives to folder; (path, n_records, n_bytes) of each archive."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        name = f"{root}/part-{TaskContext.get().partitionId():06d}.warc{'.gz' if compress else ''}"
-        draft = f"{name}.{TaskContext.get().taskAttemptId()}.tmp"
+        task = TaskContext.get()
+        done: list[tuple[str, str, int, int]] = []
         out, n, size = None, 0, 0
+
+        def close() -> None:
+            nonlocal out, n, size
+            if out is not None:
+                out.close()
+                done[-1] = (*done[-1][:2], n, size)
+                out, n, size = None, 0, 0
+
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                own, target, payload, sha1, first = row
+            for own, target, payload, sha1, first in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 if own == first or len(payload) < min_bytes:
                     record = response_record(own, target, payload, digest)
                 else:
                     record = revisit_record(own, target, digest, first)
+                record = member(record) if compress else record
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(draft)
-                out.write(gzip.compress(record, 6) if compress else record)
+                    name = f"{root}/part-{task.partitionId():06d}-{len(done):05d}.warc{'.gz' if compress else ''}"
+                    done.append((f"{name}.{task.taskAttemptId()}.tmp", name, 0, 0))
+                    out = fs.open_output_stream(done[-1][0])
+                out.write(record)
                 n, size = n + 1, size + len(record)
-        if out is not None:
-            out.close()
+                if size >= archive_bytes:
+                    close()
+        close()
+        for draft, name, _, _ in done:
             fs.move(draft, name)
-            yield pa.RecordBatch.from_pydict({"path": [name], "n_records": [n], "n_bytes": [size]})
+        yield pa.RecordBatch.from_pydict({"path": [x[1] for x in done], "n_records": [x[2] for x in done], "n_bytes": [x[3] for x in done]}, schema=WRITTEN)
 
     rows = with_roles(pages, page_id, url, html).select("page_id", "url", F.col("html").cast("binary"), "sha1", "first_id")
-    return materialise(rows.mapInArrow(write, "path string, n_records long, n_bytes long"), "archives")
+    # In order, so that a repeated task cuts its archives at the same records.
+    ordered = rows.sortWithinPartitions("sha1", "page_id", "url")
+    return materialise(ordered.mapInArrow(write, "path string, n_records long, n_bytes long"), "archives")
+
+
+WRITTEN = pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())])
 
 
 # --- reading ---------------------------------------------------------------------------------
@@ -142,6 +187,10 @@ HEADERS = {
 FROM_BLOCK = {"payload_bytes", "payload_sha1", "payload"}
 
 
+#: Bytes of a member that are read to find the end of its record's header.
+HEAD = 2048
+
+
 @dataclass
 class Archives(InputPartition):
     files: list[str]
@@ -220,8 +269,8 @@ class WarcReader(DataSourceReader):
 
         for path in partition.files:
             with fs.open_input_file(path) as raw:
-                source = io.BufferedReader(Members(raw) if path.endswith(".gz") else raw, 1 << 18)
-                for header, payload in records(source, self.wanted, need):
+                found = gzip_records(raw, self.wanted, need) if path.endswith(".gz") else records(io.BufferedReader(raw, 1 << 18), self.wanted, need)
+                for header, payload in found:
                     row = {c: header.get(h) for c, h in HEADERS.items()}
                     row |= {"path": path, "content_length": int(header["content-length"])}
                     if payload is not None:
@@ -261,6 +310,17 @@ class Members(io.RawIOBase):
                 return len(out)
 
 
+def header_of(lines: Iterator[bytes]) -> dict[str, str]:
+    """Fields of a record's header, from the lines after its first one."""
+    header: dict[str, str] = {}
+    for line in lines:
+        name, _, value = line.decode("utf-8").partition(":")
+        header[name.strip().lower()] = value.strip()
+    if header.get("warc-payload-digest", "").startswith("sha1:"):
+        header["warc-payload-digest"] = header["warc-payload-digest"][5:]
+    return header
+
+
 def records(source: io.BufferedReader, wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(header fields, payload or None) of the wanted records; blocks of others are stepped over."""
     while True:
@@ -271,23 +331,51 @@ def records(source: io.BufferedReader, wanted, need_payload: bool) -> Iterator[t
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not the start of a WARC record: {line[:60]!r}")
-        header: dict[str, str] = {}
-        while (line := source.readline().rstrip(b"\r\n")) != b"":
-            name, _, value = line.decode("utf-8").partition(":")
-            header[name.strip().lower()] = value.strip()
-        if header.get("warc-payload-digest", "").startswith("sha1:"):
-            header["warc-payload-digest"] = header["warc-payload-digest"][5:]
+        header = header_of(iter(lambda: source.readline().rstrip(b"\r\n"), b""))
         length = int(header["content-length"])
-        if not wanted(header):
-            _step_over(source, length)
-        elif need_payload and header.get("warc-type") == "response":
+        if need_payload and header.get("warc-type") == "response" and wanted(header):
             block = source.read(length)
             if len(block) < length:
                 raise ValueError("the archive ends within a record")
             yield header, block.partition(b"\r\n\r\n")[2]
         else:
             _step_over(source, length)
-            yield header, None
+            if wanted(header):
+                yield header, None
+
+
+def gzip_records(raw, wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """As records, of gzip members with one record each: only headers and wanted payloads are inflated."""
+    source = io.BufferedReader(raw, 1 << 16)
+    at = 0
+    while head := source.read(HEAD):
+        size = member_length(head)
+        if not size:  # of another writer
+            raw.seek(at)
+            yield from records(io.BufferedReader(Members(raw), 1 << 18), wanted, need_payload)
+            return
+        inflate, text = zlib.decompressobj(31), b""
+        while b"\r\n\r\n" not in text and head:
+            text += inflate.decompress(head, HEAD)
+            head = inflate.unconsumed_tail or source.read(HEAD)
+        first, _, rest = text.partition(b"\r\n\r\n")
+        lines = iter(first.split(b"\r\n"))
+        if not next(lines).startswith(b"WARC/"):
+            raise ValueError(f"not the start of a WARC record: {first[:60]!r}")
+        header = header_of(lines)
+        if wanted(header):
+            if need_payload and header.get("warc-type") == "response":
+                length = int(header["content-length"])
+                while len(rest) < length and head and not inflate.eof:
+                    rest += inflate.decompress(head)
+                    head = source.read(max(HEAD, at + size - source.tell()))
+                if len(rest) < length:
+                    raise ValueError("the archive ends within a record")
+                yield header, rest[:length].partition(b"\r\n\r\n")[2]
+            else:
+                yield header, None
+        at += size
+        source.seek(at)
 
 
 def _step_over(source: io.BufferedReader, length: int) -> None:
@@ -301,9 +389,20 @@ def _step_over(source: io.BufferedReader, length: int) -> None:
 def read_archives(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame:
     """The records below folder, with the given columns of SCHEMA."""
     spark.dataSource.register(WarcSource)
+    # Spark asks for this setting wherever a Python source takes filters, and looks at it when the query runs.
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     schema = T.StructType([SCHEMA[c] for c in columns]) if columns else SCHEMA
-    return spark.read.format("warc").schema(schema).load(folder)
+    reader = spark.read.format("warc").schema(schema)
+    most = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return reader.option("partitionBytes", most if most else PARTITION_BYTES).load(folder)
+
+
+def _bytes(size: str) -> int:
+    """A Spark size such as 128m or 134217728b in bytes; zero if it is none."""
+    number, unit = size.lower().rstrip("b")[:-1], size.lower().rstrip("b")[-1:]
+    if unit.isdigit():
+        return int(number + unit)
+    return int(number) << {"k": 10, "m": 20, "g": 30}[unit] if number.isdigit() and unit in "kmg" else 0
 
 
 def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -311,7 +410,7 @@ def archived_pages(spark: SparkSession, folder: str) -> DataFrame:
     response = read_archives(spark, folder, ["record_type", "page_id", "payload_bytes", "payload_sha1"]).where("record_type = 'response'")
     response = response.select("page_id", "payload_bytes", "payload_sha1")
     revisit = read_archives(spark, folder, ["record_type", "page_id", "refers_to_page_id", "payload_digest"]).where("record_type = 'revisit'")
-    first = response.select(F.col("page_id").alias("first_id"), "payload_sha1", "payload_bytes").distinct()
+    first = materialise(response.select(F.col("page_id").alias("first_id"), "payload_sha1", "payload_bytes").distinct(), "responses")
     seen = revisit.join(first, F.col("refers_to_page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_digest") == F.col("payload_sha1")), "left")
     return response.select(
         F.col("page_id").cast("long"), "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")

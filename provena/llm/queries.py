@@ -50,10 +50,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, ledger = table(spark, sf_dir, "documents"), tokens.Ledger(spark)
-    for name in tokens.VOCABULARIES:
-        ledger.apply(f"load-{name.partition('.')[0]}", tokens.inserts(docs, f"{tokens.vocabulary_dir()}/{name}"))
-    return ledger.totals()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return tokens.maintained(tokens.Ledger(spark), docs, [f"{tokens.vocabulary_dir()}/{name}" for name in tokens.VOCABULARIES])
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
+import gzip
+import os
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from provena.llm import chat, decontam, lines, mixing, tokens, urls, warc
-from provena.llm.common import new_path
+from provena.llm import chat, decontam, lines, mixing, queries, tokens, urls, warc
+from provena.llm.common import WORD, new_path
 
 
 # --- mixing -----------------------------------------------------------------------------------
@@ -204,6 +208,43 @@ def test_warc_round_trip(spark, compress):
     assert sorted(r["page_id"] for r in plan.collect()) == ["4", "5"]
 
 
+def test_unwanted_payloads_are_not_inflated(spark):
+    """The payloads' compressed bytes are spoilt: whoever asks for headers alone does not notice."""
+    pages = [(k, f"http://a/{k}", "".join(random.Random(k).choices("abcdefgh ", k=60_000))) for k in range(8)] + [(9, "http://b", "small")]
+    folder = new_path(spark, "warc-test")
+    paths = [r["path"] for r in warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), folder, compress=True, archive_bytes=50_000).collect()]
+    assert len(paths) > 3
+    headers = lambda: sorted(r["page_id"] for r in warc.read_archives(spark, folder, ["page_id", "record_type"]).where("record_type = 'response'").collect())
+    sizes = lambda: {r["page_id"]: r["payload_bytes"] for r in warc.read_archives(spark, folder, ["page_id", "payload_bytes"]).collect()}
+    assert sizes() == {str(k): len(html) for k, _, html in pages}
+    for path in paths:
+        data, at = bytearray(Path(path).read_bytes()), 0
+        while at < len(data):
+            size = warc.member_length(bytes(data[at : at + 64]))
+            if size > 8000:
+                data[at + 6000 : at + size - 8] = b"\xff" * (size - 6008)
+            at += size
+        Path(path).write_bytes(data)
+        Path(f"{os.path.dirname(path)}/.{os.path.basename(path)}.crc").unlink(missing_ok=True)
+    assert headers() == sorted(str(k) for k, _, _ in pages)
+    with pytest.raises(Exception, match="invalid|incorrect|Error -3"):
+        sizes()
+
+
+def test_archives_of_other_writers(spark):
+    """Members without lengths, two records in one member, and a record cut off."""
+    record = lambda k, body: warc.response_record(k, "http://x", body, "D" * 32)
+    folder = new_path(spark, "warc-test")
+    at = Path(folder.removeprefix("file://"))
+    at.mkdir()
+    (at / "other.warc.gz").write_bytes(warc.member(record(1, b"one")) + gzip.compress(record(2, b"two" * 9000) + record(3, b"three")) + gzip.compress(record(4, b"")))
+    got = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, folder, ["page_id", "payload"]).where("page_id <> '1'").collect()}
+    assert got == {"2": b"two" * 9000, "3": b"three", "4": b""}
+    (at / "cut.warc.gz").write_bytes(warc.member(record(5, random.Random(5).randbytes(9000)))[:-3000])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_archives(spark, folder, ["payload"]).collect()
+
+
 def test_small_payloads_are_always_responses(spark):
     folder = new_path(spark, "warc-test")
     warc.write_archives(spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbbbbb"), (4, "u", "bbbbbb")], "page_id long, url string, html string"), folder, min_bytes=3)
@@ -219,27 +260,81 @@ def test_empty_warc(spark):
 # --- tokens -------------------------------------------------------------------------------------------------
 
 
+PATHS = [f"{tokens.vocabulary_dir()}/{name}" for name in tokens.VOCABULARIES]
+
+
+def slow_count(text, path):
+    return len(tokens.encoder(Path(path).read_bytes()).encode_ordinary(text or ""))
+
+
 def test_token_counts_equal_the_encoder(documents, prose):
-    path = f"{tokens.vocabulary_dir()}/{tokens.VOCABULARIES[0]}"
     texts = [prose(200, 1), "It's 3,000€ — naïve  \n\n  x\t", None, "", "日本語テキスト", " leading", "a" * 5000]
-    got = [r["n"] for r in documents(list(enumerate(texts))).orderBy("doc_id").select(tokens.token_count(F.col("text"), path).alias("n")).collect()]
-    assert got == [len(tokens.encoder(path).encode_ordinary(t or "")) for t in texts]
+    got = [r["n"] for r in documents(list(enumerate(texts))).orderBy("doc_id").select(tokens.token_counts(F.col("text"), PATHS).alias("n")).collect()]
+    assert got == [[slow_count(t, p) for p in PATHS] for t in texts]
 
 
 def test_ledger_replays_revisions_and_deletes(spark, documents):
-    path = f"{tokens.vocabulary_dir()}/{tokens.VOCABULARIES[0]}"
-    docs = documents([(1, "one two", "a"), (2, "three", "a"), (3, "four five six", None), (4, None, "b"), (1, "one two", "a")])
+    path = PATHS[:1]
+    docs = documents([(1, "one two", "a"), (2, "three", "a"), (3, "four five six", None), (4, None, "b"), (1, "one two", "a"), (None, "seven", "d")])
     ledger = tokens.Ledger(spark)
-    assert ledger.totals().count() == 0
-    assert ledger.apply("b1", tokens.inserts(docs, path)) and not ledger.apply("b1", tokens.inserts(docs, path))
+    assert ledger.totals().count() == 0 and ledger.committed() == []
+    assert ledger.apply("b1", tokens.changes(docs, path)) and not ledger.apply("b1", tokens.changes(docs, path))
     state = lambda: {r["source"]: (r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()}
     first = state()
-    assert first["a"][0] == 3 and first[None][0] == 1 and first["b"] == (1, 0)
-    version = tokens.version_of(path)
-    changes = spark.createDataFrame([(2, "delete", "a", "en", version, None), (3, "revise", "c", "en", version, 7)], "doc_id long, op string, source string, lang string, tokenizer string, n_tokens long")
-    assert ledger.apply("b2", changes) and not ledger.apply("b2", changes)
+    assert first["a"][0] == 3 and first[None][0] == 1 and first["b"] == (1, 0) and first["d"][0] == 1
+    version = tokens.version_of(path[0])
+    schema = "doc_id long, op string, source string, lang string, tokenizer string, n_tokens long"
+    batch = [(2, "delete", "a", "en", version, None), (3, "revise", "c", "en", version, 7), (None, "delete", None, None, version, None), (99, "delete", "a", "en", version, None), (3, "revise", "x", "en", "other", 5)]
+    assert ledger.apply("b2", spark.createDataFrame(batch, schema)) and not ledger.apply("b2", spark.createDataFrame(batch, schema))
     now = state()
-    assert now["c"] == (1, 7) and None not in now and now["a"][0] == 2 and now["b"] == (1, 0)
+    assert now["c"] == (1, 7) and None not in now and "d" not in now and now["a"][0] == 2 and now["b"] == (1, 0) and now["x"] == (1, 5)
+    assert ledger.apply("b3", tokens.changes(docs.where("doc_id = 1"), path)) and state() == now  # booked already
+    assert ledger.apply("b4", tokens.changes(docs.where("doc_id = 2"), path)) and state()["a"][0] == 3
+    assert ledger.committed() == ["b1", "b2", "b3", "b4"]
+
+
+def test_ledger_writers_meet(spark, documents, monkeypatch):
+    """A writer whose number is taken while it writes starts over and sees what the other one booked."""
+    ledger, path = tokens.Ledger(spark), PATHS[:1]
+    docs = documents([(1, "one two", "a")])
+    ledger.apply("b1", tokens.changes(docs, path))
+    real, calls = ledger.commits, []
+
+    def stale():
+        calls.append(1)
+        return real()[:1] if len(calls) == 1 else real()
+
+    delete = tokens.changes(docs, path, "delete")
+    ledger.apply("b2", delete)
+    monkeypatch.setattr(ledger, "commits", stale)
+    assert ledger.apply("b3", delete) and ledger.totals().count() == 0 and ledger.committed() == ["b1", "b2", "b3"]
+
+
+def test_maintained_totals_against_brute_force(spark, documents, prose):
+    rows = [(i, prose(20 + i, i) + (f" write to a{i}.b@mail.example.org now" if i % 3 == 0 else ""), f"s{i % 2}") for i in range(30)]
+    rows += [(100, None, "s0"), (101, "", "s1"), (102, " \n\t", None), (7, prose(9, 9), "s0"), (None, "x@y.zz", None), (103, "no@host", "s1")]
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in tokens.maintained(tokens.Ledger(spark), documents(rows), PATHS).collect()}
+    want = {}
+    for _, text, source in rows:
+        if text and text.split():
+            for p in PATHS:
+                key = (source, "en", tokens.version_of(p))
+                n, total = want.get(key, (0, 0))
+                want[key] = n + 1, total + slow_count(re.sub(tokens.EMAIL, "<email>", text), p)
+    assert got == want
+    assert tokens.maintained(tokens.Ledger(spark), documents([]), PATHS).count() == 0
+
+
+def test_op8_totals_on_the_table(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if r["text"] and re.search(WORD, r["text"]):
+            for p in PATHS:
+                key = (r["source"], r["lang"], tokens.version_of(p))
+                n, total = want.get(key, (0, 0))
+                want[key] = n + 1, total + slow_count(re.sub(tokens.EMAIL, "<email>", r["text"]), p)
+    assert {(r["source"], r["lang"], r["tokenizer"]): (r["n_docs"], r["n_tokens"]) for r in queries.op8_token_counts(spark, sf).collect()} == want
 
 
 # --- chat ---------------------------------------------------------------------------------------------------
@@ -262,4 +357,41 @@ def test_quotes_link_to_first_originals(spark):
     assert (out[2, 1]["reply_conv_id"], out[2, 1]["reply_turn"], out[2, 1]["n_linked"]) == (2, 0, 0)
     assert out[3, 0]["text"] == "" and out[4, 5]["reply_turn"] is None
     assert sorted(r["position"] for r in chat.link_quotes(df).collect() if r["conv_id"] == 1) == [0, 1, 2, 3]
+    odd = chat.link_quotes(spark.createDataFrame([("x", "one", "u", "a"), ("x", "2", "a", "> a\nb"), (None, None, None, None)], "conv_id string, turn string, role string, text string")).collect()
+    assert {(r["conv_id"], r["turn"], r["position"]) for r in odd} == {("x", None, 0), ("x", 2, 1), (None, None, 0)}
     assert chat.link_quotes(df.limit(0)).count() == 0
+
+
+def test_replies_are_ordered_depth_first(spark):
+    """Random trees of quotes, one conversation far larger than the others, against a walk of the tree."""
+    r = random.Random(4)
+    rows, parents = [], {}
+    for c, n in [("a", 120), ("b", 1), ("c", 7), (None, 12), ("d", 30)]:
+        for t in range(n):
+            if t and r.random() < 0.02:
+                continue  # a missing turn begins a thread
+            kind, q = r.random(), None
+            if t and kind < 0.4:
+                q = r.choice([x for k, x in parents if k == c])
+            parents[c, t] = q if q is not None else t - 1 if (c, t - 1) in parents else None
+            rows.append((c, t, "u", (f"> said {c} {q}\n" if q is not None else "") + f"said {c} {t}"))
+    want = {}
+    for c in {k for k, _ in parents}:
+        stack, place = sorted([t for k, t in parents if k == c and parents[k, t] is None], reverse=True), 0
+        while stack:
+            t = stack.pop()
+            want[c, t] = place
+            place += 1
+            stack += sorted([u for k, u in parents if k == c and parents[k, u] == t], reverse=True)
+    r.shuffle(rows)
+    got = chat.link_quotes(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    assert {(x["conv_id"], x["turn"]): x["position"] for x in got} == want
+    assert {(x["conv_id"], x["turn"]): x["reply_turn"] for x in got} == parents
+
+
+def test_quotes_of_other_conversations(spark):
+    """The first conversation that says a passage may be the quoting one, which says it later only: the next one is linked."""
+    rows = [(1, 0, "u", "> shared words\nown"), (1, 1, "a", "shared words"), (2, 3, "u", "Shared  words"), (3, 0, "u", "shared words")]
+    out = {(r["conv_id"], r["turn"]): r for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (out[1, 0]["reply_conv_id"], out[1, 0]["reply_turn"], out[1, 0]["n_linked"]) == (2, 3, 1)
+    assert (out[1, 1]["reply_conv_id"], out[1, 1]["reply_turn"], out[3, 0]["reply_turn"]) == (1, 0, None)

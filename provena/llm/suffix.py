@@ -8,15 +8,18 @@ of its windows. It is keyed by the suffix from the anchor on, then its left cont
 
 Keys are sorted by a distributed merge sort that knows common prefixes. Tasks sort the keys of their
 documents into runs, collapse equal ones, and front-code the runs (shared prefix length and rest)
-before the exchange. Each reducer merges its runs with a loser tree whose nodes keep the length
-of the prefix shared with the last winner: unequal lengths decide without looking at a byte, equal ones
-compare from there on. A key equal to the one before is a repeated segment. Different keys that
-share the gram are neighbours; they are compared from the anchor to both sides, which gives
-the windows they share.
+before the exchange. A key that is in a run twice is repeated: the task says so itself and sends the key without its places, so
+that a passage held by a third of all documents is one entry a run. Each reducer merges its runs with a loser tree whose nodes
+keep the length of the prefix shared with the last winner: unequal lengths decide without looking at a byte, equal ones
+compare from there on. A key equal to the one before is a repeated segment.
 
-Grams with more than HOT occurrences are dealt out by the whole key instead of the gram, and groups of
-more than SMALL different segments are not paired: their windows are counted by 128-bit content
-hash in a plain aggregation, which has no hot task.
+Different keys that share the gram are neighbours, and the prefixes known from the merge make them a tree by right context. Its
+branches are joined from the deepest up; a branch keeps its segments in the order of their left contexts, and each segment of
+the smaller branch meets only its two neighbours in the larger one. No other segment shares more to both sides, so all shared
+windows of n segments are found with about n log n comparisons, and windows are never listed one by one.
+
+A group is one task's, so a gram with more than HOT occurrences is dealt by the whole key instead. The windows of its segments are
+counted by their 128-bit content hash in an aggregation, which splits and pre-aggregates whatever a gram holds.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows that repeat id and
 text are occurrences of each other; matches never cross documents; the remaining bytes need not be
@@ -26,6 +29,7 @@ valid UTF-8 and are given as bytes; further columns do not matter.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +43,7 @@ from provena.llm.common import as_bytes, materialise
 
 LENGTH = 200
 GRAM = 32
-HOT = 256
-SMALL = 16
+HOT = 1 << 16
 BUFFER = 4 << 20
 RUN_BYTES = 48 << 20
 END = b"\xff"  # between right and left context; no byte of UTF-8
@@ -150,37 +153,54 @@ def shared_prefix(a: bytes, b: bytes, at: int = 0) -> int:
     return lo
 
 
-RUN = "part int, lcps binary, sizes binary, rests binary, counts binary, d binary, n binary, starts binary, hot binary"
+PACKED = ["lcps", "sizes", "rests", "counts", "hot", "d", "n", "starts", "own_d", "own_n", "own_lo", "own_hi"]
+RUN = "part int, " + ", ".join(f"{c} binary" for c in PACKED)
+
+
+def last_window(key: bytes) -> int:
+    """Number of the last window of a key's segment."""
+    return len(key) - 1 - LENGTH
 
 
 def front_code(part: int, entries: list[tuple[bytes, bool, list[tuple[int, int, int]]]]) -> dict:
-    """One run: sorted distinct keys with their occurrences (d, n, first window)."""
+    """One run: sorted distinct keys. A key with one occurrence (d, n, first window) keeps it; the windows of one with
+    several are repeated, which the run's own spans say, and two stand for its count."""
     lcps, rests, last = [], [], b""
-    for key, _, _ in entries:
+    lone, own = [], []
+    for key, _, found in entries:
         lcp = shared_prefix(last, key)
         lcps.append(lcp)
         rests.append(key[lcp:])
         last = key
-    places = [p for _, _, found in entries for p in found]
-    d, n, starts = (zip(*places, strict=True)) if places else ((), (), ())
+        if len(found) == 1:
+            lone.append(found[0])
+        else:
+            own += [(d, n, start, start + last_window(key)) for d, n, start in found]
+    d, n, starts = zip(*lone, strict=True) if lone else ((), (), ())
+    own_d, own_n, own_lo, own_hi = zip(*own, strict=True) if own else ((), (), (), ())
+    long = lambda x: np.array(x, np.int64).tobytes()
     return {
         "part": part, "lcps": np.array(lcps, np.uint16).tobytes(), "sizes": np.array([len(r) for r in rests], np.uint16).tobytes(), "rests": b"".join(rests),
-        "counts": np.array([len(f) for _, _, f in entries], np.int32).tobytes(), "d": np.array(d, np.int64).tobytes(), "n": np.array(n, np.int32).tobytes(),
-        "starts": np.array(starts, np.int64).tobytes(), "hot": np.array([x for _, x, _ in entries], np.uint8).tobytes(),
+        "counts": np.array([min(2, len(f)) for _, _, f in entries], np.uint8).tobytes(), "hot": np.array([x for _, x, _ in entries], np.uint8).tobytes(),
+        "d": long(d), "n": np.array(n, np.int32).tobytes(), "starts": long(starts),
+        "own_d": long(own_d), "own_n": np.array(own_n, np.int32).tobytes(), "own_lo": long(own_lo), "own_hi": long(own_hi),
     }
 
 
-def read_run(row: dict) -> Iterator[tuple[int, bytes, bool, list[tuple[int, int, int]]]]:
-    """(prefix shared with the key before, key, hot, occurrences) in order."""
-    places = list(zip(np.frombuffer(row["d"], np.int64).tolist(), np.frombuffer(row["n"], np.int32).tolist(), np.frombuffer(row["starts"], np.int64).tolist(), strict=True))
+def read_run(row: dict) -> Iterator[tuple[int, bytes, bool, int, tuple[int, int, int] | None]]:
+    """(prefix shared with the key before, key, hot, one or two occurrences, the place of a lone one) in order."""
+    d, n, starts = np.frombuffer(row["d"], np.int64), np.frombuffer(row["n"], np.int32), np.frombuffer(row["starts"], np.int64)
     at = seen = 0
     key, rests = b"", row["rests"]
-    columns = (np.frombuffer(row[c], t).tolist() for c, t in (("lcps", np.uint16), ("sizes", np.uint16), ("counts", np.int32), ("hot", np.uint8)))
+    columns = (np.frombuffer(row[c], t).tolist() for c, t in (("lcps", np.uint16), ("sizes", np.uint16), ("counts", np.uint8), ("hot", np.uint8)))
     for lcp, size, count, hot in zip(*columns, strict=True):
         key = key[:lcp] + rests[at : at + size]
-        yield lcp, key, bool(hot), places[seen : seen + count]
         at += size
-        seen += count
+        if count == 1:
+            yield lcp, key, bool(hot), 1, (int(d[seen]), int(n[seen]), int(starts[seen]))
+            seen += 1
+        else:
+            yield lcp, key, bool(hot), 2, None
 
 
 class LoserTree:
@@ -218,10 +238,10 @@ class LoserTree:
         self.lcp[a] = p
         return b, a
 
-    def __iter__(self) -> Iterator[tuple[int, bytes, bool, list]]:
-        """(prefix shared with the key before, key, hot, occurrences) over all runs."""
+    def __iter__(self) -> Iterator[tuple]:
+        """The heads of all runs in order, each with the prefix shared with the key before it in that order."""
         while (head := self.heads[win := self.winner]) is not None:
-            yield self.lcp[win], head[1], head[2], head[3]
+            yield self.lcp[win], *head[1:]
             self.heads[win] = following = next(self.runs[win], None)
             self.lcp[win] = following[0] if following else 0
             node = (win + self.size) >> 1
@@ -234,6 +254,9 @@ class LoserTree:
             self.winner = win
 
 
+RUN_SCHEMA = pa.schema([("part", pa.int32())] + [(c, pa.binary()) for c in PACKED])
+
+
 def sorted_runs(parts: int):
     """Batches of (packs, d, n, text) to front-coded runs, one a partition whenever RUN_BYTES are held."""
 
@@ -248,8 +271,7 @@ def sorted_runs(parts: int):
                 part = xxhash.xxh64_intdigest(key if hot else key[:GRAM]) % parts
                 by_part.setdefault(part, []).append((key, hot, found))
             rows = [front_code(p, entries) for p, entries in by_part.items()]
-            schema = pa.schema([("part", pa.int32())] + [(c, pa.binary()) for c in ("lcps", "sizes", "rests", "counts", "d", "n", "starts", "hot")])
-            return pa.RecordBatch.from_pylist(rows, schema=schema)
+            return pa.RecordBatch.from_pylist(rows, schema=RUN_SCHEMA)
 
         for batch in batches:
             for packs, d, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(3)), strict=True):
@@ -263,9 +285,9 @@ def sorted_runs(parts: int):
                     else:
                         entry[1].append((d, n, anchor - left))
                         size += 100
-                if size > RUN_BYTES:
-                    yield flush()
-                    held, size = {}, 0
+                    if size > RUN_BYTES:
+                        yield flush()
+                        held, size = {}, 0
         if held:
             yield flush()
 
@@ -280,91 +302,122 @@ class _Rows:
 
     def __init__(self):
         self.rows: list[tuple] = []
+        self.tables: list[pa.Table] = []
 
     def span(self, place: tuple[int, int, int], lo: int, hi: int) -> None:
         self.rows.append((place[0], place[1], place[2] + lo, place[2] + hi, None, None))
 
-    def windows(self, key: bytes, found: list) -> None:
+    def own(self, row: dict) -> None:
+        """The spans that a run knows itself."""
+        columns = [np.frombuffer(row[c], np.int32 if c == "own_n" else np.int64) for c in ("own_d", "own_n", "own_lo", "own_hi")]
+        n = len(columns[0])
+        self.tables.append(pa.table([*map(pa.array, columns), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32())], names=NAMES))
+
+    def windows(self, key: bytes, place: tuple[int, int, int] | None) -> None:
+        """Every window of a segment, with its place if it has but one."""
         right, _, left = key.partition(END)
         data = left[::-1] + right
         for i in range(len(data) - LENGTH + 1):
             w = xxhash.xxh3_128_digest(data[i : i + LENGTH])
-            if len(found) > 1:
+            if place is None:
                 self.rows.append((None, None, None, None, w, 2))
             else:
-                d, n, start = found[0]
-                self.rows.append((d, n, start + i, start + i, w, 1))
+                self.rows.append((place[0], place[1], place[2] + i, place[2] + i, w, 1))
 
     def table(self) -> pa.Table:
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
         columns = zip(*self.rows, strict=True) if self.rows else [[]] * 6
-        return pa.table([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], names=["d", "n", "lo", "hi", "w", "c"])
+        return pa.concat_tables([*self.tables, pa.table([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], names=NAMES)])
+
 
+NAMES = ["d", "n", "lo", "hi", "w", "c"]
 
-def shared_windows(a: bytes, b: bytes, known: int) -> tuple[int, int] | None:
-    """Windows of a's segment (first, last) that the segment of b has at the same place from the anchor."""
-    ra, _, la = a.partition(END)
-    rb, _, lb = b.partition(END)
-    right = shared_prefix(ra, rb, min(known, len(ra), len(rb)))
-    left = shared_prefix(la, lb)
-    if left + right < LENGTH:
-        return None
-    return len(la) - left, len(la) + right - LENGTH
 
+def settle(group: list[tuple[int, bytes, tuple[int, int, int] | None]], rows: _Rows) -> None:
+    """Spans of the windows that a gram's different segments share: group has, in order, the prefix shared with the one
+    before, the key, and the segment's place (None: it is repeated whole and only a partner for others).
 
-def _settle(group: list[tuple[int, bytes, list]], rows: _Rows) -> None:
-    """A gram's different segments, in order, each with the prefix shared with the one before."""
-    for k, (_, key, found) in enumerate(group):
-        if len(found) > 1:
-            continue
-        for j, (_, other, _) in enumerate(group):
-            if j != k:
-                a, b = min(j, k), max(j, k)
-                known = min(lcp for lcp, _, _ in group[a + 1 : b + 1])
-                if (both := shared_windows(key, other, known)) is not None:
-                    rows.span(found[0], *both)
+    Neighbouring branches are joined by falling shared prefix. A later, shallower meeting shares less to the right, so it
+    only counts where it shares more to the left than all before.
+    """
+    n = len(group)
+    rights, lefts = [], []
+    for _, key, _ in group:
+        right, _, left = key.partition(END)
+        rights.append(len(right))
+        lefts.append(left)
+    order = sorted(range(n), key=lefts.__getitem__)
+    branch: list[list[int] | None] = [None] * n
+    for rank, k in enumerate(order):
+        branch[k] = [rank]
+    best, parent = [-1] * n, list(range(n))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    def meet(i: int, j: int, depth: int) -> None:
+        left, right = shared_prefix(lefts[i], lefts[j]), min(depth, rights[i], rights[j])
+        if left + right >= LENGTH:
+            for k in (i, j):
+                if left > best[k]:
+                    best[k] = left
+                    if (place := group[k][2]) is not None:
+                        rows.span(place, len(lefts[k]) - left, len(lefts[k]) + right - LENGTH)
+
+    for k in sorted(range(1, n), key=lambda k: -group[k][0]):
+        a, b = root(k - 1), root(k)
+        if len(branch[a]) > len(branch[b]):
+            a, b = b, a
+        small, large = branch[a], branch[b]
+        for x in small:
+            at = bisect_left(large, x)
+            for y in large[max(0, at - 1) : at + 1]:
+                meet(order[x], order[y], group[k][0])
+        if 16 * len(small) < len(large):
+            for x in small:
+                large.insert(bisect_left(large, x), x)
+        else:
+            branch[b] = sorted(large + small)  # two ascending parts: one pass
+        branch[a], parent[a] = None, b
 
 
 def merge_part(table: pa.Table) -> pa.Table:
     rows = _Rows()
-    group: list[tuple[int, bytes, list]] = []
-    crowded = False
+    group: list[tuple[int, bytes, tuple | None]] = []
 
     def close() -> None:
-        nonlocal group, crowded
-        if not crowded and len(group) > 1:
-            _settle(group, rows)
-        group, crowded = [], False
+        nonlocal group
+        if len(group) > 1:
+            settle(group, rows)
+        group = []
 
-    def different(lcp: int, key: bytes, hot: bool, found: list) -> None:
+    def different(lcp: int, key: bytes, hot: bool, count: int, places: list) -> None:
         """The next key, with all its occurrences."""
-        nonlocal group, crowded
-        if len(found) > 1:
-            last = key.index(END) + len(key) - key.index(END) - 1 - LENGTH
-            for place in found:
-                rows.span(place, 0, last)
+        for place in places if count > 1 else ():
+            rows.span(place, 0, last_window(key))
+        lone = places[0] if count == 1 else None
         if hot:
-            rows.windows(key, found)
+            rows.windows(key, lone)
             return
         if lcp < GRAM:
             close()
-        if crowded:
-            rows.windows(key, found)
-            return
-        group.append((lcp, key, found))
-        if len(group) > SMALL:
-            for _, k, f in group:
-                rows.windows(k, f)
-            group, crowded = [], True
-
-    held: tuple | None = None
-    for lcp, key, hot, found in LoserTree([read_run(r) for r in table.to_pylist()]):
-        if held is not None and lcp == len(key) == len(held[1]):
-            held[3].extend(found)
-            continue
-        if held is not None:
-            different(*held)
-        held = (lcp, key, hot, list(found))
+        group.append((lcp, key, lone))
+
+    runs = table.to_pylist()
+    for row in runs:
+        rows.own(row)
+    held: list | None = None
+    for lcp, key, hot, count, place in LoserTree([read_run(r) for r in runs]):
+        if held is None or lcp < len(key) or lcp < len(held[1]):
+            if held is not None:
+                different(*held)
+            held = [lcp, key, hot, 0, []]
+        held[3] += count
+        if place is not None:
+            held[4].append(place)
     if held is not None:
         different(*held)
     close()

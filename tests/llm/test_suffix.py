@@ -47,18 +47,50 @@ def corpus(prose):
     return rows
 
 
-@pytest.mark.parametrize(("hot", "small"), [(256, 16), (3, 16), (10_000, 2), (2, 1)])
-def test_against_brute_force(documents, prose, monkeypatch, hot, small):
+@pytest.mark.parametrize("hot", [1 << 16, 3, 0])
+def test_against_brute_force(documents, prose, monkeypatch, hot):
     rows = corpus(prose)
     monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "SMALL", small)
-    small_run = suffix.merge_part
+    assert run(documents(rows)) == slow(rows)
 
-    def merge(table):  # settings reach the workers inside the function
-        suffix.SMALL = small
-        return small_run(table)
 
-    monkeypatch.setattr(suffix, "merge_part", merge)
+def test_groups_against_all_pairs():
+    """Segments that share a gram: the tree of branches finds the windows that comparing all pairs finds."""
+    r = random.Random(7)
+    size = suffix.LENGTH
+    for trial in range(60):
+        gram = bytes(r.choice(b"xy") for _ in range(suffix.GRAM))
+        base = [bytes(r.choice(b"ab") for _ in range(170)) for _ in range(4)]
+        keys = {}
+        for k in range(r.randint(2, 40)):
+            left, right = bytearray(r.choice(base)[: r.randint(0, 168)]), bytearray(r.choice(base))
+            for side in (left, right):
+                if side and r.random() < 0.7:
+                    side[r.randrange(len(side))] = r.choice(b"abc")
+            right = right[: r.randint(max(0, size - len(left) - suffix.GRAM), 168)]
+            if len(left) + suffix.GRAM + len(right) >= size:
+                keys[gram + bytes(right) + suffix.END + bytes(left)] = (k, 0, 1000) if r.random() < 0.9 else None
+        group, last = [], b""
+        for key in sorted(keys):
+            group.append((suffix.shared_prefix(last, key), key, keys[key]))
+            last = key
+        rows = suffix._Rows()
+        suffix.settle(group, rows)
+        got = {(d, i) for d, _, lo, hi, _, _ in rows.rows for i in range(lo - 1000, hi - 999)}
+
+        def windows(key):
+            right, _, left = key.partition(suffix.END)
+            data = left[::-1] + right
+            return {i: (len(left) - i, data[i : i + size]) for i in range(len(data) - size + 1)}
+
+        cut = {key: windows(key) for key in keys}
+        want = {(place[0], i) for key, place in keys.items() if place for i, w in cut[key].items() if any(w in cut[o].values() for o in keys if o != key)}
+        assert got == want, trial
+
+
+def test_long_text_makes_several_runs(documents, prose, monkeypatch):
+    monkeypatch.setattr(suffix, "RUN_BYTES", 20_000)
+    rows = [(1, prose(3000, 1) * 2), (2, prose(900, 2) + prose(3000, 1)[4000:9000])]
     assert run(documents(rows)) == slow(rows)
 
 
@@ -84,8 +116,8 @@ def test_loser_tree_merges_and_knows_prefixes():
         row = suffix.front_code(0, [(x, False, [(k, 1, 2)]) for x in mine])
         runs.append(suffix.read_run(row))
     merged, last = [], b""
-    for lcp, key, _, found in suffix.LoserTree(runs):
-        assert lcp == suffix.shared_prefix(last, key) and len(found) == 1
+    for lcp, key, _, count, place in suffix.LoserTree(runs):
+        assert lcp == suffix.shared_prefix(last, key) and count == 1 and place[1:] == (1, 2)
         merged.append(key)
         last = key
     assert merged == sorted(k for i in range(7) for k in set(keys[i::7]))
@@ -93,5 +125,4 @@ def test_loser_tree_merges_and_knows_prefixes():
 
 
 def test_merge_of_an_empty_part():
-    schema = pa.schema([("part", pa.int32())] + [(c, pa.binary()) for c in ("lcps", "sizes", "rests", "counts", "d", "n", "starts", "hot")])
-    assert suffix.merge_part(pa.table([[]] * 9, schema=schema)).num_rows == 0
+    assert suffix.merge_part(pa.table([[]] * len(suffix.RUN_SCHEMA), schema=suffix.RUN_SCHEMA)).num_rows == 0

@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
 Base figures are computed for every document. The further rules run one after another, each only
-on the documents that every earlier rule kept. Their order is fitted: on a bounded sample the cost
-and the rejection rate of each rule are measured, and rules run by falling rejections per second.
+on the documents that every earlier rule kept. Their order is fitted: on a bounded sample of documents that pass the base
+rule, the cost and the rejection rate of each rule are measured, and rules run by falling rejections per second.
 The verdict is the conjunction of all rules, so the order changes the cost and never the result.
 
 Defined results: a null or empty text has no words and fails the base rule; texts are read whole;
@@ -122,6 +122,26 @@ def _no_letters(data: bytes, base: Base) -> bool:
     return 10 * sum(b"a" not in w for w in kept.split()) > 2 * base.n_words
 
 
+def _lines(data: bytes) -> list[bytes]:
+    return [x.strip(WHITE) for x in data.split(b"\n") if x.strip(WHITE)]
+
+
+#: How list items begin and how cut-off lines end.
+BULLETS = ("-", "*", "•")
+ELLIPSES = ("...", "…")
+_bullets, _ellipses = (tuple(x.encode() for x in y) for y in (BULLETS, ELLIPSES))
+
+
+def _mostly_list(data: bytes, base: Base) -> bool:
+    """Over nine in ten lines are list items."""
+    return 10 * sum(x.startswith(_bullets) for x in _lines(data)) > 9 * base.n_lines
+
+
+def _cut_off(data: bytes, base: Base) -> bool:
+    """Over three in ten lines end in an ellipsis."""
+    return 10 * sum(x.endswith(_ellipses) for x in _lines(data)) > 3 * base.n_lines
+
+
 RULES = (
     Rule("symbols", lambda d, b: 10 * b.n_symbols > b.n_words),
     Rule("repeated_lines", lambda d, b: 2 * b.n_dup_lines > b.n_lines),
@@ -131,26 +151,28 @@ RULES = (
     Rule("letters", _no_letters),
     Rule("placeholder", lambda d, b: b"lorem ipsum" in d.lower()),
     Rule("one_word", _one_word_rules),
+    Rule("list", _mostly_list),
+    Rule("cut_off", _cut_off),
 )
 
 
-def fit_order(docs: DataFrame, rules: Iterable[Rule] = RULES, text: str = "text", sample_rows: int = 512) -> list[Rule]:
-    """Rules by falling rejections per second, as measured on at most `sample_rows` sampled documents."""
-    rules = list(rules)
+def fit_order(docs: DataFrame, rules: Iterable[Rule] = RULES, text: str = "text", sample_rows: int = 512, sample_bytes: int = 1 << 16) -> list[Rule]:
+    """Rules by falling rejections per second, as measured on a bounded sample of documents that the base rule keeps.
 
-    def measure(batches):
-        for batch in batches:
-            data = [d for d in as_bytes(batch.column(0))]
-            figures = [base_figures(d) for d in data]
-            for k, rule in enumerate(rules):
-                t = time.perf_counter()
-                rejected = sum(bool(b.n_words) and rule.rejects(d, b) for d, b in zip(data, figures, strict=True))
-                yield pa.RecordBatch.from_pydict({"k": [k], "rejected": [rejected], "s": [time.perf_counter() - t]})
-
-    sample = docs.select(F.col(text).cast("string")).sample(fraction=0.05, seed=7).limit(sample_rows)
-    rows = sample.mapInArrow(measure, "k long, rejected long, s double").groupBy("k").agg(F.sum("rejected").alias("r"), F.sum("s").alias("s")).collect()
-    rate = {row["k"]: row["r"] / max(row["s"], 1e-9) for row in rows}
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate.get(k, 0.0), k))]
+    The sample is at most `sample_rows` documents of at most `sample_bytes` (32 MB together) from the first partitions
+    that have them: Spark reads one partition, and more only while rows are missing. It decides about time alone.
+    """
+    rules = list(rules)
+    own = F.col(text).cast("string")
+    sample = docs.select(own.alias("t")).where(F.octet_length("t").between(1, sample_bytes)).limit(sample_rows).collect()
+    texts = [row["t"].encode() for row in sample]
+    kept = [(d, b) for d, b in ((d, base_figures(d)) for d in texts) if not b.failed]
+    rate = []
+    for rule in rules:
+        began = time.perf_counter()
+        rejected = sum(rule.rejects(d, b) for d, b in kept)
+        rate.append(rejected / max(time.perf_counter() - began, 1e-9))
+    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate[k], k))]
 
 
 def verdict(text: Column, rules: Iterable[Rule] = RULES) -> Column:
@@ -180,9 +202,9 @@ def verdict(text: Column, rules: Iterable[Rule] = RULES) -> Column:
     return judge.asNondeterministic()(text.cast("string"))
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Iterable[Rule] = RULES) -> DataFrame:
-    """doc_id, the base figures, base_failed and kept for every row of docs."""
-    order = fit_order(docs, rules, text)
+def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Iterable[Rule] = RULES, order: Iterable[Rule] | None = None) -> DataFrame:
+    """doc_id, the base figures, base_failed and kept for every row of docs; `order` runs rules as given instead of fitting."""
+    order = fit_order(docs, rules, text) if order is None else order
     judged = docs.select(F.col(doc_id).alias("doc_id"), verdict(F.col(text), order).alias("v"))
     return judged.select("doc_id", "v.*")
 
@@ -209,12 +231,13 @@ with docs as (
 ), most as (
   select rid, max(n) as n from (select rid, word, count(*) as n from words group by all) group by rid
 ), lines as (
-  select rid, len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines
+  select rid, len(l) as n_lines, len(l) - len(list_distinct(l)) as n_dup_lines, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) as n_list,
+    len(list_filter(l, lambda x: regexp_matches(x, '([.][.][.]|…)[\x20\x09-\x0D]*$'))) as n_cut_off
   from (select rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from docs)
 ), base as (
   select d.doc_id, d.text, coalesce(p.n_words, 0)::bigint as n_words, coalesce(p.word_chars, 0)::bigint as word_chars,
     length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, l.n_lines, l.n_dup_lines::bigint as n_dup_lines,
-    coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(p.bare, 0) as bare, coalesce(m.n, 0) as most
+    coalesce(c.n, 0)::bigint as n_repeat_words, coalesce(p.bare, 0) as bare, coalesce(m.n, 0) as most, n_list, n_cut_off
   from docs d join lines l using (rid) left join per_word p using (rid) left join covered c using (rid) left join most m using (rid)
 ), judged as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base
@@ -223,6 +246,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and not (10 * n_symbols > n_words) and not (2 * n_dup_lines > n_lines) and word_chars between 2 * n_words and 20 * n_words
     and not (10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words)
     and length(regexp_replace(text, '[^A-Z]', '', 'g')) <= length(regexp_replace(text, '[^a-z]', '', 'g'))
-    and not (10 * bare > 2 * n_words) and not contains(translate(text, 'LOREMIPSU', 'loremipsu'), 'lorem ipsum') and not (10 * most > 4 * n_words) as kept
+    and not (10 * bare > 2 * n_words) and not contains(translate(text, 'LOREMIPSU', 'loremipsu'), 'lorem ipsum') and not (10 * most > 4 * n_words)
+    and not (10 * n_list > 9 * n_lines) and not (10 * n_cut_off > 3 * n_lines) as kept
 from judged
 """

@@ -134,7 +134,9 @@ def near_duplicates(
     links = near_links(nodes, max_bits, blocks, dense)
     labels = components(links)
     grouped = nodes.join(labels, nodes.fp == labels.id, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    class_ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Both written first: a join of tables is one that AQE may split where a component is large, a join with an aggregation is not.
+    grouped = materialise(grouped, "nodes")
+    class_ids = materialise(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "components")
     found = materialise(grouped.join(class_ids, "label").select("fp", "label", "component_id"), "classes")
     return prints.join(found, "fp").select("doc_id", "fp", "label", "component_id", *carry)
 

@@ -11,7 +11,8 @@ capture only the entries of its own month. Captures are joined once per distinct
 
 Defined results: a null or unparsable url or a null time matches nothing and is kept; entries with
 a null pattern, action or date are void; of entries of a pattern with one date, block goes before
-allow before remove; repeated captures are judged alike; empty lists keep everything.
+allow before remove; repeated captures are judged alike; empty lists keep everything; urls may have any length. Columns of the
+captures pass through, but _host, _pattern, _action and _kept replace columns named so.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.llm.common import materialise
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 FOREVER = "9999-12-31"
@@ -44,9 +47,11 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched_on: str = "fetched_on") -> DataFrame:
     """captures with _host, _pattern and _action of the deciding entry (null: none) and _kept."""
-    spans = intervals(entries)
+    spans = materialise(intervals(entries), "intervals")
     bounds = captures.agg(F.min(fetched_on).alias("lo"), F.max(fetched_on).alias("hi")).first()
-    depth = spans.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("depth")).first()["depth"]
+    n_labels = F.size(F.split(F.split("pattern", "/")[0], r"\."))
+    shape = spans.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("depth"), F.coalesce(F.min(n_labels), F.lit(1)).alias("least")).first()
+    depth = shape["depth"]
     lo, hi = (F.lit(bounds[k]).cast("date") for k in ("lo", "hi"))
     month = lambda c: F.trunc(c, "MM")
     months = F.sequence(month(F.greatest("starts", lo)), month(F.least(F.date_sub("ends", 1), hi)), F.expr("interval 1 month"))
@@ -54,21 +59,19 @@ def judge_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetche
 
     asked = captures.select(F.col(url).alias("u"), F.col(fetched_on).alias("t")).where("u is not null and t is not null").distinct()
     split = asked.withColumn("h", host_of(F.col("u"))).where("h is not null").withColumn("labels", F.split("h", r"\.")).withColumn("parts", path_parts(F.col("u")))
-    hosts = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels)), '.'))")
+    # No shorter name than the lists have: a bare top-level domain would be one key of a third of all captures.
+    hosts = F.expr(f"transform(filter(sequence(1, size(labels)), i -> size(labels) - i + 1 >= {shape['least']}), i -> array_join(slice(labels, i, size(labels)), '.'))")
     paths = F.expr(f"transform(sequence(1, least(size(parts), {depth})), i -> concat(h, '/', array_join(slice(parts, 1, i), '/')))")
     deep = F.when(F.least(F.size("parts"), F.lit(depth)) > 0, paths).otherwise(F.array().cast("array<string>"))
     keys = split.select("u", "t", F.explode(F.concat(hosts, deep)).alias("pattern")).withColumn("month", month("t"))
     active = keys.join(by_month, ["pattern", "month"]).where("starts <= t and t < ends")
     weight = F.struct(F.col("pattern").contains("/").alias("deep"), F.length("pattern").alias("long"), "pattern", "action")
-    best = active.groupBy("u", "t").agg(F.max(weight).alias("best")).select(F.col("u").alias("_u"), F.col("t").alias("_t"), F.col("best").alias("_best"))
-    joined = captures.join(best, (F.col(url) == F.col("_u")) & (F.col(fetched_on) == F.col("_t")), "left")
-    return (
-        joined.withColumn("_host", host_of(F.col(url)))
-        .withColumn("_pattern", F.col("_best.pattern"))
-        .withColumn("_action", F.col("_best.action"))
-        .withColumn("_kept", ~F.coalesce(F.col("_best.action") == "block", F.lit(False)))
-        .drop("_u", "_t", "_best")
-    )
+    best = materialise(active.groupBy("u", "t").agg(F.max(weight).alias("best")), "decided")
+    own = ["_host", "_pattern", "_action", "_kept"]
+    rows = captures.select(F.struct("*").alias("row"), F.col(url).alias("u"), F.col(fetched_on).alias("t")).join(best, ["u", "t"], "left")
+    kept = [F.col("row")[c].alias(c) for c in captures.columns if c not in own]
+    verdict = ~F.coalesce(F.col("best.action") == "block", F.lit(False))
+    return rows.select(*kept, host_of(F.col("u")).alias("_host"), F.col("best.pattern").alias("_pattern"), F.col("best.action").alias("_action"), verdict.alias("_kept"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

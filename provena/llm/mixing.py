@@ -12,7 +12,8 @@ shared anew by weight among the others. In closed form the target is min(repeats
 weight), with the level at which targets add up to the budget.
 
 Defined results: a null or empty text has size 0 and takes 0; repeated rows are documents of their
-own; null ids and sources are allowed; an empty table gives no rows.
+own; null ids and sources are allowed; a text may have any length; an empty table gives no rows; other columns do not matter
+to `mix` and pass through `mixed` under any name.
 """
 
 from __future__ import annotations
@@ -34,22 +35,23 @@ def shuffle_key(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
-    """(no_source, source, source_size, target) of sizes(no_source int, source not null, size); one row a source."""
-    totals = sizes.groupBy("no_source", "source").agg(F.sum("size").cast("long").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy("no_source", "source")) - 1
-    weighed = totals.withColumn("rank", rank).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
+    """(no_source, source, source_size, target) of sizes(no_source int, source not null, size); one row a source.
+
+    Ranks and sums over the sources are distributed running totals: there may be as many sources as hosts of a crawl.
+    """
+    one = F.lit(1).cast("long")
+    totals = sizes.groupBy("no_source", "source").agg(F.sum("size").cast("long").alias("source_size")).withColumn("one", one)
+    rank = (F.col("rank") - 1) % len(weights) + 1
+    ranked = running_total(totals, [], ["no_source", "source"], "one", "rank").drop("one").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), rank.cast("int")).cast("long"))
     most = (repeats * F.col("source_size")).cast("double")
-    by_ratio = Window.orderBy("ratio", "rank")
-    earlier = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    filled = (
-        weighed.withColumn("ratio", most / F.col("weight"))
-        .withColumn("left_size", F.sum("source_size").over(everything) - repeats * F.coalesce(F.sum("source_size").over(earlier), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0)))
-        .withColumn("level", F.col("left_size").cast("double") / F.col("left_weight"))
-    )
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)["level"]
-    return filled.withColumn("at", level).select("no_source", "source", "source_size", F.least(most, F.col("at") * F.col("weight")).alias("target"))
+    by_ratio = running_total(ranked.withColumn("ratio", most / F.col("weight")), [], ["ratio", "rank"], "source_size", "size_so_far")
+    summed = materialise(running_total(by_ratio, [], ["ratio", "rank"], "weight", "weight_so_far"), "by-ratio")
+    whole = summed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left_size = F.lit(whole["size"]) - repeats * (F.col("size_so_far") - F.col("source_size"))
+    left_weight = F.lit(whole["weight"]) - (F.col("weight_so_far") - F.col("weight"))
+    level = left_size.cast("double") / left_weight
+    at = summed.select("ratio", "rank", level.alias("level")).where("level <= ratio").agg(F.min(F.struct("ratio", "rank", "level"))["level"].alias("at")).first()["at"]
+    return summed.select("no_source", "source", "source_size", F.least(most, F.lit(at).cast("double") * F.col("weight")).alias("target"))
 
 
 def mix(
@@ -91,15 +93,16 @@ def mix(
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs that the mix takes, with size, source_size, target and taken."""
-    keyed = docs.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
-    slim = keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), "_key")
-    found = mix(slim, carry=("_key",), **options)
+    """The rows of docs that the mix takes, with _size, _source_size, _target and _taken (which replace columns named so)."""
+    keyed = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), row_key(F.col(doc_id), F.col(text)).alias("key"))
+    found = mix(keyed.select("doc_id", "text", "source", F.col("key").alias("row_key")), carry=("row_key",), **options)
     # Rows that repeat id and text share a key and are told apart by number.
-    taken = found.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("taken", "source")))
-    rows = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(source)))
+    taken = found.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("taken", "source")))
+    taken = taken.where("taken > 0").select("row_key", "nth", "size", "source_size", "target", "taken")
+    rows = keyed.select("row", F.col("key").alias("row_key"), F.row_number().over(Window.partitionBy("key").orderBy("source")).alias("nth"))
     own = ["size", "source_size", "target", "taken"]
-    return rows.drop(*own).join(taken.where("taken > 0").select("_key", "_nth", *own), ["_key", "_nth"]).drop("_key", "_nth")
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in {f"_{x}" for x in own}]
+    return rows.join(taken, ["row_key", "nth"]).select(*kept, *[F.col(c).alias(f"_{c}") for c in own])
 
 
 ORACLE = r"""

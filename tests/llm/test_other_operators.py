@@ -40,9 +40,29 @@ def test_mix_of_nothing(documents):
 
 def test_mixed_rows(documents, prose):
     rows = [(i, prose(30, i), "ab"[i % 2]) for i in range(40)] + [(1, prose(30, 1), "b")] * 2
-    found = mixing.mixed(documents(rows))
-    assert set(found.columns) == set(documents(rows).columns) | {"source_size", "target", "taken"}
-    assert sum(r["taken"] for r in found.collect()) == sum(r["taken"] for r in mixing.mix(documents(rows)).collect())
+    clashing = documents(rows).withColumns({c: F.lit("own") for c in ("size", "taken", "row", "row_key", "nth", "_key")})
+    found = mixing.mixed(clashing)
+    assert found.columns == [*clashing.columns, "_size", "_source_size", "_target", "_taken"]
+    assert {(r["size"], r["taken"], r["row_key"]) for r in found.collect()} == {("own", "own", "own")}
+    assert sum(r["_taken"] for r in found.collect()) == sum(r["taken"] for r in mixing.mix(documents(rows)).collect())
+
+
+def test_targets_of_many_sources(spark):
+    """Against filling up by hand: weights 1, 2, 3, repeating, and no target above three times its source's size."""
+    r = random.Random(3)
+    size = {f"h{k:03d}": r.choice([1, 5, 40, 900, 12_000]) for k in range(90)}
+    weight = {name: 1 + k % 3 for k, name in enumerate(sorted(size))}
+    want, left, open_ = {}, sum(size.values()), set(size)
+    while open_:
+        level = left / sum(weight[x] for x in open_)
+        full = {x for x in open_ if level * weight[x] > 3 * size[x]}
+        for x in full or open_:
+            want[x] = 3 * size[x] if full else level * weight[x]
+            left -= want[x] if full else 0
+        open_ -= full or open_
+    rows = spark.createDataFrame([(0, k, v) for k, v in size.items()], "no_source int, source string, size long")
+    got = {x["source"]: x["target"] for x in mixing.targets(rows).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 * want[k] for k in want)
 
 
 # --- decontamination ------------------------------------------------------------------------------

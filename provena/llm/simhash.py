@@ -23,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import as_bytes, materialise, partitions, row_key
+from provena.llm.common import as_bytes, materialise, partitions
 from provena.operators.graph import components
 
 SHINGLE = 4
@@ -122,14 +122,9 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
     return pairs.unionByName(through)
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS, dense: int = DENSE, carry: tuple = ()
-) -> DataFrame:
-    """(doc_id, fp long, label, component_id, *carry): component_id is the smallest doc_id reachable over links.
-
-    label is the component's least fingerprint; it is never null.
-    """
-    prints = materialise(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp"), *carry), "prints")
+def classes(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, dense: int = DENSE) -> DataFrame:
+    """(fp, label, component_id) of the distinct fingerprints of prints(doc_id, fp long): component_id is the smallest doc_id
+    reachable over links, label the component's least fingerprint, which is never null."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = near_links(nodes, max_bits, blocks, dense)
     labels = components(links)
@@ -137,19 +132,14 @@ def near_duplicates(
     # Both written first: a join of tables is one that AQE may split where a component is large, a join with an aggregation is not.
     grouped = materialise(grouped, "nodes")
     class_ids = materialise(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "components")
-    found = materialise(grouped.join(class_ids, "label").select("fp", "label", "component_id"), "classes")
-    return prints.join(found, "fp").select("doc_id", "fp", "label", "component_id", *carry)
+    return materialise(grouped.join(class_ids, "label").select("fp", "label", "component_id"), "classes")
 
 
-def as_hex(fp: Column) -> Column:
-    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS, dense: int = DENSE) -> DataFrame:
+    """(doc_id, fp long, label, component_id) of every row, as classes."""
+    prints = materialise(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "prints")
+    return prints.join(classes(prints, max_bits, blocks, dense), "fp").select("doc_id", "fp", "label", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of docs with the smallest doc_id (null last, then least text hash) of each near-duplicate group."""
-    keyed = docs.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
-    found = near_duplicates(keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "_key"), carry=("_key",))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
-    keepers = found.groupBy("label").agg(F.min(order)["_key"].alias("_key")).select("_key")
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))  # rows that repeat id and text
-    return keyed.join(keepers, "_key").withColumn("_nth", nth).where("_nth = 1").drop("_key", "_nth")
+def as_hex(fp: Column) -> Column:
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")

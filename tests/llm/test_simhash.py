@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from provena.llm import simhash
+from provena.llm import shingles, simhash
 
 
 def slow_fingerprint(text):
@@ -95,7 +95,7 @@ def test_random_fingerprints_chain(spark):
 def test_keep_one(documents, prose):
     a = prose(200, 1)
     rows = [(5, a), (3, a), (3, a), (7, prose(200, 2)), (None, a), (None, prose(200, 3)), (None, prose(200, 3))]
-    kept = simhash.keep_one(documents(rows))
+    kept = shingles.keep_one(documents(rows))
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 3), (False, 7), (True, None)]
     assert kept.columns == documents(rows).columns
-    assert simhash.keep_one(documents([])).count() == 0
+    assert shingles.keep_one(documents([])).count() == 0

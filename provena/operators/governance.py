@@ -8,11 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ingestion_gate(sources: DataFrame, policy: dict[str, tuple[list[str], list[str]]], connectors: list[str], modes: list[str], active: list[str] | None = None, live: bool | None = None) -> DataFrame:
+INTERNAL = "internal"
+
+
+def ingestion_gate(
+    sources: DataFrame, policy: dict[str, tuple[list[str], list[str]]], connectors: list[str], modes: list[str], active: list[str] | None = None, live: bool | None = None,
+    internal_modes: list[str] | None = None,
+) -> DataFrame:
     """sources with `reasons`, why ingestion is denied; empty means allowed.
 
-    policy: region -> (countries, modes). active: countries of this deployment. live: whether network runs are enabled.
+    policy: region -> (countries, modes). active: countries of this deployment. live: whether network runs are enabled. Where
+    internal_modes are given, sources of the internal region may cover the countries of all regions, in these modes.
     """
+    if internal_modes is not None:
+        policy = policy | {INTERNAL: (sorted({c for countries, _ in policy.values() for c in countries}), internal_modes)}
     region, mode = F.col("region"), F.col("source_mode")
 
     def within(k: int) -> Column:
@@ -38,6 +47,12 @@ def ingestion_gate(sources: DataFrame, policy: dict[str, tuple[list[str], list[s
     return sources.withColumn("reasons", reasons)
 
 
+def gate_runs(asked: DataFrame, gated: DataFrame) -> DataFrame:
+    """asked(source_id) with the reasons of gated sources; a source that is not registered is denied."""
+    known = asked.join(gated.select("source_id", "reasons"), "source_id", "left")
+    return known.withColumn("reasons", F.coalesce("reasons", F.array(F.lit("source is not registered"))))
+
+
 def enable_gate(sources: DataFrame) -> DataFrame:
     reasons = F.array_compact(
         F.array(

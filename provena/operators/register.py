@@ -30,6 +30,11 @@ def legal_form(c: Column) -> Column:
     return F.coalesce(t.lookup(FORM_NAMES, F.coalesce(compact, F.lit(""))), compact)
 
 
+def code_version(c: Column) -> Column:
+    """Version of the activity code list, without the list's name; null for a blank."""
+    return t.blank_to_null(F.regexp_replace(F.trim(c), "^EMTAK ", ""))
+
+
 def is_ignored_table(name: Column) -> Column:
     """Statement tables that hold no comparable figures."""
     return F.coalesce(t.fold(t.collapse(name)).rlike("|".join(IGNORED_TABLES)), F.lit(False))
@@ -167,3 +172,83 @@ def counters(items: DataFrame) -> DataFrame:
         ).alias("x")
     )
     return long.groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+# Assembly -----------------------------------------------------------------------------------------
+
+#: What an official shareholder entry may give. Everything else it carries (personal codes, birth dates, home addresses) is never read.
+SHAREHOLDER = (
+    "array<struct<isiku_tyyp: string, eesnimi: string, nimi_arinimi: string, isikukood_registrikood: string, valis_kood: string, valis_kood_riik: string, isiku_roll_tekstina: string, "
+    "osaluse_suurus: string, osaluse_valuuta: string, osaluse_protsent: string, osaluse_omandiliik_tekstina: string, algus_kpv: string, lopp_kpv: string>>"
+)
+
+
+def shareholders(records: DataFrame) -> DataFrame:
+    """One row a holder of records(registry_code, osanikud SHAREHOLDER); entries without a name go.
+
+    The register number of a person is never kept, only that of a legal entity.
+    """
+    own = lambda c: t.blank_to_null(F.col(f"h.{c}"))
+    kind = F.when(own("isiku_tyyp") == "F", "person").when(own("isiku_tyyp") == "J", "legal_entity").otherwise("unknown")
+    entity = kind == "legal_entity"
+    name = F.when(kind == "person", F.nullif(F.concat_ws(" ", own("eesnimi"), own("nimi_arinimi")), F.lit(""))).otherwise(own("nimi_arinimi"))
+    rows = records.select("registry_code", F.explode("osanikud").alias("h"))
+    found = rows.select(
+        "registry_code", kind.alias("holder_type"), name.alias("holder_name"), F.when(entity, F.coalesce(own("isikukood_registrikood"), own("valis_kood"))).alias("holder_registry_code"),
+        F.when(entity, own("valis_kood_riik")).alias("holder_country"), own("isiku_roll_tekstina").alias("role"), m.decimal_of(F.col("h.osaluse_suurus")).alias("holding_amount"),
+        own("osaluse_valuuta").alias("holding_currency"), m.decimal_of(F.col("h.osaluse_protsent")).alias("holding_percent"), own("osaluse_omandiliik_tekstina").alias("holding_type"),
+        m.date_of(F.col("h.algus_kpv")).alias("effective_from"), m.date_of(F.col("h.lopp_kpv")).alias("effective_to"),
+    )
+    return found.where("holder_name is not null")
+
+
+def company_shareholders(records: DataFrame, companies: DataFrame) -> DataFrame:
+    """Shareholders of the known companies(company_id, registry_code), the current and largest first within a company."""
+    held = shareholders(records).join(companies.select("company_id", "registry_code"), "registry_code")
+    return held.withColumn("current", F.col("effective_to").isNull())
+
+
+def in_order(holders: DataFrame) -> DataFrame:
+    """Current holders before former ones, then by share, then by name."""
+    return holders.orderBy("company_id", F.desc("current"), F.desc_nulls_last("holding_percent"), "holder_name")
+
+
+def latest_fte(reports: DataFrame, indicators: DataFrame) -> DataFrame:
+    """(registry_code, fte_year, employees_fte): full-time staff in the newest eligible report that gives it; later report ids win."""
+    given = indicators.where(t.lookup(ELEMENTS, F.col("element")) == "employees_fte").select("report_id", m.decimal_of(F.col("raw")).alias("employees_fte")).where("employees_fte is not null")
+    best = given.groupBy("report_id").agg(F.max("employees_fte").alias("employees_fte"))
+    both = eligible_reports(reports).select("registry_code", "report_id", "fiscal_year").join(best, "report_id")
+    return latest_by_year(both, "registry_code", "fiscal_year", ["report_id"]).select("registry_code", F.col("fiscal_year").alias("fte_year"), "employees_fte")
+
+
+def latest_activity(activities: DataFrame) -> DataFrame:
+    """(registry_code, activity_year, industry_code, code_version) of the main activity of the newest year; of equal years the larger revenue, then the code."""
+    main = activities.where("is_main").select("registry_code", F.col("fiscal_year").try_cast("int").alias("activity_year"), "industry_code", "code_version", m.decimal_of(F.col("raw")).alias("r"))
+    order = F.struct("activity_year", F.coalesce("r", F.lit(-1)).alias("r"), "industry_code")
+    best = main.where("activity_year is not null").groupBy("registry_code").agg(F.max_by(F.struct("activity_year", "industry_code", "code_version"), order).alias("a"))
+    return best.select("registry_code", "a.*")
+
+
+def assemble(basic: DataFrame, known: DataFrame, reports: DataFrame, indicators: DataFrame, activities: DataFrame, general: DataFrame, forms: list[str] = LEGAL_FORMS) -> DataFrame:
+    """One row a company of the basic file that is in scope (a known registry_code or an eligible report) with an accepted legal form.
+
+    basic: registry_code, legal_name, legal_form, registry_status, vat_id, units (comma-separated administrative units). general:
+    registry_code, entries as current_capital takes them. Staff, activity and capital are joined by code, each reduced to one row a code first.
+    Rows of a code are one company: the last by name and status.
+    """
+    scope = known.select("registry_code").union(eligible_reports(reports).select("registry_code")).distinct()
+    code = t.blank_to_null(F.col("registry_code"))
+    own = basic.withColumn("registry_code", code).where(code.isNotNull() & legal_form(F.col("legal_form")).isin(forms))
+    rest = [c for c in own.columns if c != "registry_code"]
+    one = own.groupBy("registry_code").agg(F.max(F.struct("legal_name", "registry_status", *[c for c in rest if c not in ("legal_name", "registry_status")])).alias("b")).select("registry_code", "b.*")
+    capital = general.select("registry_code", current_capital(F.col("entries")).alias("c")).where("c is not null").groupBy("registry_code").agg(F.max("c").alias("c"))
+    latest = eligible_reports(reports).groupBy("registry_code").agg(F.max(F.struct("fiscal_year", "report_id")).alias("report"))
+    df = one.join(scope, "registry_code", "left_semi")
+    for part in (latest_fte(reports, indicators), latest_activity(activities), capital, latest):
+        df = df.join(part, "registry_code", "left")
+    place = let(address_parts(F.col("units")), lambda a: a)
+    return df.withColumn("place", place).select(
+        F.concat(F.lit("EE:"), "registry_code").alias("source_key"), "registry_code", "legal_name", F.lit("EE").alias("country"), F.col("place.city").alias("city"), F.col("place.county").alias("county"),
+        F.col("place.municipality").alias("municipality"), "vat_id", "registry_status", "industry_code", "code_version", "employees_fte", "fte_year", F.col("c.amount").alias("share_capital"), F.col("c.currency").alias("currency"),
+        F.col("report.report_id").alias("latest_report_id"), F.col("report.fiscal_year").alias("latest_report_year"), F.col("place.warnings").alias("warnings"),
+    )

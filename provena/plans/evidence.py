@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.functions import numbers as m
 from provena.functions import text as t
-from provena.operators import confidence, governance, identity, quality, versions
+from provena.operators import confidence, governance, identity, quality, versions, views
 from provena.operators.graph import canonical
 from provena.plans.adapters import COMPANIES, FACTS, companies, facts, table
 
@@ -65,9 +65,15 @@ def f04(spark: SparkSession, d: str) -> DataFrame:
     return companies(spark, d).select("company_id", t.is_registered(status).alias("registered"), t.is_inactive(status).alias("inactive"))
 
 
-@query("N02_country", "select n_nationkey, case n_name when 'GERMANY' then 'DE' when 'FINLAND' then 'FI' when 'SWEDEN' then 'SE' end as code from nation")
+SPELT = [(name, code) for code, names in t.COUNTRY_NAMES.items() for name in names] + [("atlantis", None), ("", None)]
+
+
+@query("N02_country", f"select c_custkey as company_id, [{', '.join(repr(c) if c else 'null' for _, c in SPELT)}][c_custkey % {len(SPELT)} + 1] as code from customer")
 def n02(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").select("n_nationkey", t.country_code(F.col("n_name")).alias("code"))
+    """Every name and code of a country, in capitals or with white space around, and names of none."""
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in SPELT]), (k % len(SPELT) + 1).cast("int"))
+    return table(spark, d, "customer").select(k.alias("company_id"), t.country_code(F.when(k % 2 == 0, F.initcap(name)).otherwise(F.concat(F.lit(" "), F.upper(name), F.lit(" ")))).alias("code"))
 
 
 @query(
@@ -102,8 +108,11 @@ def n05(spark: SparkSession, d: str) -> DataFrame:
     f"with {COMPANIES} select company_id, company_id % 4 in (0, 1) as shared from companies",
 )
 def n06(spark: SparkSession, d: str) -> DataFrame:
-    hosts = F.array(*map(F.lit, ["gmail.com", "mail.hot.ee", "firm.ee", "notgmail.com"]))
-    return companies(spark, d).select("company_id", t.is_shared_host(F.element_at(hosts, (F.col("company_id") % 4 + 1).cast("int"))).alias("shared"))
+    """Every shared host, hosts below them, hosts that end like them, and companies' own."""
+    k, n = F.col("company_id"), len(t.SHARED_HOSTS)
+    host = F.element_at(F.array(*map(F.lit, t.SHARED_HOSTS)), (F.floor(k / 4) % n + 1).cast("int"))
+    own = F.when(k % 4 == 0, host).when(k % 4 == 1, F.concat(F.lit("m"), k.cast("string"), F.lit("."), host)).when(k % 4 == 2, F.concat(F.lit("x"), F.col("domain"))).otherwise(F.concat(host, F.lit(".example")))
+    return companies(spark, d).select("company_id", t.is_shared_host(own).alias("shared"))
 
 
 CHECKED = """with n as (select c_custkey as k, ['EE', 'FI', 'SE', 'NO', 'DK'][c_custkey % 5 + 1] as country, lpad((c_custkey * 7919 % 100000000)::varchar, 8, '0') as d8 from customer
@@ -160,11 +169,16 @@ def n11(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(k.alias("company_id"), t.email_of(mail).alias("email"), t.phone_of(phone).alias("phone"))
 
 
-@query("N12_ownership", "select c_custkey as company_id, ['pe-backed', 'family-owned', 'founder-led', null, 'corporate'][c_custkey % 5 + 1] as ownership from customer")
+OWNED = [(w, w) for w in t.OWNERSHIP] + list(t.OWNERSHIP_ALIASES.items()) + [("owned by nobody", None)]
+
+
+@query("N12_ownership", f"select c_custkey as company_id, [{', '.join(repr(v) if v else 'null' for _, v in OWNED)}][c_custkey % {len(OWNED)} + 1] as ownership from customer")
 def n12(spark: SparkSession, d: str) -> DataFrame:
+    """Every ownership type and alias, in capitals, with spaces or underscores, or with white space around."""
     k = F.col("c_custkey")
-    raw = F.element_at(F.array(*map(F.lit, ["Private Equity", "family", "Founder_Led", "owned by nobody", " corporate "])), (k % 5 + 1).cast("int"))
-    return table(spark, d, "customer").select(k.alias("company_id"), t.ownership_of(raw).alias("ownership"))
+    raw = F.element_at(F.array(*[F.lit(w) for w, _ in OWNED]), (k % len(OWNED) + 1).cast("int"))
+    spelt = F.when(k % 3 == 0, F.upper(raw)).when(k % 3 == 1, F.replace(raw, F.lit("-"), F.lit("_"))).otherwise(F.concat(F.lit(" "), F.replace(raw, F.lit("-"), F.lit(" ")), F.lit("  ")))
+    return table(spark, d, "customer").select(k.alias("company_id"), t.ownership_of(spelt).alias("ownership"))
 
 
 @query("N15_division", f"with {COMPANIES} select company_id, left(industry_code, 2) as division, coalesce(industry_code like '642%' or industry_code like '7010%', false) as holding from companies")
@@ -255,13 +269,12 @@ def n27(spark: SparkSession, d: str) -> DataFrame:
     f"with {FACTS}, r as (select *, row_number() over (partition by company_id order by observed_at desc, fact_id desc) as k from facts where field_name = 'click') select company_id, value, fact_id from r where k = 1",
 )
 def j02(spark: SparkSession, d: str) -> DataFrame:
-    one = facts(spark, d).where("field_name = 'click'")
-    return one.groupBy("company_id").agg(F.max_by(F.struct("value", "fact_id"), F.struct("observed_at", "fact_id")).alias("x")).select("company_id", "x.*")
+    return views.current_value(facts(spark, d), "click")
 
 
 @query("J07_has_source", f"with {COMPANIES}, {FACTS} select company_id from companies where company_id in (select company_id from facts where source_id = 'src1')")
 def j07(spark: SparkSession, d: str) -> DataFrame:
-    return companies(spark, d).join(facts(spark, d).where("source_id = 'src1'").select("company_id"), "company_id", "left_semi").select("company_id")
+    return views.having_source(companies(spark, d), facts(spark, d), "src1").select("company_id")
 
 
 @query(
@@ -281,18 +294,15 @@ def j09(spark: SparkSession, d: str) -> DataFrame:
   from lineitem l left join part a on a.p_partkey = l.l_partkey and a.p_size > 25 left join part b on b.p_partkey = l.l_suppkey""",
 )
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select("p_partkey", "p_size")
-    a, b = part.where("p_size > 25").select(F.col("p_partkey").alias("by_id")), part.select(F.col("p_partkey").alias("by_doc"))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_size")
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    both = line.join(a, F.col("l_partkey") == F.col("by_id"), "left").join(b, F.col("l_suppkey") == F.col("by_doc"), "left")
-    via = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_doc").isNotNull(), "document")
-    return both.select("l_orderkey", "l_linenumber", F.coalesce("by_id", "by_doc").alias("matched"), via.alias("via"))
+    return views.resolve_report(line, part.where("p_size > 25"), part, "l_partkey", "l_suppkey").select("l_orderkey", "l_linenumber", "matched", "via")
 
 
 @query("J12_orphans", "select distinct o_custkey as company_id from orders where o_custkey not in (select c_custkey from customer where c_custkey % 10 <> 0)")
 def j12(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("company_id"))
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("company_id")).distinct().join(known, "company_id", "left_anti")
+    return views.orphans(table(spark, d, "orders").select(F.col("o_custkey").alias("company_id")), known, "company_id")
 
 
 @query("J22_merge_chain", "select c_custkey as company_id, case when c_custkey % 97 = 0 then c_custkey - 1 else c_custkey end as root from customer")
@@ -317,8 +327,8 @@ def a25(spark: SparkSession, d: str) -> DataFrame:
   select event_id, first_row, event_id <> first_row as duplicate from r""",
 )
 def w05(spark: SparkSession, d: str) -> DataFrame:
-    first = F.min("event_id").over(Window.partitionBy("user_id", "event_type", F.floor("value")))
-    return table(spark, d, "events").select("event_id", first.alias("first_row")).withColumn("duplicate", F.col("event_id") != F.col("first_row"))
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    return views.in_file_duplicates(e, "event_id", F.col("user_id"), F.col("event_type"), F.floor("value")).select("event_id", "first_row", "duplicate")
 
 
 @query(
@@ -340,7 +350,8 @@ def o01(spark: SparkSession, d: str) -> DataFrame:
 
 @query("O07_batch", "select o_orderkey, year(o_orderdate)::int as y from orders order by year(o_orderdate) desc, o_totalprice desc, o_orderkey limit 200")
 def o07(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").orderBy(F.year("o_orderdate").desc(), F.desc("o_totalprice"), "o_orderkey").limit(200).select("o_orderkey", F.year("o_orderdate").alias("y"))
+    y = F.year("o_orderdate")
+    return table(spark, d, "orders").orderBy(y.desc(), F.desc("o_totalprice"), "o_orderkey").limit(200).select("o_orderkey", y.alias("y"))
 
 
 @query(
@@ -349,20 +360,19 @@ def o07(spark: SparkSession, d: str) -> DataFrame:
   select o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), 'audit', o_orderkey from orders""",
 )
 def o12(spark: SparkSession, d: str) -> DataFrame:
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     a = table(spark, d, "events").select(F.col("user_id").alias("company_id"), F.col("ts").alias("t"), F.lit("fact").alias("kind"), F.col("event_id").alias("id"))
     b = table(spark, d, "orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderdate").alias("t"), F.lit("audit").alias("kind"), F.col("o_orderkey").alias("id"))
-    return a.unionByName(b).orderBy(F.desc("t"), "kind", "id").select("company_id", stamp("t").alias("at"), "kind", "id")
+    return views.timeline(a, b).select("company_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("at"), "kind", "id")
 
 
 @query("U01_union_of_codes", "select o_custkey as code from orders union select user_id from events")
 def u01(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_custkey").alias("code")).union(table(spark, d, "events").select("user_id")).distinct()
+    return views.union_of_codes(table(spark, d, "orders").select(F.col("o_custkey").alias("code")), table(spark, d, "events").select("user_id"))
 
 
 @query("U04_missing", "select distinct c_custkey as code from customer except select o_custkey from orders")
 def u04(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("code")).exceptAll(table(spark, d, "orders").select("o_custkey").distinct()).distinct()
+    return views.missing(table(spark, d, "customer").select(F.col("c_custkey").alias("code")), table(spark, d, "orders").select("o_custkey"))
 
 
 # --- facts over time -------------------------------------------------------------------------------
@@ -398,7 +408,7 @@ def v01(spark: SparkSession, d: str) -> DataFrame:
     None,
 )
 def a24(spark: SparkSession, d: str) -> DataFrame:
-    return v01(spark, d).groupBy("source_id", "outcome").agg(F.count("*").alias("n"))
+    return views.outcome_counts(v01(spark, d))
 
 
 ORACLES["A24_outcome_counts"] = f"select source_id, outcome, count(*) as n from ({ORACLES['V01_scd2_merge']}) group by all"
@@ -471,8 +481,8 @@ def v13(spark: SparkSession, d: str) -> DataFrame:
     f"with {FACTS} select company_id, strftime(max(observed_at) filter (where not (source_id = 'src2' and field_name = 'view')), '%Y-%m-%d %H:%M:%S') as last_verified from facts group by all",
 )
 def a27(spark: SparkSession, d: str) -> DataFrame:
-    counted = F.when(~((F.col("source_id") == "src2") & (F.col("field_name") == "view")), F.col("observed_at"))
-    return facts(spark, d).groupBy("company_id").agg(F.date_format(F.max(counted), "yyyy-MM-dd HH:mm:ss").alias("last_verified"))
+    counts = ~((F.col("source_id") == "src2") & (F.col("field_name") == "view"))
+    return views.last_verified(facts(spark, d), counts).select("company_id", F.date_format("last_verified", "yyyy-MM-dd HH:mm:ss").alias("last_verified"))
 
 
 @query(
@@ -480,9 +490,7 @@ def a27(spark: SparkSession, d: str) -> DataFrame:
     f"with {FACTS} select company_id, count(distinct source_id) as n_sources, count(distinct field_name) as n_fields, count(distinct case when source_id = 'src0' then field_name end) as n_trusted from facts group by all",
 )
 def a26(spark: SparkSession, d: str) -> DataFrame:
-    return facts(spark, d).groupBy("company_id").agg(
-        F.count_distinct("source_id").alias("n_sources"), F.count_distinct("field_name").alias("n_fields"), F.count_distinct(F.when(F.col("source_id") == "src0", F.col("field_name"))).alias("n_trusted")
-    )
+    return views.fact_summary(facts(spark, d), "src0")
 
 
 # --- identity --------------------------------------------------------------------------------------
@@ -492,7 +500,8 @@ def profiles(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("company_id")
     return companies(spark, d).where("merged_into_id is null").select(
         k.alias("id"), F.concat(F.lit("firm"), F.floor(k / 20).cast("string"), F.lit(" "), F.lower("sector")).alias("name"), "country", "city",
-        F.when(k % 4 == 0, F.concat_ws(":", "country", k.cast("string"))).alias("registry"), F.when(k % 6 == 0, F.concat(F.lit("V"), F.floor(k / 50).cast("string"))).alias("vat"), "domain", "industry_code",
+        F.when(k % 4 == 0, F.array(F.concat_ws(":", "country", k.cast("string")))).alias("registry_keys"),
+        F.when(k % 6 == 0, F.array(F.concat(F.lit("V"), F.floor(k / 50).cast("string")))).alias("vat_keys"), F.array("domain").alias("domains"), "industry_code",
     )
 
 
@@ -631,10 +640,10 @@ def f08(spark: SparkSession, d: str) -> DataFrame:
     return governance.enforce_allowed(rows, ["legal_name"], "allowed").select("s_suppkey", "legal_name", F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query("F14_audit_list", "select o_orderkey, o_orderpriority from orders where starts_with(o_orderpriority, '1') and o_custkey <= 1000 order by o_orderdate desc, o_orderkey limit 100 offset 20")
+@query("F14_audit_list", "select o_orderkey, o_orderpriority from orders where starts_with(o_orderpriority, '1') and o_orderstatus = 'F' order by o_orderdate desc, o_orderkey limit 100 offset 20")
 def f14(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "orders").where(F.col("o_orderpriority").startswith("1") & (F.col("o_custkey") <= 1000))
-    return found.orderBy(F.desc("o_orderdate"), "o_orderkey").offset(20).limit(100).select("o_orderkey", "o_orderpriority")
+    events = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("at"))
+    return views.audit_list(events, "1", "F", limit=100, offset=20).select(F.col("id").alias("o_orderkey"), F.col("kind").alias("o_orderpriority"))
 
 
 @query("F17_retention", "select event_id from events where ts <= timestamp '2024-01-15' and not (event_type = 'click' and user_id % 2 = 0)")

@@ -83,10 +83,13 @@ def d11(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "D04_domain_candidates",
-    "select c_custkey as company_id, 'customer' || lpad(c_custkey::varchar, 9, '0') || '.ee,customer' || lpad(c_custkey::varchar, 9, '0') || '.com' as hosts from customer",
+    """with n as (select c_custkey, lower(replace(c_name, '#', '')) as a, lower(c_mktsegment) as b from customer)
+  select c_custkey as company_id, case when c_custkey % 2 = 0 then a || '.ee,' || a || '.com' else a || b || '.ee,' || a || b || '.com,' || a || '-' || b || '.ee,' || a || '-' || b || '.com,' || a || '.ee,' || a || '.com' end as hosts from n""",
 )
 def d04(spark: SparkSession, d: str) -> DataFrame:
-    key = t.name_key(F.regexp_replace("c_name", "[^A-Za-z0-9]", ""))
+    """Names of one and of two words."""
+    first = F.lower(F.replace("c_name", F.lit("#"), F.lit("")))
+    key = F.when(F.col("c_custkey") % 2 == 0, first).otherwise(F.concat_ws(" ", first, F.lower("c_mktsegment")))
     return table(spark, d, "customer").select(F.col("c_custkey").alias("company_id"), F.array_join(h.domain_candidates(key, (".ee", ".com")), ",").alias("hosts"))
 
 
@@ -201,14 +204,17 @@ def m08(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "N20_address",
-    """select c_custkey as company_id, case when c_custkey % 4 <> 3 then 'Harju maakond' end as county, ['Tallinn', 'Rae vald', 'Tartu linn', null][c_custkey % 4 + 1] as municipality,
-  ['Tallinn', null, 'Tartu', null][c_custkey % 4 + 1] as city, ['', '', '', 'unrecognised units: Atlantis; no county; municipality ambiguous'][c_custkey % 4 + 1] as warnings from customer""",
+    """select c_custkey as company_id, case when c_custkey % 4 <> 3 then c_mktsegment || ' maakond' end as county, ['Tallinn', c_name || ' vald', c_name || ' linn', null][c_custkey % 4 + 1] as municipality,
+  ['Tallinn', null, c_name, null][c_custkey % 4 + 1] as city, ['', '', '', 'unrecognised units: ' || c_name || '; no county; municipality ambiguous'][c_custkey % 4 + 1] as warnings from customer""",
 )
 def n20(spark: SparkSession, d: str) -> DataFrame:
-    texts = ["Harju maakond, Tallinn, Kesklinna linnaosa", "Harju maakond, Rae vald, Jüri alevik", "Harju maakond, Tartu linn", "Atlantis"]
-    k = F.col("c_custkey")
-    parts = register.address_parts(F.element_at(F.array(*map(F.lit, texts)), (k % 4 + 1).cast("int")))
-    return table(spark, d, "customer").select(k.alias("company_id"), parts.alias("p")).select("company_id", "p.county", "p.municipality", "p.city", F.array_join("p.warnings", "; ").alias("warnings"))
+    k, name = F.col("c_custkey"), F.col("c_name")
+    county = F.concat("c_mktsegment", F.lit(" maakond"))
+    units = (
+        F.when(k % 4 == 0, F.concat(county, F.lit(", Tallinn,  Kesklinna linnaosa"))).when(k % 4 == 1, F.concat(county, F.lit(","), name, F.lit(" vald, "), name, F.lit(" alevik")))
+        .when(k % 4 == 2, F.concat(county, F.lit(", "), name, F.lit(" linn"))).otherwise(name)
+    )
+    return table(spark, d, "customer").select(k.alias("company_id"), register.address_parts(units).alias("p")).select("company_id", "p.county", "p.municipality", "p.city", F.array_join("p.warnings", "; ").alias("warnings"))
 
 
 @query(
@@ -299,9 +305,13 @@ def n14(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("company_id"), register.legal_form(raw).alias("form"))
 
 
-@query("V03_set_versions", "select l_orderkey, count(*) as n from lineitem group by all")
+@query(
+    "V03_set_versions",
+    """with j as (select l_orderkey, '{"l_partkey":' || l_partkey || ',"l_linenumber":' || l_linenumber || '}' as row from lineitem)
+  select l_orderkey, count(*) as n, sha256(string_agg(row, chr(10) order by row)) as set_hash from j group by all""",
+)
 def v03(spark: SparkSession, d: str) -> DataFrame:
-    return versions.set_versions(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey", "l_partkey", "l_linenumber").select("l_orderkey", "n")
+    return versions.set_versions(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey", "l_partkey", "l_linenumber").select("l_orderkey", "n", "set_hash")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provena.functions import html as h
 from provena.functions import numbers as m
 from provena.functions import text as t
-from provena.operators import confidence, funnel, governance, identity, quality, register, signals, versions, website
+from provena.operators import confidence, funnel, governance, identity, quality, register, signals, versions, views, website
 from provena.plans.adapters import COMPANIES, FACTS, STATEMENTS, companies, facts, statements, table
 from provena.plans.evidence import _evidence, profiles, records
 from provena.plans.screening import BAND, FUNNEL, SIGNAL, YEAR, items, with_codes
@@ -50,20 +50,22 @@ def f13(spark: SparkSession, d: str) -> DataFrame:
     return governance.enable_gate(s).select("s_suppkey", F.array_join("enable_reasons", "; ").alias("reasons"))
 
 
-@query("F15_runs_list", "select o_orderkey, o_orderstatus from orders where o_custkey % 5 = 1 and o_orderstatus = 'F' order by o_orderdate desc, o_orderkey limit 50")
+@query("F15_runs_list", "select o_orderkey, o_orderstatus from orders where o_orderpriority like '2%' and o_orderstatus = 'F' order by o_orderdate desc, o_orderkey limit 50")
 def f15(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").where("o_custkey % 5 = 1 and o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderstatus")
+    runs = table(spark, d, "orders").where("o_orderpriority like '2%' and o_orderstatus = 'F'")
+    return views.newest(runs, "o_orderdate", "o_orderkey", 50).select("o_orderkey", "o_orderstatus")
 
 
 @query("F16_sources_list", "select s_suppkey, n_name as region from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 3 order by n_name, s_suppkey")
 def f16(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").where("n_regionkey = 3").select("n_nationkey", F.col("n_name").alias("region"))
-    return table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "region").orderBy("region", "s_suppkey")
+    sources = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("source_id"), "region")
+    return views.sources_list(sources).select(F.col("source_id").alias("s_suppkey"), "region")
 
 
 @query("F19_projection", f"with {COMPANIES} select company_id, legal_name as name, country || ':' || company_id as reference, coalesce(sector, '') as sector from companies")
 def f19(spark: SparkSession, d: str) -> DataFrame:
-    return companies(spark, d).select("company_id", F.col("legal_name").alias("name"), F.concat_ws(":", "country", "company_id").alias("reference"), F.coalesce("sector", F.lit("")).alias("sector"))
+    return views.summaries(companies(spark, d))
 
 
 @query("S13_source_sync", "select s_suppkey as source_id, case when s_suppkey % 5 = 0 then 'approved' when s_suppkey % 5 = 1 then 'denied' when s_suppkey % 5 in (2, 3) then 'approved' else 'pending' end as permission_status, s_suppkey % 5 = 2 as enabled, case s_suppkey % 5 when 0 then 'added' when 4 then 'unlisted' else 'kept' end as outcome from supplier")
@@ -92,15 +94,13 @@ def j03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("J05_left_context", f"with {COMPANIES}, {FACTS}, n as (select company_id, count(*) as n from facts group by all) select company_id, coalesce(n, 0)::bigint as n_facts from companies left join n using (company_id)")
 def j05(spark: SparkSession, d: str) -> DataFrame:
-    n = facts(spark, d).groupBy("company_id").agg(F.count("*").alias("n"))
-    return companies(spark, d).select("company_id").join(n, "company_id", "left").select("company_id", F.coalesce("n", F.lit(0)).alias("n_facts"))
+    return views.with_count(companies(spark, d).select("company_id"), facts(spark, d), "n_facts")
 
 
 @query("J13_known_codes", f"with {COMPANIES} select o_orderkey from orders where o_custkey in (select company_id from companies where country = 'EE') or o_custkey in (select user_id from events)")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    scope = companies(spark, d).where("country = 'EE'").select(F.col("company_id").alias("o_custkey"))
-    known = table(spark, d, "events").select(F.col("user_id").alias("o_custkey"))
-    return table(spark, d, "orders").join(scope.union(known).distinct(), "o_custkey", "left_semi").select("o_orderkey")
+    scope, known = companies(spark, d).where("country = 'EE'").select("company_id"), table(spark, d, "events").select("user_id")
+    return views.with_codes_in(table(spark, d, "orders"), "o_custkey", scope, known).select("o_orderkey")
 
 
 @query("J15_identifier_lookup", """with k as (select o_orderkey as row, 'DK:' || lpad((o_custkey * 7919 % 100000000)::varchar, 8, '0') as v from orders where o_orderkey % 3 <> 2)
@@ -114,14 +114,15 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
 @query("J17_rejected_records", "select event_id, user_id from events where event_type = 'click' order by ts desc, event_id limit 100")
 def j17(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    runs = e.select("event_id", F.col("ts").alias("started"))
-    return e.where("event_type = 'click'").select("event_id", "user_id").join(runs, "event_id").orderBy(F.desc("started"), "event_id").limit(100).select("event_id", "user_id")
+    records = e.select(F.col("event_id").alias("run_id"), "user_id", F.when(F.col("event_type") == "click", "rejected").otherwise("ok").alias("status"))
+    runs = e.select(F.col("event_id").alias("run_id"), F.col("ts").alias("started"))
+    return views.rejected_records(records, runs, 100).select(F.col("run_id").alias("event_id"), "user_id")
 
 
 @query("J19_source_names", f"with {FACTS} select source_id, s_name as source_name, count(*) as n from facts left join supplier on s_suppkey = substr(source_id, 4)::int group by all")
 def j19(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("source_id"), F.col("s_name").alias("source_name"))
-    return facts(spark, d).groupBy("source_id").agg(F.count("*").alias("n")).join(s, "source_id", "left")
+    return views.with_source_names(facts(spark, d).groupBy("source_id").agg(F.count("*").alias("n")), s)
 
 
 # --- aggregates and windows -------------------------------------------------------------------------------
@@ -136,7 +137,7 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("A28_active_fields", f"with {FACTS} select company_id, string_agg(distinct field_name, ',' order by field_name) as fields from facts group by all")
 def a28(spark: SparkSession, d: str) -> DataFrame:
-    return facts(spark, d).groupBy("company_id").agg(F.array_join(F.sort_array(F.collect_set("field_name")), ",").alias("fields"))
+    return views.active_fields(facts(spark, d)).select("company_id", F.array_join("fields", ",").alias("fields"))
 
 
 @query("W02_three_years", f"with {SIGNAL} select company_id, latest_year from financial where three")
@@ -167,10 +168,10 @@ def o08(spark: SparkSession, d: str) -> DataFrame:
     return due.orderBy(*funnel.ranking("cash_harvesting")).limit(50).select("company_id")
 
 
-@query("O09_financial_series", f"with {STATEMENTS} select company_id, fiscal_year, revenue::double as revenue from financials where company_id = 7 order by fiscal_year desc, statement_scope nulls last")
+@query("O09_financial_series", f"with {STATEMENTS} select company_id, fiscal_year, revenue::double as revenue from financials order by company_id, fiscal_year desc, statement_scope nulls last")
 def o09(spark: SparkSession, d: str) -> DataFrame:
-    one = statements(spark, d).where("company_id = 7").orderBy(F.desc("fiscal_year"), F.asc_nulls_last("statement_scope"))
-    return one.select("company_id", "fiscal_year", F.col("revenue").cast("double").alias("revenue"))
+    series = statements(spark, d).orderBy("company_id", F.desc("fiscal_year"), F.asc_nulls_last("statement_scope"))
+    return series.select("company_id", "fiscal_year", F.col("revenue").cast("double").alias("revenue"))
 
 
 @query("O13_disambiguation", """with s as (select p_partkey, p_type, (p_brand = 'Brand#1')::int * 2 + (p_size > 25)::int + (p_name like '%1%')::int as score from part
@@ -214,20 +215,26 @@ def n13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("N19_unit_type", "select c_custkey as company_id, ['county', 'rural_municipality', 'tallinn', 'city_district', 'town', 'borough', 'village', 'unknown'][c_custkey % 8 + 1] as kind from customer")
 def n19(spark: SparkSession, d: str) -> DataFrame:
-    names = ["Harju maakond", "Rae vald", "Tallinn", "Kesklinna linnaosa", "Tartu linn", "Jüri alevik", "Pihva küla / Pihwa", "Kuskil"]
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("company_id"), register.unit_type(pick(names, F.col("c_custkey") % 8)).alias("kind"))
+    k = F.col("c_custkey")
+    ending = pick([" maakond", " vald", "", " linnaosa", " linn", " alevik", "küla / Village", ""], k % 8)
+    unit = F.when(k % 8 == 2, "Tallinn").otherwise(F.concat("c_name", ending))
+    return table(spark, d, "customer").select(k.alias("company_id"), register.unit_type(unit).alias("kind"))
+
+
+ELEMENTS = [*register.ELEMENTS.items(), ("Other", None)]
 
 
-@query("N22_element_metric", "select l_orderkey, l_linenumber, ['revenue', 'total_assets', 'equity', null][l_linenumber % 4 + 1] as metric from lineitem")
+@query("N22_element_metric", f"select l_orderkey, l_linenumber, [{', '.join(repr(v) if v else 'null' for _, v in ELEMENTS)}][(l_orderkey + l_linenumber) % {len(ELEMENTS)} + 1] as metric from lineitem")
 def n22(spark: SparkSession, d: str) -> DataFrame:
-    element = pick(["Revenue", "Assets", "Equity", "Other"], F.col("l_linenumber") % 4)
+    element = pick([e for e, _ in ELEMENTS], (F.col("l_orderkey") + F.col("l_linenumber")) % len(ELEMENTS))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", t.lookup(register.ELEMENTS, element).alias("metric"))
 
 
-@query("N23_code_version", "select c_custkey as company_id, ['2025', 'X', null][c_custkey % 3 + 1] as version from customer")
+@query("N23_code_version", "select o_orderkey, case when o_orderkey % 3 < 2 then year(o_orderdate)::varchar end as version from orders")
 def n23(spark: SparkSession, d: str) -> DataFrame:
-    raw = pick(["EMTAK 2025", "X", "  "], F.col("c_custkey") % 3)
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("company_id"), t.blank_to_null(F.regexp_replace(raw, "^EMTAK ", "")).alias("version"))
+    k, year = F.col("o_orderkey"), F.year("o_orderdate").cast("string")
+    raw = F.when(k % 3 == 0, F.concat(F.lit(" EMTAK "), year)).when(k % 3 == 1, year).otherwise("  ")
+    return table(spark, d, "orders").select("o_orderkey", register.code_version(raw).alias("version"))
 
 
 @query("N24_content_hash", "select count(*) as n_rows, count(distinct (user_id, event_type)) as n_hashes from events")
@@ -237,9 +244,8 @@ def n24(spark: SparkSession, d: str) -> DataFrame:
 
 @query("N25_contact_hash", f"with {COMPANIES} select company_id, sha256('contact|' || lower(legal_name) || '|' || country || '|' || company_id) as contact_hash, sha256('email|info@' || domain) as email_hash from companies")
 def n25(spark: SparkSession, d: str) -> DataFrame:
-    return companies(spark, d).select(
-        "company_id", F.sha2(F.concat_ws("|", F.lit("contact"), F.lower("legal_name"), "country", "company_id"), 256).alias("contact_hash"), F.sha2(F.concat(F.lit("email|info@"), "domain"), 256).alias("email_hash")
-    )
+    contact = t.contact_hash(F.col("legal_name"), F.col("country"), F.col("company_id"))
+    return companies(spark, d).select("company_id", contact.alias("contact_hash"), t.email_hash(F.concat(F.lit(" Info@"), "domain")).alias("email_hash"))
 
 
 @query("N26_name_similarity")
@@ -263,7 +269,7 @@ def m06(spark: SparkSession, d: str) -> DataFrame:
 @query("M10_observed_at", "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as at from events")
 def m10(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    return table(spark, d, "events").select("event_id", F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
+    return table(spark, d, "events").select("event_id", F.date_format(m.observed_at(text), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
 @query("U03_key_sets", "select c_custkey as company_id, c_custkey % 3 = 0 as shared, case when c_custkey % 3 = 0 then '' else 'r' || (c_custkey % 3) end as only_a from customer")
@@ -283,10 +289,14 @@ def u05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("D05_verify_identity", "select c_custkey as company_id, ['registry_code', 'name_and_address', 'unverified', 'unverified'][c_custkey % 4 + 1] as who from customer")
 def d05(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    code = F.lpad(k.cast("string"), 8, "1")
-    text = F.when(k % 4 == 0, F.concat(F.lit("Reg "), F.substring(code, 1, 4), F.lit(" "), F.substring(code, 5, 4))).when(k % 4 == 1, "Õun & Ko OÜ, 10111 Tallinn").when(k % 4 == 2, "Õun & Ko").otherwise("10111")
-    return table(spark, d, "customer").select(k.alias("company_id"), h.verify_identity(text, code, F.lit("oun ko"), F.lit("10111")).alias("who"))
+    """Pages with the company's code in groups, its name and postal code, its name alone, and another company's code."""
+    k, name = F.col("c_custkey"), F.replace("c_name", F.lit("#"), F.lit(""))
+    code, postal = F.lpad(k.cast("string"), 8, "1"), F.lpad((k % 90000).cast("string"), 5, "1")
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit("Reg "), F.substring(code, 1, 4), F.lit(" "), F.substring(code, 5, 4))).when(k % 4 == 1, F.concat(F.upper(name), F.lit(" OÜ, "), postal, F.lit(" Tallinn")))
+        .when(k % 4 == 2, F.concat(name, F.lit(" OÜ"))).otherwise(F.concat(F.lit("Reg 9"), F.substring(code, 2, 7), F.lit(", "), postal))
+    )
+    return table(spark, d, "customer").select(k.alias("company_id"), h.verify_identity(text, code, F.lower(name), postal).alias("who"))
 
 
 @query("D10_sitemap", "select user_id as site, count(*) as n, max(ts::date)::varchar as latest from events group by all")
@@ -383,21 +393,26 @@ def v34(spark: SparkSession, d: str) -> DataFrame:
 
 @query("V35_website_check")
 def v35(spark: SparkSession, d: str) -> DataFrame:
-    """Verdict over pages as fetched: notices, dates and roles of each page with the register's revenue and headcount."""
+    """Verdict over pages as fetched: notices, dates and roles of each page, with the company of the same number as its owner."""
     today = F.lit("2025-06-30").cast("date")
     p = table(spark, d, "pages").select("page_id", "url", "html", h.visible_text(F.col("html")).alias("text"), h.links(F.col("html"), F.lower("url")).alias("links"), h.host(F.col("url")).alias("domain"))
     p = p.withColumn("careers_url", h.section_link(F.col("links"), F.col("domain"), h.SECTIONS["careers"]))
     roles = website.hiring(p.withColumnRenamed("page_id", "site"))
     facts_of = p.select("page_id", h.copyright_year(h.footer(F.col("html")), F.col("text"), today).alias("year"), h.latest_date(h.dates(F.col("html"), F.col("text"), today))["day"].alias("news"))
-    both = facts_of.join(roles, F.col("page_id") == F.col("site"))
-    verdict = h.activity_verdict(F.lit("registry_code"), F.col("year"), F.col("news"), F.lit(None).cast("int"), F.col("state"), F.lit(6_000_000), F.lit("flat"), today)
+    both = facts_of.join(roles.withColumnRenamed("state", "roles"), F.col("page_id") == F.col("site"))
+    owners = companies(spark, d).select(F.col("company_id").alias("page_id"), t.name_key(F.col("legal_name")).alias("name"), F.lpad(F.col("company_id").cast("string"), 8, "0").alias("code"))
+    named = p.join(owners, "page_id", "left").select("page_id", h.verify_identity(F.col("text"), F.col("code"), F.col("name"), F.lit("10111")).alias("verification"))
+    revenue = signals.latest_revenue(statements(spark, d)).select(F.col("company_id").alias("page_id"), "amount")
+    staff = signals.headcount_trend(statements(spark, d)).select(F.col("company_id").alias("page_id"), F.col("state").alias("staff"))
+    both = both.join(named, "page_id").join(revenue, "page_id", "left").join(staff, "page_id", "left")
+    verdict = h.activity_verdict(F.col("verification"), F.col("year"), F.col("news"), F.lit(None).cast("int"), F.col("roles"), F.col("amount"), F.col("staff"), today)
     return both.select("page_id", verdict.alias("v")).select("page_id", "v.*")
 
 
 @query("K04_address_line", f"with {COMPANIES} select company_id, concat_ws(', ', case when company_id % 3 <> 0 then 'Street ' || company_id end, city, country) as line from companies")
 def k04(spark: SparkSession, d: str) -> DataFrame:
     street = F.when(F.col("company_id") % 3 != 0, F.concat(F.lit("Street "), F.col("company_id").cast("string")))
-    return companies(spark, d).select("company_id", F.concat_ws(", ", street, "city", "country").alias("line"))
+    return companies(spark, d).select("company_id", t.address_line(street, F.col("city"), F.col("country")).alias("line"))
 
 
 @query("K05_latest_signal", f"with {FACTS}, r as (select *, row_number() over (partition by company_id order by observed_at desc, fact_id) as k from facts where field_name = 'view') select company_id, value from r where k = 1")

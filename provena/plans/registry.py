@@ -1,6 +1,7 @@
 """All registered queries of the library and their SQL twins."""
 
-from provena.plans import evidence, imports, more, screening
+from provena.plans import evidence, imports, more, screening, sourcing
 
-QUERIES = screening.QUERIES | evidence.QUERIES | imports.QUERIES | more.QUERIES
-ORACLES = screening.ORACLES | evidence.ORACLES | imports.ORACLES | more.ORACLES
+MODULES = (screening, evidence, imports, more, sourcing)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -7,6 +7,7 @@ memory whole.
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import io
 import json
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +41,7 @@ def _uri(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-class _Pieces:
+class Pieces:
     """Writes text into numbered pieces of bounded size; a repeated task replaces its own pieces."""
 
     def __init__(self, folder: str, name: str, head: str = ""):
@@ -48,12 +50,15 @@ class _Pieces:
         self.name, self.head, self.out, self.done = name, head, None, []
         self.rows = self.size = 0
 
+    def start(self) -> None:
+        path = f"{self.root}/{self.name}-{len(self.done):05d}"
+        self.out, self.rows, self.size = self.fs.open_output_stream(path), 0, 0
+        self.out.write(self.head.encode())
+        self.done.append([path, 0])
+
     def add(self, text: str) -> None:
         if self.out is None:
-            path = f"{self.root}/{self.name}-{len(self.done):05d}"
-            self.out, self.rows, self.size = self.fs.open_output_stream(path), 0, 0
-            self.out.write(self.head.encode())
-            self.done.append([path, 0])
+            self.start()
         data = text.encode()
         self.out.write(data)
         self.rows += 1
@@ -127,14 +132,13 @@ def stage_zip(path: str, folder: str, kind: str) -> list[list]:
                 head = next(records, None)
                 if head is None:
                     raise ValueError(f"{path} has no header")
-                pieces = _Pieces(folder, name, head)
+                pieces = Pieces(folder, name, head)
                 for record in records:
                     pieces.add(record)
                 if not pieces.done:
-                    pieces.add("")
-                    pieces.done[-1][1] = 0
+                    pieces.start()
             else:
-                pieces = _Pieces(folder, name)
+                pieces = Pieces(folder, name)
                 for element in json_elements(text):
                     pieces.add(json.dumps(element, ensure_ascii=False) + "\n")
             pieces.close()
@@ -160,7 +164,8 @@ def stage(spark: SparkSession, paths: list[str], kind: str, folder: str | None =
 def read_csv_zip(spark: SparkSession, paths: list[str], columns: list[str], sep: str = ";") -> DataFrame:
     """All rows as text, with the wanted columns by name; missing ones are null."""
     folder, _ = stage(spark, paths, "csv")
-    rows = spark.read.option("sep", sep).option("header", True).option("multiLine", False).option("quote", '"').option("escape", '"').csv(folder)
+    # Pieces are of bounded size and end between records, so reading each whole keeps line breaks within quotes.
+    rows = spark.read.option("sep", sep).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(folder)
     return rows.select(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
@@ -170,6 +175,52 @@ def read_json_zip(spark: SparkSession, paths: list[str], schema: T.StructType |
     return spark.read.schema(schema).json(folder)
 
 
+def export_zips(rows: DataFrame, folder: str, kind: str, sep: str = ";") -> list[str]:
+    """Write rows as register files, one ZIP a partition with one CSV or JSON array; the paths. Columns are written as text."""
+    names = rows.columns
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _uri(folder)
+        fs.create_dir(root, recursive=True)
+        path = f"{root}/part-{TaskContext.get().partitionId():05d}.zip"
+        n = 0
+        with fs.open_output_stream(path) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z, z.open(f"data.{kind}", "w", force_zip64=True) as f:
+            text = io.TextIOWrapper(f, "utf-8", newline="", write_through=True)
+            out = csv.writer(text, delimiter=sep, lineterminator="\n")
+            if kind == "csv":
+                out.writerow(names)
+            else:
+                text.write("[")
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if kind == "csv":
+                        out.writerow(row)
+                    else:
+                        text.write((", " if n else "") + json.dumps(dict(zip(names, row, strict=True)), ensure_ascii=False))
+                    n += 1
+            if kind != "csv":
+                text.write("]")
+            text.flush()
+            text.detach()
+        yield pa.RecordBatch.from_pydict({"path": [path], "n": [n]})
+
+    written = new_path(rows.sparkSession, "exported")
+    whole = rows if kind != "csv" else rows.select([F.col(c).cast("string") for c in names])
+    whole.mapInArrow(write, "path string, n long").write.parquet(written)
+    # An empty JSON array is an error to readers of register files: archives without rows are left out.
+    return [r["path"] for r in rows.sparkSession.read.parquet(written).where("n > 0").orderBy("path").collect()]
+
+
+def wanted_files(links: DataFrame, years: list[int], always: tuple[int, ...] = (2024, 2025)) -> DataFrame:
+    """Of links(url, kind, year) those an import of `years` takes: every kind, and indicators of these years and those in `always`.
+
+    Of several files of a kind and year the last by url (the names end in the date of issue).
+    """
+    wanted = sorted({*years, *always})
+    known = links.where((F.col("kind") != "indicators") | F.col("year").isin(wanted))
+    return known.groupBy("kind", "year").agg(F.max("url").alias("url"))
+
+
 def checksums(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, n_bytes, sha256), streamed file by file."""
 

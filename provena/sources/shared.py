@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir, or a local folder where that is unset and executors are threads of this process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir is not set: executors of a cluster need a folder that all of them see")
+    app = spark.conf.get("spark.app.id")
     if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own_dirs[app] = f"file://{folder}"
     return _own_dirs[app]
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this session has written to the shared folder; DataFrames that read them are of no use any more."""
+    for path in _written.pop(spark.conf.get("spark.app.id"), []):
+        fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        if fs.get_file_info(at).type != pafs.FileType.NotFound:
+            fs.delete_dir(at)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.conf.get("spark.app.id"), []).append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

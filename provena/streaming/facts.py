@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,26 +13,25 @@ FACTS = "company_id long, source_id string, field_name string, value string, obs
 KEYS = ["company_id", "source_id", "field_name"]
 
 
-def _committed(spark: SparkSession, folder: str) -> list[int]:
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [n for n in names if n.startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+def _committed(folder: str) -> list[int]:
+    """Numbers of the versions whose success marker is there; Spark writes it after the last file."""
+    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    names = [f.base_name for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith("v")]
+    done = [n for n in names if fs.get_file_info(f"{root}/{n}/_SUCCESS").type == pafs.FileType.File]
     return sorted(int(n[1:]) for n in done)
 
 
 def current_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Open facts of the newest committed version."""
-    done = _committed(spark, folder)
+    done = _committed(folder)
     return spark.read.schema(FACTS).parquet(f"{folder}/v{done[-1]}") if done else spark.createDataFrame([], FACTS)
 
 
 def merge_batch(batch: DataFrame, batch_id: int, folder: str) -> bool:
     """Write version `batch_id` of the facts; a batch that is committed already is not applied again."""
     spark = batch.sparkSession
-    done = _committed(spark, folder)
+    done = _committed(folder)
     if batch_id in done:
         return False
     newest = versions.current(batch, KEYS, F.desc("observed_at"), F.col("value"))

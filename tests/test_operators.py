@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import random
+from difflib import SequenceMatcher
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -142,12 +143,106 @@ def test_ordered_resolution(spark):
 
 def test_pair_scores(spark):
     rows = [(1, "oun ko", "EE", "Tallinn", "EE:1", None, "a.ee", "62011"), (2, "oun ko", "EE", "tallinn", None, "V", "a.ee", "62020"), (3, "oun kool", "EE", "Tartu", "EE:2", "V", None, "01"), (4, "oun ko", "FI", None, None, None, None, None)]
-    p = spark.createDataFrame(rows, "id long, name string, country string, city string, registry string, vat string, domain string, industry_code string")
+    rows = [(*r[:4], *[[x] if x else None for x in r[4:7]], r[7]) for r in rows]
+    p = spark.createDataFrame(rows, "id long, name string, country string, city string, registry_keys array<string>, vat_keys array<string>, domains array<string>, industry_code string")
     pairs = identity.candidate_pairs(p)
     assert sorted(map(tuple, pairs.collect())) == [(1, 2), (1, 3), (2, 3)]
     got = {(r["a"], r["b"]): (r["score"], r["band"]) for r in identity.score_pairs(p, pairs).collect()}
     assert got == {(1, 2): (100, "likely"), (1, 3): (0, "none"), (2, 3): (85, "likely")}
     assert identity.new_candidates(p, spark.createDataFrame([(1, 2)], "a long, b long")).count() == 1
+    reasons = {(r["a"], r["b"]): [(x["signal"], x["effect"]) for x in r["reasons"]] for r in identity.score_pairs(p, pairs).collect()}
+    assert reasons[1, 3] == [("registry_id", "against"), ("name", "for"), ("city", "against")] and ("vat_id", "for") in reasons[2, 3]
+    foreign = identity.score_pairs(p, spark.createDataFrame([(1, 4)], "a long, b long")).first()
+    assert (foreign["score"], foreign["band"], [x["effect"] for x in foreign["reasons"]]) == (0, "none", ["block"])
+
+
+def test_pair_scores_against_brute_force(spark):
+    """Random profiles with several keys each; the bounds before the matcher change no score."""
+    r = random.Random(8)
+    words = ["oun", "kool", "kooli", "puit", "puidu", "tallinn", "ehitus", "ehitused"]
+    some = lambda pool: r.sample(pool, r.randint(0, 2))
+    rows = [
+        (i, " ".join(r.choices(words, k=r.randint(0, 3))), r.choice(["EE", "FI"]), r.choice(["Tartu", "tartu", "Narva", None, ""]), some(["EE:1", "EE:2", "FI:1"]), some(["V1", "V2"]), some(["a.ee", "b.ee"]), r.choice(["6201", "6202", "01", None]))
+        for i in range(60)
+    ]
+    p = spark.createDataFrame(rows, "id long, name string, country string, city string, registry_keys array<string>, vat_keys array<string>, domains array<string>, industry_code string")
+    every = [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+    def slow(x, y):
+        if x[2] != y[2]:
+            return 0
+        points = 0
+        nx, ny = ({k for k in v[4] if k.startswith(v[2])} for v in (x, y))
+        points -= 60 if nx and ny and not nx & ny else 0
+        points += 60 if set(x[5]) & set(y[5]) else 0
+        points += 45 if set(x[6]) & set(y[6]) else 0
+        if x[1] and y[1]:
+            wx, wy = set(x[1].split()), set(y[1].split())
+            s = 1 if x[1] == y[1] else max(SequenceMatcher(None, x[1], y[1]).ratio(), len(wx & wy) / len(wx | wy))
+            points += 50 if s >= 0.999 else 35 if s >= 0.85 else 0
+        if x[3] and y[3]:
+            points += 15 if x[3].lower() == y[3].lower() else -10
+        points += 5 if x[7] and y[7] and x[7][:2] == y[7][:2] else 0
+        return max(0, min(100, points))
+
+    got = {(x["a"], x["b"]): x["score"] for x in identity.score_pairs(p, spark.createDataFrame(every, "a long, b long")).collect()}
+    assert got == {(a, b): slow(rows[a], rows[b]) for a, b in every} and len(set(got.values())) > 8
+
+
+def test_merge_guards(spark):
+    c = spark.createDataFrame([(1, "EE"), (2, "EE"), (3, "FI"), (4, "EE"), (5, "EE")], "company_id long, country string")
+    ids = spark.createDataFrame([(1, "registry_id", "EE:1", False), (2, "registry_id", "EE:1", False), (2, "registry_id", "EE:2", False), (4, "registry_id", "EE:4", False), (5, "registry_id", "EE:1", True)], "company_id long, kind string, value string, derived boolean")
+    asked = [(1, 2, 1, "open"), (1, 3, 3, "open"), (1, 4, 4, "open"), (1, 5, 1, "open"), (1, 5, 2, "dismissed"), (1, 9, 1, "open")]
+    checked = identity.merge_problems(spark.createDataFrame(asked, "a long, b long, survivor long, status string"), c, ids)
+    got = {(r["a"], r["b"], r["survivor"]): list(r["problems"]) for r in checked.collect()}
+    assert got == {(1, 2, 1): [], (1, 3, 3): ["different countries"], (1, 4, 4): ["different register numbers"], (1, 5, 1): [], (1, 5, 2): ["already dismissed", "survivor is neither of the two"], (1, 9, 1): ["unknown company"]}
+    assert sorted(map(tuple, identity.merges_of(checked).collect())) == [(2, 1), (5, 1)]
+    assert identity.merge_audit(checked, "me", F.current_timestamp()).count() == 2
+
+
+def test_text_evidence_and_labels(spark):
+    """Every fact's label and the chosen value against a fold over the facts of each field."""
+    r = random.Random(12)
+    pool = {"legal_name": ["Õun OÜ", "OUN", "Kool AS"], "industry_code": ["62.01", "6201", "6202"], "website": ["A.ee ", "a.ee", "b.ee"], "sector": ["Food", "food", "Wood"]}
+    rows = []
+    for company in range(60):
+        for field, values in pool.items():
+            for _ in range(r.randint(1, 5)):
+                source = r.randint(0, 2)
+                rows.append((len(rows), company, field, f"s{source}", r.choice(values), r.randint(0, 700), source, r.random() < 0.08, "verified" if source == 0 else "estimated"))
+    df = spark.createDataFrame(rows, "fact_id long, company_id long, field_name string, source_id string, value string, day int, trust_rank int, is_correction boolean, base_confidence string")
+    df = df.withColumn("observed_at", F.expr("timestamp'2023-01-01' + make_dt_interval(day)"))
+    now = F.expr("timestamp'2023-01-01' + make_dt_interval(700)")
+    same = {"Õun OÜ": 0, "OUN": 0, "Kool AS": 1, "62.01": 0, "6201": 0, "6202": 1, "A.ee ": 0, "a.ee": 0, "b.ee": 1, "Food": 0, "food": 0, "Wood": 1}
+    want, labels = {}, {}
+    for company, field in {(x[1], x[2]) for x in rows}:
+        mine = [x for x in rows if x[1:3] == (company, field)]
+        if len({(x[6], x[5], x[7]) for x in mine}) < len(mine):
+            continue  # ties have no order in the brute force
+        facts, fixes = [x for x in mine if not x[7]], sorted((x for x in mine if x[7]), key=lambda x: -x[5])
+        current = sorted((x for x in facts if x[5] >= 335), key=lambda x: (x[6], -x[5]))
+        groups = []
+        for x in current:
+            fitting = [g for g in groups if same[g[0][4]] == same[x[4]]]
+            if fitting:
+                fitting[0].append(x)
+            else:
+                groups.append([x])
+        wordings = field == "sector"
+        status = "conflicting" if len(groups) > 1 and not wordings else "multi-source" if groups and len({x[3] for x in groups[0]}) > 1 else groups[0][0][8] if groups else "old" if facts else "unknown"
+        old = min(facts, key=lambda x: (x[6], -x[5]), default=None)
+        shown = fixes[0] if fixes else groups[0][0] if groups else old
+        want[company, field] = ("manually-corrected" if fixes else status, shown and shown[4])
+        for x in facts:
+            chosen = groups and x in groups[0]
+            label = "old" if x[5] < 335 else "conflicting" if status == "conflicting" else "multi-source" if status == "multi-source" and chosen else x[8]
+            labels[x[0]] = (label, not fixes and bool(chosen or not groups and x is old))
+        for k, x in enumerate(fixes):
+            labels[x[0]] = ("old" if k else "manually-corrected", not k)
+    got = {(x["company_id"], x["field_name"]): (x["status"], x["value"]) for x in confidence.resolve(df, now).collect()}
+    assert {k: got[k] for k in want} == want and len({s for s, _ in want.values()}) == 6
+    found = {x["fact_id"]: (x["label"], x["supporting"]) for x in confidence.label_facts(df, now).collect()}
+    assert {k: found[k] for k in labels} == labels and len(found) == len(rows)
 
 
 def test_graphs(spark):

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from provena.sources import extracts, register_files, snapshots
+from provena.sources import extracts, register_files, shared, sink, snapshots
 from provena.sources.shared import new_path
 from provena.streaming import facts as stream
 
@@ -21,6 +21,8 @@ def test_csv_zip(spark, tmp_path):
     paths = [make_zip(tmp_path / "a.zip", "data.csv", text), make_zip(tmp_path / "b.zip", "d.csv", "ariregistri_kood;nimi\n1;z\n")]
     folder, report = register_files.stage(spark, paths, "csv")
     assert sorted(r["n_rows"] for r in report.collect()) == [1, 2]
+    both = register_files.read_csv_zip(spark, paths, ["ariregistri_kood", "nimi"]).collect()
+    assert sorted(map(tuple, both)) == [("1", "z"), ("10000018", "OÜ Õun"), ("10065762", 'Kaks\nrida "AS"')]
     single = register_files.read_csv_zip(spark, [make_zip(tmp_path / "c.zip", "d.csv", "﻿a;b\n1;x\n2;\n")], ["a", "b", "none"])
     assert sorted(tuple(r) for r in single.collect()) == [("1", "x", None), ("2", None, None)]
     with pytest.raises(ValueError, match="not one"):
@@ -60,6 +62,11 @@ def test_extracts(spark, tmp_path):
     assert ignored == ["Övrigt"]
     assert [(r["legal_name"], r["city"], r["employees"]) for r in rows.orderBy("row_number").collect()] == [("Åkeri AB", "Umeå", "20-49"), (None, "Lund", None)]
     assert [extracts.delimiter_of(h) for h in ("a,b;c,d", '"a,b";c;d', "a\tb", "one")] == [",", ";", "\t", ","]
+    path.write_bytes('a;b\n"two\nlines";ü\n'.encode())
+    rows, _ = extracts.read_extract(spark, str(path), {"a": "legal_name", "b": "city"}, ["legal_name", "city"])
+    assert [tuple(r)[:2] for r in rows.collect()] == [("two\nlines", "ü")]
+    path.write_bytes(b"a;b\n")
+    assert extracts.read_extract(spark, str(path), {"a": "legal_name"}, ["legal_name"])[0].count() == 0
     path.write_bytes(b"")
     with pytest.raises(ValueError):
         extracts.read_extract(spark, str(path), {}, [])
@@ -91,3 +98,42 @@ def test_stream_equals_batches(spark):
     assert got == [(1, "f", "c"), (1, "g", "b"), (2, "f", "d")]
     assert not stream.merge_batch(rows((9, "s", "f", "x", "2025-01-01")), 0, folder)
     assert stream.recent_counts(rows((1, "s", "f", "a", "2025-01-01"))).count() == 18
+
+
+def test_wanted_files(spark):
+    links = spark.createDataFrame([("u/1", "basic", None), ("u/2", "basic", None), ("u/a", "indicators", 2020), ("u/b", "indicators", 2024), ("u/c", "indicators", 2021)], "url string, kind string, year int")
+    assert sorted(tuple(r) for r in register_files.wanted_files(links, [2021]).collect() if r["kind"] == "indicators") == [("indicators", 2021, "u/c"), ("indicators", 2024, "u/b")]
+    assert register_files.wanted_files(links, []).where("kind = 'basic'").first()["url"] == "u/2"
+
+
+def test_sink_publishes_both_kinds_together(spark):
+    built = spark.createDataFrame([(1, []), (2, ["bad"]), (3, [])], "row long, errors array<string>")
+    store = new_path(spark, "store")
+    assert sink.published(spark, store).count() == 0
+    assert sink.publish(built, store, "r1") == {"accepted": 2, "rejected": 1, "repeated": 0}
+    assert sink.publish(built, store, "r1")["repeated"] == 1
+    assert sink.publish(built.limit(0), store, "r2") == {"accepted": 0, "rejected": 0, "repeated": 0}
+    built.withColumn("kind", F.lit("accepted")).write.partitionBy("kind").parquet(f"{store}/rows/part=cut-off")
+    assert sorted((r["row"], r["run"]) for r in sink.rows_of(spark, store, "accepted", built).collect()) == [(1, "r1"), (3, "r1")]
+    assert [(r["row"], list(r["errors"])) for r in sink.rows_of(spark, store, "rejected", built).collect()] == [(2, ["bad"])]
+
+
+def test_purge_keeps_audit_and_suppressions(spark):
+    some = lambda n: spark.range(n).withColumnRenamed("id", "x")
+    audit = spark.createDataFrame([("a", "login", "{}", None)], "actor string, action string, details string, at timestamp")
+    tables = {"companies": some(3), "contacts": some(2), "contact_suppressions": some(4), "audit_events": audit, "sources": spark.createDataFrame([("s",), ("old",)], "source_id string")}
+    after = {k: v.collect() for k, v in sink.purge(tables, ["s"], "me", "2025-01-01").items()}
+    assert {k: len(v) for k, v in after.items()} == {"companies": 0, "contacts": 0, "contact_suppressions": 4, "audit_events": 2, "sources": 1}
+    assert json.loads(next(r["details"] for r in after["audit_events"] if r["actor"] == "me")) == {"companies": 3, "contacts": 2, "sources": 1}
+
+
+def test_shared_folder_is_demanded_of_clusters(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://x"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(Session())

@@ -95,6 +95,12 @@ def parsed(text: Column) -> Column:
 def _sources(said: DataFrame) -> DataFrame:
     """(key, n_linked, near, far) of messages with linked quotes: the source of the least nested one, as a turn of the
     own conversation (near) or as (conv, here, ck) in another one (far)."""
+    quotes = said.where("size(quotes) > 0").select("ck", "turn", "key", F.explode("quotes").alias("q")).distinct()
+    quotes = materialise(quotes.select("ck", "turn", "key", "q.level", "q.nth", F.col("q.hash").alias("h")), "quotes")
+    if quotes.isEmpty():
+        none = F.lit(None).cast("long")
+        far = F.struct(said["conv"], none.alias("here"), said["ck"])
+        return said.limit(0).select("key", none.alias("n_linked"), none.alias("near"), far.alias("far"))
     own = said.select("ck", "conv", "turn", F.explode("own").alias("h"))
     # Written first: joins of tables are ones that AQE may split where a passage is hot.
     here = materialise(own.groupBy("ck", "conv", "h").agg(F.min("turn").alias("here")), "here")
@@ -102,8 +108,6 @@ def _sources(said: DataFrame) -> DataFrame:
     first = materialise(here.groupBy("h").agg(F.min(place).alias("first")), "first")
     second = here.join(first, "h").where("ck <> first.ck").groupBy("h").agg(F.min(place).alias("second"))
     there = materialise(first.join(second, "h", "left"), "there")
-    quotes = said.where("size(quotes) > 0").select("ck", "turn", "key", F.explode("quotes").alias("q")).distinct()
-    quotes = materialise(quotes.select("ck", "turn", "key", "q.level", "q.nth", F.col("q.hash").alias("h")), "quotes")
     tied = quotes.join(here.select("ck", "h", "here"), ["ck", "h"], "left").join(there, "h", "left")
     near = F.when(F.col("here") < F.col("turn"), F.col("here"))
     far = F.when(near.isNull(), F.when(F.col("first.ck") != F.col("ck"), F.col("first")).otherwise(F.col("second")))
@@ -133,6 +137,8 @@ def reply_order(turns: DataFrame) -> DataFrame:
     numbered = materialise(running_total(headed, ["ck"], ["turn"], "head", "seg"), "segments")
     sizes = numbered.groupBy("ck", "seg").agg(F.sum("n").alias("size"))
     several = materialise(sizes.groupBy("ck").agg(F.max("seg").alias("most"), F.sum("size").alias("total")).where("most > 1"), "several")
+    if several.isEmpty():  # every conversation is one thread in turn order
+        return numbered.select("ck", "turn", "seg", F.lit(0).cast("long").alias("before"))
     whose = numbered.select("ck", F.col("turn").alias("parent"), F.col("seg").alias("p_seg"))
     heads = numbered.where("head = 1").select("ck", "seg", "turn", "parent").join(several, "ck", "left_semi").join(whose, ["ck", "parent"], "left")
     # Of a segment's answers those to its later turns come first, since the segment goes on before earlier turns are answered again.

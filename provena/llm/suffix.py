@@ -445,7 +445,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     runs = keyed.join(wanted, key).select("packs", *key, "text").mapInArrow(sorted_runs(parts), RUN)
     merged = materialise(runs.groupBy("part").applyInArrow(merge_part, MERGED), "merged")
     windows = merged.where("w is not null")
-    twice = windows.groupBy("w").agg(F.sum("c").alias("times")).where("times > 1").select("w")
+    twice = materialise(windows.groupBy("w").agg(F.sum("c").alias("times")).where("times > 1").select("w"), "repeated-windows")
     found = windows.where("d is not null").select(*key, "lo", "hi", "w").join(twice, "w").select(*key, "lo", "hi")
     spans = merged.where("w is null").select(*key, "lo", "hi").unionByName(found)
     return spans.groupBy(*key).agg(F.collect_set(F.shiftleft("lo", 32).bitwiseOR(F.col("hi"))).alias("spans"))

@@ -273,6 +273,9 @@ def test_records(spark):
     assert (out[0]["registry_key"], out[0]["domain"], out[0]["key"], out[0]["region"], len(out[0]["warnings"])) == ("EE:10065762", "oun.ee", "EE:10065762", "baltics", 0)
     assert out[0]["facts"]["employees"] == '{"min":20,"max":49}' and out[0]["facts"]["revenue"] == '{"min":5000000,"max":5000000,"currency":"EUR"}' and out[0]["facts"]["ownership_type"] == '{"v":"family-owned"}'
     assert [len(r["errors"]) for r in out] == [0, 1, 1, 0, 1] and out[1]["facts"] is None
+    for verified in (False, True):
+        facts = records.build(df, ["EE", "FI"], ["EE", "FI"], enrichment=True, verified_website=verified).first()["facts"]
+        assert "registry_id" not in facts and ("website" in facts) == verified
     assert len(out[3]["warnings"]) == 6 and out[3]["key"].startswith("row:") and set(out[3]["facts"]) == {"legal_name", "website"}
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from provena.llm import chat, decontam, lines, mixing, queries, tokens, urls, warc
+from provena.llm import chat, decontam, lines, mixing, quality, queries, simhash, tokens, urls, warc
 from provena.llm.common import WORD, new_path
 
 
@@ -415,3 +415,28 @@ def test_quotes_of_other_conversations(spark):
     out = {(r["conv_id"], r["turn"]): r for r in chat.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert (out[1, 0]["reply_conv_id"], out[1, 0]["reply_turn"], out[1, 0]["n_linked"]) == (2, 3, 1)
     assert (out[1, 1]["reply_conv_id"], out[1, 1]["reply_turn"], out[3, 0]["reply_turn"]) == (1, 0, None)
+
+
+# --- all ----------------------------------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark, documents, prose):
+    """A text of 60,000 words, its copy and a short one go through every operator whole."""
+    long = prose(60_000, 1)
+    docs = documents([(1, long), (2, long), (3, "> " + long[:500])])
+    assert [(r["n_words"], r["kept"]) for r in quality.quality(docs).orderBy("doc_id").collect()[:2]] == [(60_000, True)] * 2
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {1: 60_000, 2: 60_000, 3: len(("> " + long[:500]).split())}
+    assert {r["doc_id"]: r["_n_removed_lines"] for r in lines.dedup_lines(docs).collect()}[2] == 5_000
+    bench = spark.createDataFrame([(7, long)], "item_id long, text string")
+    assert {r["doc_id"]: (r["_n_words"], r["_n_hit"]) for r in decontam.judged(docs, bench).collect()}[2] == (60_000, 60_000)
+    totals = {r["doc_id"]: r["n_tokens"] for r in tokens.changes(docs, PATHS[:1]).collect()}
+    assert totals[1] == totals[2] == slow_count(long, PATHS[0])
+    talk = docs.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("u").alias("role"), "text")
+    assert sorted(len(r["text"]) for r in chat.link_quotes(talk).collect())[1:] == [len(long)] * 2
+    folder = new_path(spark, "warc-test")
+    warc.write_archives(docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x/" + "y" * 20_000).alias("url"), F.col("text").alias("html")), folder, compress=True)
+    assert {r["page_id"]: r["payload_bytes"] for r in warc.archived_pages(spark, folder).collect()}[2] == len(long.encode())
+    urls_of = docs.select(F.concat(F.lit("http://a.com/"), F.replace("text", F.lit("\n"), F.lit("/"))).alias("url"), F.lit("2024-01-02").cast("date").alias("fetched_on"))
+    entries = spark.createDataFrame([("a.com", "block", "2024-01-01")], "pattern string, action string, listed_on string").withColumn("listed_on", F.col("listed_on").cast("date"))
+    assert urls.judge_urls(urls_of, entries).where("not _kept").count() == 3

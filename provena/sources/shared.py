@@ -30,9 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that this session has written to the shared folder; DataFrames that read them are of no use any more."""
-    for path in _written.pop(spark.conf.get("spark.app.id"), []):
+def written(spark: SparkSession) -> list[str]:
+    """Paths in the shared folder that this session has asked for, in order."""
+    return list(_written.get(spark.conf.get("spark.app.id"), []))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables (all, if none are given) that this session has written to the shared folder; DataFrames that read them are of no use any more."""
+    app = spark.conf.get("spark.app.id")
+    gone = set(_written.get(app, []) if paths is None else paths)
+    _written[app] = [p for p in _written.get(app, []) if p not in gone]
+    for path in gone:
         fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         if fs.get_file_info(at).type != pafs.FileType.NotFound:
             fs.delete_dir(at)

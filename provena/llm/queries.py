@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import chat, decontam, lines, mixing, quality, simhash, suffix, tokens, urls, warc, whitening
+from provena.llm import alignment, chat, decontam, lines, mixing, quality, simhash, suffix, tokens, urls, warc, whitening
 from provena.llm.common import new_path
 
 
@@ -69,6 +69,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -84,6 +88,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_warc": op9_warc,
     "op10_url_filters": op10_url_filters,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {

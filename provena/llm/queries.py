@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import alignment, chat, decontam, lines, mixing, quality, simhash, suffix, tokens, urls, warc, whitening
+from provena.llm import alignment, chat, decontam, lines, minhash, mixing, quality, simhash, suffix, tokens, urls, warc, whitening
 from provena.llm.common import new_path
 
 
@@ -73,6 +73,10 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return alignment.alignment(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_url_filters": op10_url_filters,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_minhash": op12_minhash,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {
@@ -99,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": lines.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_url_filters": urls.ORACLE,
+    "op12_minhash": minhash.ORACLE,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -515,17 +517,51 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
     return identity.candidate_pairs(profiles(spark, d))
 
 
-@query("V15_score_pairs")
+def best_block(p: str, q: str) -> str:
+    """SQL for the longest substring that p and q share, of equal ones the first in p, then in q: its length and negated places."""
+    longest = f"len(list_filter(range(1, least(len({p}) - i, len({q}) - j) + 2), lambda k: {p}[i:i + k - 1] = {q}[j:j + k - 1]))"
+    return f"list_max(flatten(list_transform(range(1, len({p}) + 1), lambda i: list_transform(range(1, len({q}) + 1), lambda j: {{'l': {longest}, 'i': -i, 'j': -j}}))))"
+
+
+#: SQL tables (need `with recursive`): the share of matching blocks of the names of name_pairs(x, y), split at the longest block again and again.
+RATIOS = f"""blocks_of(x, y, p, q, b) as (select x, y, x, y, {best_block('x', 'y')} from name_pairs where x <> '' and y <> ''
+  union all select x, y, s.p, s.q, {best_block('s.p', 's.q')} from (select x, y, unnest([{{'p': p[:-b.i - 1], 'q': q[:-b.j - 1]}}, {{'p': p[-b.i + b.l:], 'q': q[-b.j + b.l:]}}]) as s
+    from blocks_of where b.l > 0) where s.p <> '' and s.q <> ''
+), ratios as (select x, y, 2 * sum(b.l) / (len(x) + len(y)) as ratio, len(list_intersect(list_distinct(string_split(x, ' ')), list_distinct(string_split(y, ' '))))
+    / len(list_distinct(list_concat(string_split(x, ' '), string_split(y, ' ')))) as words from blocks_of group by x, y
+), similarities as (select x, y, case when x = y then 1 else greatest(ratio, words) end as s from ratios)"""
+SCORED = f"""{COMPANIES}, p as (select company_id as id, 'firm' || (company_id // 20)::varchar || ' ' || lower(sector) as name, 'firm' || (company_id // 20)::varchar as w, country, city, domain,
+    case when company_id % 4 = 0 then country || ':' || company_id end as reg, case when company_id % 6 = 0 then 'V' || (company_id // 50)::varchar end as vat, industry_code[:2] as division
+    from companies where merged_into_id is null
+), k as (select id, country || '|n' || w as k from p union select id, country || '|d' || domain from p union select id, country || '|v' || vat from p where vat is not null
+), pairs as (select distinct x.id as a, y.id as b from k x join k y on x.k = y.k and x.id < y.id
+), name_pairs as (select distinct x.name as x, y.name as y from pairs join p x on x.id = a join p y on y.id = b
+), {RATIOS}, judged as (select a, b, v.reg is not null and w.reg is not null as apart, v.vat = w.vat as same_vat, v.domain = w.domain as same_domain, s, v.city = w.city as same_city, v.division = w.division as same_division,
+    struct_pack(reg := v.reg, vat := v.vat, domain := v.domain, name := v.name, city := v.city, division := v.division) as x, struct_pack(reg := w.reg, name := w.name, city := w.city) as y
+    from pairs join p v on v.id = a join p w on w.id = b join similarities n on n.x = v.name and n.y = w.name
+), scored as (select a, b, greatest(0, least(100, case when apart then -60 else 0 end + case when same_vat then 60 else 0 end + case when same_domain then 45 else 0 end
+    + case when s >= 0.999 then 50 when s >= 0.85 then 35 else 0 end + case when same_city then 15 else -10 end + case when same_division then 5 else 0 end)) as score,
+    concat_ws('; ', case when apart then 'registry_id against ' || x.reg || ' / ' || y.reg end, case when same_vat then 'vat_id for ' || x.vat end, case when same_domain then 'domain for ' || x.domain end,
+      case when s >= 0.999 then 'name for same: ' || x.name when s >= 0.85 then 'name for alike: ' || x.name || ' / ' || y.name else 'name neutral differ: ' || x.name || ' / ' || y.name end,
+      case when same_city then 'city for ' || x.city else 'city against ' || x.city || ' / ' || y.city end, case when same_division then 'industry for ' || x.division end) as reasons from judged)"""
+BAND = "case when score >= 80 then 'likely' when score >= 55 then 'possible' else 'none' end"
+
+
+def _told(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("reasons", F.array_join(F.transform("reasons", lambda r: F.concat_ws(" ", r["signal"], r["effect"], r["detail"])), "; "))
+
+
+@query("V15_score_pairs", f"with recursive {SCORED} select a, b, score, {BAND} as band, reasons from scored")
 def v15(spark: SparkSession, d: str) -> DataFrame:
     p = profiles(spark, d)
-    return identity.score_pairs(p, identity.candidate_pairs(p))
+    return _told(identity.score_pairs(p, identity.candidate_pairs(p)))
 
 
-@query("V16_new_candidates")
+@query("V16_new_candidates", f"with recursive {SCORED} select a, b, score, {BAND} as band, reasons from scored where score >= 55 and b <> a + 9")
 def v16(spark: SparkSession, d: str) -> DataFrame:
     p = profiles(spark, d)
     known = p.select(F.col("id").alias("a"), (F.col("id") + 9).alias("b"))
-    return identity.new_candidates(p, known)
+    return _told(identity.new_candidates(p, known))
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -550,11 +586,53 @@ def v08(spark: SparkSession, d: str) -> DataFrame:
     return identity.identity_keys(records(spark, d))
 
 
-@query("V09_resolve")
+def resolved_sql(keys: str, rounds: int = 12) -> str:
+    """SQL of ordered resolution over the table k(row, kind, value, derived) that `keys` ends with: every company guessed, then chosen again in rounds."""
+    return f"""with recursive {keys}, f as (select kind, value, min(row) as first from k group by all
+), kf as (select k.*, first, case kind when 'source_key' then 0 when 'registry_id' then 1 when 'vat_id' then 2 else 3 end as priority from k join f using (kind, value)
+), mine as (select distinct row, value[:3] as prefix from k where kind = 'registry_id' and not derived
+), rounds(turn, row, company, links) as (select 0, row, row, 0::hugeint from (select distinct row from k)
+  union all select turn + 1, row, company, links from (
+    with taken as (select kf.row, c.company as c, min((priority, kind, value)) as best, bool_or(kind = 'registry_id' and not derived) as own, count(*) as n
+        from kf join rounds c on c.row = first where first < kf.row group by kf.row, c.company),
+      numbers as (select company as c, value[:3] as prefix, min(first) as since from f join rounds on row = first where kind = 'registry_id' group by all),
+      blocked as (select distinct t.row, t.c from taken t join mine m on m.row = t.row join numbers r on r.c = t.c and r.prefix = m.prefix and since < t.row where not own),
+      chosen as (select t.row, arg_min(t.c, best) filter (where b.c is null) as company, sum(n) as n from taken t left join blocked b on b.row = t.row and b.c = t.c group by t.row)
+    select r.turn, r.row, coalesce(h.company, r.row) as company, coalesce(h.n - coalesce(t.n, 0), 0) as links from rounds r left join chosen h on h.row = r.row left join taken t on t.row = r.row and t.c = h.company
+  ) where turn < {rounds})
+  select row, company, case when company = row then 'new' else 'matched' end as outcome, links::int as links from rounds where turn = {rounds}"""
+
+
+KEYS_SQL = """r as (select o_orderkey as row, 's' || (o_orderkey % 3) || '|k' || (o_orderkey // 2) as sk, lpad((o_custkey * 7919 % 100000000)::varchar, 8, '0') as d, o_custkey from orders
+), k as (select row, 'source_key' as kind, sk as value, false as derived from r union all select row, 'registry_id', 'DK:' || d, false from r where row % 3 = 0
+  union all select row, 'vat_id', 'DK' || d, false from r where row % 3 = 1 union all select row, 'registry_id', 'DK:' || d, true from r where row % 3 = 1
+  union all select row, 'vat_id', 'DK' || d, true from r where row % 3 = 0 union all select row, 'domain', 'firm' || o_custkey || '.dk', false from r where row % 5 = 0)"""
+
+
+@query("V09_resolve", resolved_sql(KEYS_SQL))
 def v09(spark: SparkSession, d: str) -> DataFrame:
     return identity.resolve(identity.identity_keys(records(spark, d)))
 
 
+@query(
+    "V09_resolve_disputed",
+    resolved_sql("""k as (select o_orderkey as row, 'registry_id' as kind, ['EE:', 'FI:'][o_orderkey % 2 + 1] || (o_custkey // 4)::varchar as value, o_orderkey % 3 = 1 as derived from orders where o_orderkey % 4 <> 3
+  union all select o_orderkey, 'vat_id', 'V' || (o_custkey // 3)::varchar, false from orders where o_orderkey % 5 < 2
+  union all select o_orderkey, 'domain', case when o_orderkey % 3 = 0 then 'all.ee' else 'd' || (o_custkey // 7)::varchar end, false from orders where o_orderkey % 2 = 0)"""),
+)
+def v09_disputed(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that contradict each other, and a domain that about a third of the rows have."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row"), F.col("o_custkey").alias("c"))
+    part = lambda n: F.floor(F.col("c") / n).cast("string")
+    country = F.when(F.col("row") % 2 == 0, "EE:").otherwise("FI:")
+    kinds = [
+        ("registry_id", "row % 4 <> 3", F.concat(country, part(4)), F.col("row") % 3 == 1), ("vat_id", "row % 5 < 2", F.concat(F.lit("V"), part(3)), F.lit(False)),
+        ("domain", "row % 2 = 0", F.when(F.col("row") % 3 == 0, "all.ee").otherwise(F.concat(F.lit("d"), part(7))), F.lit(False)),
+    ]
+    keys = [o.where(when).select("row", F.lit(kind).alias("kind"), value.alias("value"), derived.alias("derived")) for kind, when, value, derived in kinds]
+    return identity.resolve(reduce(DataFrame.unionByName, keys))
+
+
 @query("V17_merge", f"with {FACTS} select case when company_id % 97 = 0 then company_id - 1 else company_id end as company_id, count(*) as n from facts group by all")
 def v17(spark: SparkSession, d: str) -> DataFrame:
     merges = companies(spark, d).select(F.col("company_id").alias("id"), F.col("merged_into_id").alias("to"))

@@ -10,7 +10,7 @@ from provena.functions import numbers as m
 from provena.functions import text as t
 from provena.operators import confidence, funnel, governance, identity, quality, register, signals, versions, views, website
 from provena.plans.adapters import COMPANIES, FACTS, STATEMENTS, companies, facts, statements, table
-from provena.plans.evidence import _evidence, profiles, records
+from provena.plans.evidence import SCORED, _evidence, profiles, records
 from provena.plans.screening import BAND, FUNNEL, SIGNAL, YEAR, items, with_codes
 
 QUERIES: dict = {}
@@ -248,7 +248,7 @@ def n25(spark: SparkSession, d: str) -> DataFrame:
     return companies(spark, d).select("company_id", contact.alias("contact_hash"), t.email_hash(F.concat(F.lit(" Info@"), "domain")).alias("email_hash"))
 
 
-@query("N26_name_similarity")
+@query("N26_name_similarity", f"with recursive {SCORED} select a, b, s as similarity from judged")
 def n26(spark: SparkSession, d: str) -> DataFrame:
     p = profiles(spark, d)
     x, y = p.select(F.col("id").alias("a"), F.col("name").alias("x")), p.select(F.col("id").alias("b"), F.col("name").alias("y"))

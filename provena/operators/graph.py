@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.sources.shared import materialise
+from provena.sources.shared import drop, materialise
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -28,13 +28,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not last[0]:
             break
-        both = _both_ways(star)
+        both, before = _both_ways(star), star
         least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = materialise(large.distinct(), "large")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        lower = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        small = large.join(lower, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         star = materialise(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "small")
+        drop(before, least, large, lower)
         now = _state(star)
         if now == last:
             break

@@ -57,3 +57,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more: whatever was made of them has been written."""
+    for df in tables:
+        folders = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        release(df.sparkSession, [p for p in written(df.sparkSession) if p.rsplit("/", 1)[-1] in folders])

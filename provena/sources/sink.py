@@ -1,24 +1,28 @@
 """Import sink: accepted and rejected rows of a run, published together, and a purge that keeps what must stay.
 
-Every run writes into its own directories below the store and is published by one row in `published`, written last. Readers
+Every run writes into its own directories below the store and is published by one file in `published`, written last. Readers
 take the rows of published runs only, so a run that was cut off leaves nothing to see and may be repeated under the same name.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provena.sources.versioned import create_once
+
 PUBLISHED = "run string, part string, n_accepted long, n_rejected long"
 
 
 def published(spark: SparkSession, store: str) -> DataFrame:
     """(run, part, n_accepted, n_rejected) of the published runs."""
     try:
-        return spark.read.schema(PUBLISHED).option("recursiveFileLookup", "true").parquet(f"{store}/published")
+        return spark.read.schema(PUBLISHED).json(f"{store}/published")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e.getCondition()):
             raise
@@ -26,7 +30,11 @@ def published(spark: SparkSession, store: str) -> DataFrame:
 
 
 def publish(built: DataFrame, store: str, run: str) -> dict[str, int]:
-    """Write the rows of built (with `errors`) as accepted and rejected ones and publish both; a published run is not written again."""
+    """Write the rows of built (with `errors`) as accepted and rejected ones and publish both; a published run is not written again.
+
+    The row that publishes a run is a file under the run's name that can be created once: of two writers of a run one publishes, and the rows
+    of the other are read by nobody.
+    """
     spark = built.sparkSession
     done = published(spark, store).where(F.col("run") == run).collect()
     if done:
@@ -37,9 +45,11 @@ def publish(built: DataFrame, store: str, run: str) -> dict[str, int]:
     built.withColumn("kind", F.when(good, "accepted").otherwise("rejected")).write.partitionBy("kind").parquet(f"{store}/rows/part={part}")
     kinds = spark.read.schema(_schema(built)).parquet(f"{store}/rows").where(F.col("part") == part).groupBy("kind").count().collect()
     counts = {r["kind"]: r["count"] for r in kinds}
-    accepted, rejected = counts.get("accepted", 0), counts.get("rejected", 0)
-    spark.createDataFrame([(run, part, accepted, rejected)], PUBLISHED).write.mode("error").parquet(f"{store}/published/{part}")
-    return {"accepted": accepted, "rejected": rejected, "repeated": 0}
+    row = {"run": run, "part": part, "n_accepted": counts.get("accepted", 0), "n_rejected": counts.get("rejected", 0)}
+    name = hashlib.sha256(run.encode()).hexdigest()[:32]
+    if not create_once(f"{store}/published/{name}.json", json.dumps(row).encode()):
+        return publish(built, store, run)
+    return {"accepted": row["n_accepted"], "rejected": row["n_rejected"], "repeated": 0}
 
 
 def _schema(built: DataFrame) -> str:

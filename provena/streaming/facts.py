@@ -1,42 +1,44 @@
-"""Observations as a stream: each micro-batch is merged into the versioned facts, exactly once in effect."""
+"""Observations as a stream: each micro-batch is merged into the ledger of facts, exactly once in effect."""
 
 from __future__ import annotations
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from provena.operators import versions
+from provena.operators import ledger
+from provena.sources.versioned import Store
 
 FACTS = "company_id long, source_id string, field_name string, value string, observed_at timestamp"
 KEYS = ["company_id", "source_id", "field_name"]
-
-
-def _committed(folder: str) -> list[int]:
-    """Numbers of the versions whose success marker is there; Spark writes it after the last file."""
-    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    names = [f.base_name for f in found if f.type == pafs.FileType.Directory and f.base_name.startswith("v")]
-    done = [n for n in names if fs.get_file_info(f"{root}/{n}/_SUCCESS").type == pafs.FileType.File]
-    return sorted(int(n[1:]) for n in done)
+BUCKETS = 64
+#: After so many micro-batches crowded buckets are put together and parts that nobody reads are deleted.
+COMPACT_EVERY = 16
 
 
 def current_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Open facts of the newest committed version."""
-    done = _committed(folder)
-    return spark.read.schema(FACTS).parquet(f"{folder}/v{done[-1]}") if done else spark.createDataFrame([], FACTS)
+    """Open facts of the newest committed version, with the time they were last seen."""
+    store = Store(spark, folder)
+    version = store.latest()
+    if "facts" not in version.tables:
+        return spark.createDataFrame([], FACTS)
+    return ledger.current(store, "facts", KEYS, ["value"], version).select(*KEYS, "value", F.col("last_seen").alias("observed_at"))
 
 
 def merge_batch(batch: DataFrame, batch_id: int, folder: str) -> bool:
-    """Write version `batch_id` of the facts; a batch that is committed already is not applied again."""
-    spark = batch.sparkSession
-    done = _committed(folder)
-    if batch_id in done:
+    """Append what a batch changes to the facts, reading the buckets of its companies only; a batch that is committed already is not applied again.
+
+    Of several observations of a fact within the batch the latest counts, of equal times the least value.
+    """
+    store, run = Store(batch.sparkSession, folder), f"batch-{batch_id}"
+    if run in store.latest().runs:
         return False
-    newest = versions.current(batch, KEYS, F.desc("observed_at"), F.col("value"))
-    merged = versions.merge(current_facts(spark, folder), newest, KEYS, "value", "observed_at")
-    merged.select(*KEYS, "value", "observed_at").write.mode("overwrite").parquet(f"{folder}/v{batch_id}")
+    order = F.struct((-F.unix_micros("observed_at")).alias("newest"), "value")
+    rows = batch.select(*KEYS, "value", "observed_at", order.alias("row"))
+    ledger.load(store, run, {"facts": ledger.Batch(rows, KEYS, ["value"], buckets=BUCKETS, by=["company_id"])})
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        ledger.compact(store, f"compact-{batch_id}", "facts", KEYS, ["value"])
+        store.vacuum(keep=2)
     return True
 
 

@@ -7,10 +7,10 @@ a probability of about 7 in 100 million, a closer pair with less. A pair shares
 without a shared key on both sides make no table keys at all; a bit filter of bounded size tells.
 
 Equal sets are one node throughout. Candidates are verified on the full sets (9 * shared >= 4 * (n_a + n_b), that is a Jaccard similarity of 4/5
-or more). First each node meets the least node of its tables; what that connects needs no more pairs. Tables that still hold several
-components and many nodes go through rounds in which each node meets one node of another component. In the end every pair of a table
-whose nodes are not connected yet, and whose sizes and parity bitmaps allow the similarity, is verified. So no candidate is lost, and a
-large group of near copies is not paired with itself.
+or more). First, in rounds, each node meets one node of another component with which it shares a key of a collection: that connects most of a
+large group of near copies, with 48 keys a node instead of 576. Then the nodes whose keys on both sides are shared with other components
+make their table keys, and every pair of a table whose nodes are not connected yet, and whose sizes and parity bitmaps allow the similarity, is
+verified. So no candidate is lost, and a large group of near copies is not paired with itself.
 
 Defined results: a null text, an empty one or one without words has an empty set: linked with nothing, a component of its own. A
 text of fewer words than a shingle is one shingle. Repeated rows share a component; null ids take part in links, but are a component's
@@ -31,13 +31,14 @@ from provena.llm.bits import bit_filter, passes
 from provena.llm.common import as_bytes, materialise
 from provena.llm.shingles import BITS, shingle_set
 from provena.operators.graph import components
+from provena.sources.shared import drop
 
 SHINGLE = 4
 TABLES = 24
 WIDTH = 3
-#: Tables of more nodes than this go through rounds first, of which there are so many at most.
+#: After the first round only keys that more nodes than this share go through rounds, of which there are so many at most.
 DENSE = 32
-ROUNDS = 6
+ROUNDS = 4
 #: Shingles whose minima are taken at once.
 STEP = 512
 LONGS = T.ArrayType(T.LongType())
@@ -112,6 +113,20 @@ def _table_keys(u: Column, v: Column, bits: np.ndarray) -> Column:
     return run.asNondeterministic()(u, v)
 
 
+def _kept(keys: Column, bits: np.ndarray) -> Column:
+    """The keys of an array that the filter lets through."""
+
+    @F.arrow_udf(LONGS)
+    def run(held: pa.Array) -> pa.Array:
+        sizes = np.diff(held.offsets.to_numpy())
+        flat = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = passes(bits, flat.view(np.uint64))
+        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat[kept]))
+
+    return run.asNondeterministic()(keys)
+
+
 def _let_through(hashed: Column, bits: np.ndarray) -> Column:
     @F.arrow_udf(T.BooleanType())
     def run(h: pa.Array) -> pa.Array:
@@ -156,43 +171,72 @@ class Verifier:
         texts = self.rows.where(_let_through(F.xxhash64("k"), bits)).join(wanted, "k", "left_semi")
         texts = materialise(texts.select("k", "text"), "texts")
         of = lambda x: texts.select(F.col("k").alias(x), F.col("text").alias(f"text_{x}"))
-        return materialise(pairs.join(of("b"), "b").join(of("a"), "a").where(_both_similar(F.col("text_a"), F.col("text_b"), self.shingle)).select("a", "b"), "links")
+        similar = pairs.join(of("b"), "b").join(of("a"), "a").where(_both_similar(F.col("text_a"), F.col("text_b"), self.shingle))
+        found = materialise(similar.select("a", "b"), "links")
+        drop(pairs, wanted, texts)
+        return found
 
 
 APART = "aggregate(zip_with(map_a, map_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
 PLAUSIBLE = f"5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * {APART} <= n_a + n_b"
 
 
-def _connected(buckets: DataFrame, verifier: Verifier, dense: int, rounds: int) -> DataFrame:
-    """(id, label) of the nodes of buckets(t, k, least) that similar pairs connect."""
-    first = buckets.where("k <> least").groupBy("k").agg(F.min("least").alias("a")).select("a", F.col("k").alias("b"))
-    links = verifier.links(verifier.plausible(first))
-    labels = materialise(components(links), "labels")
-    held = buckets.select("t", "k")
-    for turn in range(rounds + 1):
-        now = held.join(labels.withColumnRenamed("id", "k"), "k", "left").select("t", "k", F.coalesce("label", "k").alias("l"))
-        now = materialise(now, "labelled")
-        member = F.struct("l", F.xxhash64("k", F.lit(turn)).alias("h"), "k")
-        ends = now.groupBy("t").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("size")).where("low.l < high.l")
-        ends = materialise(ends, "open-tables")
-        held = materialise(now.join(ends, "t"), "open")
-        crowd = held.where(F.col("size") > dense)
-        if turn == rounds or crowd.isEmpty():
+def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """keys with l, the component of k."""
+    if labels is None:
+        return keys.withColumn("l", F.col("k"))
+    return keys.join(labels.select(F.col("id").alias("k"), "label"), "k", "left").select(*keys.columns, F.coalesce("label", "k").alias("l"))
+
+
+def _rounds(halves: DataFrame, verifier: Verifier, dense: int, rounds: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, labels) after rounds over halves(h, k), the keys that nodes share: most of a crowd is connected by few pairs a node."""
+    links, labels = None, None
+    for turn in range(rounds):
+        now = _labelled(halves, labels)
+        now = now if labels is None else materialise(now, "labelled")
+        member = F.struct("l", F.xxhash64("k", F.lit(turn)).alias("x"), "k")
+        ends = now.groupBy("h").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("size")).where("low.l < high.l")
+        ends = materialise(ends if turn == 0 else ends.where(F.col("size") > dense), "open-keys")
+        if ends.isEmpty():
             break
         partner = F.when(F.col("l") > F.col("low.l"), F.col("low.k")).otherwise(F.col("high.k"))
-        one = crowd.groupBy("k").agg(F.min(F.struct(F.xxhash64("t", F.lit(turn)).alias("h"), partner.alias("with"))).alias("p"))
+        # The node that most of a node's keys offer.
+        offers = now.join(ends, "h").groupBy("k", partner.alias("with")).agg(F.count("*").alias("c"))
+        one = offers.groupBy("k").agg(F.max(F.struct("c", F.xxhash64("with", F.lit(turn)).alias("x"), "with")).alias("p"))
         pairs = one.select(F.least("k", "p.with").alias("a"), F.greatest("k", "p.with").alias("b")).distinct()
-        more = verifier.links(verifier.plausible(pairs))
-        links = links.unionByName(more)
+        found = verifier.links(verifier.plausible(pairs))
+        if labels is not None:
+            drop(now)
+        drop(ends)
+        links = found if links is None else links.unionByName(found)
         labels = materialise(components(links), "labels")
-        held = held.select("t", "k")
-    # Whatever shares a table and is not connected yet, once.
-    carried = materialise(held.select("t", "k", "l").join(verifier.nodes.select("k", "n", "bitmap"), "k"), "carried")
+    return links, labels
+
+
+def _connected(nodes: DataFrame, verifier: Verifier, dense: int, rounds: int) -> DataFrame | None:
+    """(id, label) of the nodes(k, u, v) that similar pairs connect; None if there are none."""
+    halves = nodes.select("k", F.explode(F.concat("u", "v")).alias("h"))
+    shared = materialise(halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
+    passing = nodes.select("k", F.explode(_kept(F.concat("u", "v"), bit_filter(shared))).alias("h"))
+    # The filter spares the exchange of keys of one node; the few that it lets through wrongly go by the join.
+    held = materialise(passing.join(shared, "h"), "halves")
+    links, labels = _rounds(held, verifier, dense, rounds)
+
+    # What still holds several components on both sides makes table keys.
+    apart = _labelled(held, labels).groupBy("h").agg(F.min("l").alias("l"), F.max("l").alias("m")).where("l < m").select("h")
+    apart = materialise(apart, "open-keys")
+    tables = nodes.select("k", F.explode(_table_keys(F.col("u"), F.col("v"), bit_filter(apart))).alias("t"))
+    keyed = materialise(_labelled(tables, labels), "keyed")
+    full = materialise(keyed.groupBy("t").agg(F.min("l").alias("l"), F.max("l").alias("m")).where("l < m").select("t"), "tables")
+    carried = materialise(keyed.join(full, "t", "left_semi").join(verifier.nodes.select("k", "n", "bitmap"), "k"), "carried")
+    drop(shared, held, apart, keyed, full)
     left, right = (carried.select("t", F.col("k").alias(x), F.col("l").alias(f"l_{x}"), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"map_{x}")) for x in "ab")
     rest = materialise(left.join(right, "t").where(f"a < b and l_a <> l_b and {PLAUSIBLE}").select("a", "b").distinct(), "rest")
+    drop(carried)
     if rest.isEmpty():
         return labels
-    return components(links.unionByName(verifier.links(rest)))
+    more = verifier.links(rest)
+    return components(more if links is None else links.unionByName(more))
 
 
 def near_duplicates(
@@ -204,14 +248,8 @@ def near_duplicates(
     classes = materialise(marks.where("n > 0").groupBy("key").agg(F.min("k").alias("k"), F.min("doc_id").alias("least")), "classes")
     nodes = materialise(marks.select("k", "n", "u", "v", "bitmap").join(classes.select("k"), "k", "left_semi"), "nodes")
 
-    halves = nodes.select(F.explode(F.concat("u", "v")).alias("h"))
-    shared = materialise(halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
-    keyed = materialise(nodes.select("k", F.explode(_table_keys(F.col("u"), F.col("v"), bit_filter(shared))).alias("t")), "keyed")
-    full = materialise(keyed.groupBy("t").agg(F.min("k").alias("least"), F.max("k").alias("last")).where("least < last").select("t", "least"), "tables")
-    buckets = materialise(keyed.join(full, "t"), "buckets")
-
-    labels = _connected(buckets, Verifier(rows.select("k", "text"), nodes, shingle), dense, rounds)
-    grouped = classes.join(labels.withColumnRenamed("id", "k"), "k", "left").select("key", "least", F.coalesce("label", "k").alias("label"))
+    labels = _connected(nodes, Verifier(rows.select("k", "text"), nodes, shingle), dense, rounds)
+    grouped = _labelled(classes, labels).select("key", "least", F.col("l").alias("label"))
     # Both written first: a join of tables is one that AQE may split where a component is large, a join with an aggregation is not.
     grouped = materialise(grouped, "grouped")
     least = materialise(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "components")

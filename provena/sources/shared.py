@@ -7,12 +7,16 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_mine: ContextVar[tuple[list[str], ...] | list[list[str]]] = ContextVar("mine", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,8 +50,23 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
             fs.delete_dir(at)
 
 
+@contextmanager
+def tables_of(spark: SparkSession) -> Iterator[list[str]]:
+    """Collects the paths that this thread asks for within, less those that are released again."""
+    mine: list[str] = []
+    token = _mine.set([*_mine.get(), mine])
+    try:
+        yield mine
+    finally:
+        _mine.reset(token)
+        still = set(written(spark))
+        mine[:] = [p for p in mine if p in still]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for mine in _mine.get():
+        mine.append(path)
     _written.setdefault(spark.conf.get("spark.app.id"), []).append(path)
     return path
 

@@ -1,17 +1,18 @@
-"""Line deduplication by content-defined chunks of lines. DataFrame functions only.
+"""Line deduplication by repeated chunks of neighbouring lines. DataFrame functions only.
 
-A rolling hash over the hashes of two neighbouring lines that hold a word (with the blank lines between) depends on these
-lines alone, so lines that come or go elsewhere move no chunk. Cutting where the hash has one residue gives chunks of
-several lines, and a passage of two to six lines in new surroundings rarely holds a whole one. Every residue is therefore
-taken: with the rule of its own residue, each such pair of lines is a chunk, and a repeated passage is the union of its
-chunks. All lines of a chunk whose bytes stand at an earlier place (by doc_id, then text hash and line) are removed.
+This departs from content-defined chunks, which a rolling hash over line hashes would cut where it meets a residue: a passage of two to
+six lines in new surroundings rarely holds two such cuts, and those are the passages to find (README has the figures). Here every two
+neighbouring lines that hold a word, with the blank lines between, are a chunk, so that a chunk depends on its own lines alone, lines that come or go
+elsewhere move none, and a repeated passage is the union of its chunks. All lines of a chunk whose bytes stand at an earlier place (by doc_id,
+then text hash and line) are marked. Runs of marked lines with fewer than LEAST_WORDS words stay: two short lines that two texts
+share by chance are no passage.
 
 Hashes only nominate. The least and the greatest text of each repeated hash are compared byte by byte, which pre-aggregates; only
 where they differ are the chunks of that hash grouped by their bytes. A chunk that overlaps its own first copy
 stays. The first place of a line always stays, since an earlier chunk would hold an earlier one.
 
-Defined results: a null text stays null, has no lines and loses none; an empty text is one empty line; rows that repeat
-both doc_id and text are one document and are treated alike; null ids sort last; a document may lose all
+Defined results: a null text stays null, has no lines and loses none; an empty text is one empty line; an empty table gives no rows; rows that
+repeat both doc_id and text are one document and are treated alike; null ids sort last; a document may lose all
 its lines and then has the empty text; other columns pass through under any name, but _n_lines and _n_removed_lines are replaced.
 Single lines are never removed, whatever their length.
 """
@@ -21,8 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import materialise
+from provena.llm.common import WORD, materialise
 
+LEAST_WORDS = 10
 HAS_WORD = r"[^\x20\x09-\x0D]"
 KEY = ["id", "k1", "k2"]
 
@@ -99,9 +101,20 @@ def compared(marked: DataFrame, text: str = "text") -> DataFrame:
     return joined.select("row", gone.alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `text` less its repeated passages of two or more lines that hold a word, and _n_lines and _n_removed_lines."""
+def runs(lines: str, gone: str, least_words: int) -> Column:
+    """The runs of neighbouring lines of the array `gone` of (start, stop) that hold least_words words or more, as such an array."""
+    lost = f"array_sort(array_distinct(flatten(transform({gone}, c -> sequence(c.start, c.stop)))))"
+    starts = "filter(lost, (x, i) -> i = 0 or get(lost, i - 1) < x - 1)"
+    stops = "filter(lost, (x, i) -> i = size(lost) - 1 or get(lost, i + 1) > x + 1)"
+    both = f"transform(array({lost}), lost -> zip_with({starts}, {stops}, (a, b) -> struct(a as start, b as stop)))[0]"
+    words = f"regexp_count(array_join(slice({lines}, r.start, r.stop - r.start + 1), '\\n'), r'{WORD}')"
+    return F.expr(f"filter({both}, r -> {words} >= {least_words})")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs with `text` less its repeated passages of two or more lines that hold a word and least_words words, and _n_lines and _n_removed_lines."""
     cut = compared(repeated_chunks(_keyed(docs, doc_id, text), text), text).withColumn("lines", F.split(_text(text), "\n", -1))
+    cut = cut.withColumn("gone", F.when(F.size("gone") > 0, runs("lines", "gone", least_words)))
     lost = "flatten(transform(gone, c -> sequence(c.start, c.stop)))"
     cut = cut.withColumn("stay", F.when(F.size("gone") > 0, F.expr(f"array_except(sequence(1, size(lines)), {lost})")))
     kept = F.when(F.col("stay").isNull(), _text(text)).otherwise(F.expr("array_join(transform(stay, i -> lines[i - 1]), '\\n')"))
@@ -123,8 +136,15 @@ with docs as (
   from worded w join docs d on w.doc_id is not distinct from d.doc_id and w.text = d.text where stop is not null
 ), ranked as (
   select *, first(doc_id) over f as first_id, first(text) over f as first_text, first(stop) over f as first_stop from chunks window f as (partition by body order by doc_id nulls last, text, start)
-), gone as (
+), marked as (
   select distinct doc_id, text, unnest(range(start, stop + 1)) as i from ranked where not (doc_id is not distinct from first_id and text = first_text) or start > first_stop
+), runs as (
+  select doc_id, text, i, i - row_number() over (partition by doc_id, text order by i) as run from marked
+), sized as (
+  select r.*, sum(len(regexp_extract_all(l.line, '[^\x20\x09-\x0D]+'))) over (partition by r.doc_id, r.text, run) as n_words
+  from runs r join lines l on l.doc_id is not distinct from r.doc_id and l.text = r.text and l.i = r.i
+), gone as (
+  select doc_id, text, i from sized where n_words >= 10
 ), kept as (
   select l.doc_id, l.text, count(*) as n_lines, count(g.i) as n_removed_lines, coalesce(string_agg(line, chr(10) order by l.i) filter (where g.i is null), '') as body
   from lines l left join gone g on l.doc_id is not distinct from g.doc_id and l.text = g.text and l.i = g.i group by l.doc_id, l.text

@@ -18,7 +18,7 @@ to `mix` and pass through `mixed` under any name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.common import materialise, n_words, row_key, running_total
@@ -93,16 +93,32 @@ def mix(
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs that the mix takes, with _size, _source_size, _target and _taken (which replace columns named so)."""
-    keyed = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), row_key(F.col(doc_id), F.col(text)).alias("key"))
-    found = mix(keyed.select("doc_id", "text", "source", F.col("key").alias("row_key")), carry=("row_key",), **options)
-    # Rows that repeat id and text share a key and are told apart by number.
-    taken = found.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy("taken", "source")))
-    taken = taken.where("taken > 0").select("row_key", "nth", "size", "source_size", "target", "taken")
-    rows = keyed.select("row", F.col("key").alias("row_key"), F.row_number().over(Window.partitionBy("key").orderBy("source")).alias("nth"))
+    """The rows of docs that the mix takes, with _size, _source_size, _target and _taken (which replace columns named so).
+
+    Rows that repeat id, text and source are copies: they have one size and target, and how often the mix takes them is counted and then dealt
+    out to them in the order of a hash of the whole row, so a row that a third of the table repeats is no single task.
+    """
+    repeats = options.get("repeats", REPEATS)
+    whose = row_key(F.col(doc_id), F.concat(F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string"))), F.lit("|"), F.coalesce(F.concat(F.lit("+"), F.col(text).cast("string")), F.lit("-"))))
+    keyed = docs.select(F.struct("*").alias("row"), whose.alias("key"))
+    found = mix(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"), whose.alias("row_key")), carry=("row_key",), **options)
+    times = [F.count_if(F.col("taken") >= F.greatest(F.col("size"), F.lit(1)) * k).alias(f"at_least_{k}") for k in range(1, repeats + 1)]
+    figures = found.groupBy("row_key").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.count("*").alias("copies"), *times)
+    figures = materialise(figures.where("at_least_1 > 0"), "figures")
     own = ["size", "source_size", "target", "taken"]
     kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in {f"_{x}" for x in own}]
-    return rows.join(taken, ["row_key", "nth"]).select(*kept, *[F.col(c).alias(f"_{c}") for c in own])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Copy number n is taken k times if the mix takes at least n copies k times."""
+        taken = F.col("size") * sum((F.when(F.col(f"at_least_{k}") >= F.col("nth"), 1).otherwise(0) for k in range(1, repeats + 1)), F.lit(0))
+        return rows.withColumn("taken", taken.cast("long")).where("taken > 0").select(*kept, *[F.col(c).alias(f"_{c}") for c in own])
+
+    joined = keyed.withColumnRenamed("key", "row_key").join(figures, "row_key")
+    single = dealt(joined.where("copies = 1").withColumn("nth", F.lit(1)))
+    if figures.where("copies > 1").isEmpty():
+        return single
+    several = joined.where("copies > 1").select("*", F.lit(1).cast("long").alias("one"), F.xxhash64("row").alias("place"))
+    return single.unionByName(dealt(running_total(several, ["row_key"], ["place"], "one", "nth")))
 
 
 ORACLE = r"""

@@ -169,8 +169,10 @@ def link_quotes(messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn
 
     turns = linked.groupBy("ck", "turn").agg(F.count("*").alias("n"), F.min(F.struct("key", "near"))["near"].alias("near"))
     turns = materialise(turns, "turns")
-    previous = turns.select("ck", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
-    known = turns.join(previous, ["ck", "turn"], "left")
+    # The greatest smaller turn: numbers may have gaps. A turn's number in its conversation is a distributed running total.
+    placed = materialise(running_total(turns.where("turn is not null").select("ck", "turn", F.lit(1).cast("long").alias("one")), ["ck"], ["turn"], "one", "place"), "turn-places")
+    after = placed.select("ck", (F.col("place") + 1).alias("place"), F.col("turn").alias("previous"))
+    known = turns.join(placed.join(after, ["ck", "place"]).select("ck", "turn", "previous"), ["ck", "turn"], "left")
     known = materialise(known.select("ck", "turn", "n", "previous", F.coalesce("near", "previous").alias("parent")), "answers")
     order = reply_order(known.drop("previous")).select(F.col("ck").alias("c"), F.col("turn").alias("t"), "seg", "before")
     order = order.join(known.select("ck", "turn", "previous"), (F.col("c") == F.col("ck")) & F.col("t").eqNullSafe(F.col("turn"))).select("c", "t", "seg", "before", "previous")
@@ -217,9 +219,9 @@ with m as (
 ), parents as (
   select rid, count(*) as n_quotes, count(source) as n_linked, first(source order by level, nth) filter (where source is not null) as parent,
     first(near order by level, nth) filter (where source is not null) as near from quotes group by rid
-), turns as (select distinct conv, turn + 1 as turn from m where turn is not null
+), turns as (select conv, turn, lag(turn) over (partition by conv order by turn) as before from (select distinct conv, turn from m where turn is not null)
 ), joined as (
-  select m.*, coalesce(b.body, '') as body, coalesce(p.n_quotes, 0) as n_quotes, coalesce(p.n_linked, 0) as n_linked, coalesce(p.parent, case when t.turn is not null then {'conv': m.conv, 'turn': m.turn - 1} end) as reply, p.near, t.turn - 1 as previous
+  select m.*, coalesce(b.body, '') as body, coalesce(p.n_quotes, 0) as n_quotes, coalesce(p.n_linked, 0) as n_linked, coalesce(p.parent, case when t.before is not null then {'conv': m.conv, 'turn': t.before} end) as reply, p.near, t.before as previous
   from m left join bodies b using (rid) left join parents p using (rid) left join turns t on t.conv is not distinct from m.conv and t.turn = m.turn
 ), answers as (
   select conv, turn, coalesce(first(near order by key), first(previous)) as parent from joined group by all

@@ -272,7 +272,7 @@ class WarcReader(DataSourceReader):
                 found = gzip_records(raw, self.wanted, need) if path.endswith(".gz") else records(io.BufferedReader(raw, 1 << 18), self.wanted, need)
                 for header, payload in found:
                     row = {c: header.get(h) for c, h in HEADERS.items()}
-                    row |= {"path": path, "content_length": int(header["content-length"])}
+                    row |= {"path": path, "content_length": length_of(header)}
                     if payload is not None:
                         row |= {"payload_bytes": len(payload), "payload": payload}
                         if "payload_sha1" in self.columns:
@@ -311,18 +311,35 @@ class Members(io.RawIOBase):
 
 
 def header_of(lines: Iterator[bytes]) -> dict[str, str]:
-    """Fields of a record's header, from the lines after its first one."""
+    """Fields of a record's header, from the lines after its first one: bytes that are no UTF-8 are replaced, and a line that begins with
+    white space goes on with the field before it."""
     header: dict[str, str] = {}
+    name = ""
     for line in lines:
-        name, _, value = line.decode("utf-8").partition(":")
-        header[name.strip().lower()] = value.strip()
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and name:
+            header[name] = f"{header[name]} {text.strip()}".strip()
+            continue
+        name, _, value = text.partition(":")
+        name = name.strip().lower()
+        header[name] = value.strip()
     if header.get("warc-payload-digest", "").startswith("sha1:"):
         header["warc-payload-digest"] = header["warc-payload-digest"][5:]
     return header
 
 
+def length_of(header: dict[str, str]) -> int:
+    if not header.get("content-length", "").isdigit():
+        raise ValueError(f"a record without a length: {header.get('warc-record-id', 'no id')}")
+    return int(header["content-length"])
+
+
 def records(source: io.BufferedReader, wanted, need_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(header fields, payload or None) of the wanted records; blocks of others are stepped over."""
+    """(header fields, payload or None) of the wanted records; blocks of others are stepped over.
+
+    Only responses have a payload here: records of any other type (revisit, resource, conversion, metadata) come with their header alone. A record
+    without a length, or with one that is no number, ends the archive: where the next one begins is unknown.
+    """
     while True:
         line = source.readline()
         if not line:
@@ -332,7 +349,7 @@ def records(source: io.BufferedReader, wanted, need_payload: bool) -> Iterator[t
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not the start of a WARC record: {line[:60]!r}")
         header = header_of(iter(lambda: source.readline().rstrip(b"\r\n"), b""))
-        length = int(header["content-length"])
+        length = length_of(header)
         if need_payload and header.get("warc-type") == "response" and wanted(header):
             block = source.read(length)
             if len(block) < length:
@@ -365,7 +382,7 @@ def gzip_records(raw, wanted, need_payload: bool) -> Iterator[tuple[dict[str, st
         header = header_of(lines)
         if wanted(header):
             if need_payload and header.get("warc-type") == "response":
-                length = int(header["content-length"])
+                length = length_of(header)
                 while len(rest) < length and head and not inflate.eof:
                     rest += inflate.decompress(head)
                     head = source.read(max(HEAD, at + size - source.tell()))

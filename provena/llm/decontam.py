@@ -87,7 +87,8 @@ def tokens(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    return _mixed(sum(hashes[k : k + n] * PLACE[k] for k in range(width)) + np.uint64(width) * PLACE[TOKEN])
+    with np.errstate(over="ignore"):  # products of 64 bits wrap around
+        return _mixed(sum(hashes[k : k + n] * PLACE[k] for k in range(width)) + np.uint64(width) * PLACE[TOKEN])
 
 
 def _groups(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:

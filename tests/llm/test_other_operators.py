@@ -47,6 +47,18 @@ def test_mixed_rows(documents, prose):
     assert sum(r["_taken"] for r in found.collect()) == sum(r["taken"] for r in mixing.mix(documents(rows)).collect())
 
 
+def test_mixed_rows_have_their_own_sources_figures(documents, prose):
+    """Two sources with one id and text, copies, null ids, texts and sources: row by row as mix says."""
+    rows = [(1, prose(10, 1), "a"), (1, prose(10, 1), "b")] + [(i, prose(20 + 3 * i, i), "ab"[i % 3 == 0]) for i in range(2, 40)]
+    rows += [(1, prose(10, 1), "b")] * 5 + [(3, prose(29, 3), "b")] * 4 + [(None, prose(9, 77), None), (None, prose(9, 77), "a"), (50, None, "a"), (51, "", None)]
+    figures = lambda r, _="": (str(r["doc_id"]), str(r["source"]), *[r[f"{_}{c}"] for c in ("size", "source_size", "target", "taken")])
+    want = sorted(figures(r) for r in mixing.mix(documents(rows)).collect() if r["taken"])
+    found = mixing.mixed(documents(rows)).collect()
+    assert sorted(figures(r, "_") for r in found) == want and {r["source"] for r in found} >= {"a", "b"}
+    assert all(r["_size"] == len(r["text"].split()) for r in found)
+    assert mixing.mixed(documents([])).count() == 0
+
+
 def test_targets_of_many_sources(spark):
     """Against filling up by hand: weights 1, 2, 3, repeating, and no target above three times its source's size."""
     r = random.Random(3)
@@ -155,7 +167,7 @@ def test_short_passages_go_whole(documents, prose):
             want[10 * n + k] = rows[-1][1] if k == 0 else f"{before}\n{after}"
     rows += [(100, "a b\n\nc d\nown"), (101, "x\na b\n\nc d\n"), (102, "a b\nc d"), (103, "r\nr\nr\nr\nr"), (104, None), (105, ""), (None, "x y\nown\nc d\nown")]
     want |= {100: rows[20][1], 101: "x\n", 102: "a b\nc d", 103: "r\nr", 104: None, 105: "", None: "x y\nown"}
-    out = lines.dedup_lines(documents(rows + rows[:1])).collect()
+    out = lines.dedup_lines(documents(rows + rows[:1]), least_words=1).collect()
     assert len(out) == len(rows) + 1
     assert {r["doc_id"]: r["text"] for r in out} == want
     n_lines = lambda t: len(t.split("\n")) if t is not None else 0
@@ -165,6 +177,14 @@ def test_short_passages_go_whole(documents, prose):
     assert lines.dedup_lines(documents([])).count() == 0
 
 
+def test_few_words_are_no_passage(documents):
+    """Two texts that share a pair of short lines keep it; a run of them that holds ten words goes."""
+    verse = "one two\nthree four\n\nfive six\nseven eight"
+    rows = [(1, "else\nreturn x\nown"), (2, "a\nelse\nreturn x\nb"), (3, f"{verse}\nnine ten\nx"), (4, f"y\n{verse}\nnine ten"), (5, f"z\n{verse}\nw")]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(rows)).collect()}
+    assert out == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "y", 5: rows[4][1]}
+
+
 def test_line_stage_cuts_short_passages(spark, documents, prose):
     rows = [(k, f"{prose(36, 10 + k)}\n{prose(24, 1)}\n{prose(36, 20 + k)}") for k in range(6)]
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, documents(rows), "").collect()}

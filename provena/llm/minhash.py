@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from provena.llm.bits import bit_filter, passes
 from provena.llm.common import as_bytes, materialise
-from provena.llm.shingles import BITS, shingle_set
+from provena.llm.sets import BITS, shingle_set, similar_links
 from provena.operators.graph import components
 from provena.sources.shared import drop
 
@@ -38,7 +38,7 @@ TABLES = 24
 WIDTH = 3
 #: After the first round only keys that more nodes than this share go through rounds, of which there are so many at most.
 DENSE = 32
-ROUNDS = 4
+ROUNDS = 3
 #: Shingles whose minima are taken at once.
 STEP = 512
 LONGS = T.ArrayType(T.LongType())
@@ -127,31 +127,6 @@ def _kept(keys: Column, bits: np.ndarray) -> Column:
     return run.asNondeterministic()(keys)
 
 
-def _let_through(hashed: Column, bits: np.ndarray) -> Column:
-    @F.arrow_udf(T.BooleanType())
-    def run(h: pa.Array) -> pa.Array:
-        return pa.array(passes(bits, h.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
-
-    return run(hashed)
-
-
-def _both_similar(a: Column, b: Column, shingle: int) -> Column:
-    """Whether two texts' full sets have a Jaccard similarity of 4/5 or more."""
-
-    @F.arrow_udf(T.BooleanType())
-    def run(left: pa.Array, right: pa.Array) -> pa.Array:
-        out, last = [], (None, None)
-        for x, y in zip(as_bytes(left), as_bytes(right), strict=True):
-            if last[0] != x:
-                last = (x, shingle_set(x, shingle))
-            one, other = last[1], shingle_set(y, shingle)
-            shared = len(one) + len(other) - len(np.union1d(one, other))
-            out.append(9 * shared >= 4 * (len(one) + len(other)))
-        return pa.array(out, pa.bool_())
-
-    return run.asNondeterministic()(a, b)
-
-
 class Verifier:
     """Verifies pairs (a, b) of nodes against the texts of rows(k, text), with figures from nodes(k, n, bitmap)."""
 
@@ -164,17 +139,8 @@ class Verifier:
         return pairs.join(of("a"), "a").join(of("b"), "b").where(PLAUSIBLE).select("a", "b")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar, as a written table. Only the texts of pairs are exchanged."""
-        pairs = materialise(pairs, "pairs")
-        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "wanted")
-        bits = bit_filter(wanted.select(F.xxhash64("k")))
-        texts = self.rows.where(_let_through(F.xxhash64("k"), bits)).join(wanted, "k", "left_semi")
-        texts = materialise(texts.select("k", "text"), "texts")
-        of = lambda x: texts.select(F.col("k").alias(x), F.col("text").alias(f"text_{x}"))
-        similar = pairs.join(of("b"), "b").join(of("a"), "a").where(_both_similar(F.col("text_a"), F.col("text_b"), self.shingle))
-        found = materialise(similar.select("a", "b"), "links")
-        drop(pairs, wanted, texts)
-        return found
+        """The pairs that are similar, as a written table."""
+        return similar_links(pairs, self.rows, self.shingle)
 
 
 APART = "aggregate(zip_with(map_a, map_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
@@ -204,12 +170,17 @@ def _rounds(halves: DataFrame, verifier: Verifier, dense: int, rounds: int) -> t
         offers = now.join(ends, "h").groupBy("k", partner.alias("with")).agg(F.count("*").alias("c"))
         one = offers.groupBy("k").agg(F.max(F.struct("c", F.xxhash64("with", F.lit(turn)).alias("x"), "with")).alias("p"))
         pairs = one.select(F.least("k", "p.with").alias("a"), F.greatest("k", "p.with").alias("b")).distinct()
-        found = verifier.links(verifier.plausible(pairs))
+        pairs = materialise(verifier.plausible(pairs), "round-pairs")
+        found = verifier.links(pairs)
+        n_pairs, n_found = pairs.count(), found.count()
         if labels is not None:
             drop(now)
-        drop(ends)
+        drop(ends, pairs)
         links = found if links is None else links.unionByName(found)
         labels = materialise(components(links), "labels")
+        # Another round pays where pairs were many and a fair part of them similar, but most nodes are not connected yet.
+        if 2 * n_found >= n_pairs or turn and 4 * n_found < n_pairs:
+            break
     return links, labels
 
 

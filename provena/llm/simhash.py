@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from provena.llm.common import as_bytes, materialise, partitions
 from provena.operators.graph import components
+from provena.sources.shared import drop, release, tables_of
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -126,13 +127,16 @@ def classes(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, d
     """(fp, label, component_id) of the distinct fingerprints of prints(doc_id, fp long): component_id is the smallest doc_id
     reachable over links, label the component's least fingerprint, which is never null."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = near_links(nodes, max_bits, blocks, dense)
-    labels = components(links)
-    grouped = nodes.join(labels, nodes.fp == labels.id, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    with tables_of(prints.sparkSession) as made:
+        labels = components(near_links(nodes, max_bits, blocks, dense))
+        joined = nodes.join(labels, nodes.fp == labels.id, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # Both written first: a join of tables is one that AQE may split where a component is large, a join with an aggregation is not.
-    grouped = materialise(grouped, "nodes")
+    grouped = materialise(joined, "nodes")
+    release(prints.sparkSession, made)
     class_ids = materialise(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "components")
-    return materialise(grouped.join(class_ids, "label").select("fp", "label", "component_id"), "classes")
+    found = materialise(grouped.join(class_ids, "label").select("fp", "label", "component_id"), "classes")
+    drop(grouped, class_ids)
+    return found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS, dense: int = DENSE) -> DataFrame:

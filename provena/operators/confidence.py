@@ -112,8 +112,8 @@ def resolve(evidence: DataFrame, now: Column, stale_days: int = 365) -> DataFram
     )
 
 
-def label_facts(evidence: DataFrame, now: Column, stale_days: int = 365) -> DataFrame:
-    """(company_id, field_name, fact_id, label, supporting) of every fact: its own confidence, and whether it carries the shown value."""
+def label_facts(evidence: DataFrame, now: Column, stale_days: int = 365, *keep: str) -> DataFrame:
+    """(company_id, field_name, fact_id, label, supporting) of every fact, and columns to keep: its own confidence, and whether it carries the shown value."""
     claims = _claims(evidence)
     # Written first: a join of facts with a table is one that AQE may split where a field has many facts.
     c = materialise(_resolved(claims, now, stale_days).select(F.col("company_id").alias("c"), F.col("field_name").alias("f"), "kind", "first", "fixed", "old"), "resolved")
@@ -127,4 +127,4 @@ def label_facts(evidence: DataFrame, now: Column, stale_days: int = 365) -> Data
         .when((F.col("kind") == "multi-source") & chosen, "multi-source").otherwise(F.col("base_confidence"))
     )
     supporting = F.when(F.col("fixed").isNotNull(), correction & top).when(F.col("kind") == "old", ~correction & own_cluster).otherwise(~correction & fresh & chosen)
-    return e.select("company_id", "field_name", "fact_id", label.alias("label"), F.coalesce(supporting, F.lit(False)).alias("supporting"))
+    return e.select("company_id", "field_name", "fact_id", label.alias("label"), F.coalesce(supporting, F.lit(False)).alias("supporting"), *keep)

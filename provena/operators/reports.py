@@ -119,3 +119,69 @@ def quality(
     average = counts.agg(F.bround(of("completeness") / of("companies")).cast("long").alias("n")).select(F.lit("completeness").alias("section"), F.lit("average").alias("key"), "n").where("n is not null")
     top = counts.where("section = 'warning'").orderBy(F.desc("n"), "key").limit(warnings)
     return counts.where("section not in ('completeness', 'warning')").unionByName(average).unionByName(top)
+
+
+def _lines(df: DataFrame, section: str, place: Column, key: Column, value: Column, note: Column) -> DataFrame:
+    text = [c.cast("string").alias(n) for n, c in zip(LINE[3:], (key, value, note), strict=True)]
+    return df.select("company_id", F.lit(section).alias("section"), place.cast("long").alias("place"), *text)
+
+
+def company_pages(
+    companies: DataFrame, evidence: DataFrame, now: Column, fields: list[str], financials: DataFrame, shareholders: DataFrame, candidates: DataFrame, audits: DataFrame, stale_days: int = 365
+) -> DataFrame:
+    """(company_id, section, place, key, value, note): the page of every company as lines, which a reader sorts by section and place.
+
+    `field`: every one of `fields`, with its value, and its state, number of supporting facts and their sources. `fact`: every fact with its value and label, newest
+    first. `timeline`: facts, corrections and audit events, newest first. `financial`: current statements, newest year first. `shareholder`: the largest first, those without a
+    share last. `duplicate`: candidates by falling score. `warning`: what a reader should know. A company without evidence has unknown fields.
+
+    companies: company_id, employee_min, employee_max, verified_on, registry_id. evidence as confidence.label_facts. financials: company_id, fiscal_year, scope, revenue.
+    shareholders: company_id, name, percent. candidates: a, b, score, status. audits: company_id, action, at. A company may have any share of the facts: nothing of
+    a company is gathered, but the sources and figures of its fields.
+    """
+    evidence = materialise(evidence, "evidence")
+    resolved = materialise(confidence.resolve(evidence, now, stale_days), "resolved")
+    labels = materialise(confidence.label_facts(evidence, now, stale_days, "source_id", "value", "observed_at", "is_correction"), "labels")
+    support = labels.where("supporting").groupBy("company_id", "field_name").agg(F.count("*").alias("n_support"), F.array_join(F.sort_array(F.collect_set("source_id")), ",").alias("sources"))
+    asked = companies.select("company_id", F.posexplode(F.array(*map(F.lit, fields))).alias("at", "field_name"))
+    keys = ["company_id", "field_name"]
+    view = materialise(asked.join(resolved, keys, "left").join(support, keys, "left").withColumn("status", F.coalesce("status", F.lit(UNKNOWN))), "fields")
+    state = F.concat_ws("|", "status", F.coalesce("n_support", F.lit(0)).cast("string"), F.coalesce("sources", F.lit("")))
+    newest = -F.unix_micros("observed_at")
+    mine = labels.join(companies.select("company_id"), "company_id", "left_semi")
+    event = F.when(F.col("is_correction"), "correction").otherwise("fact")
+    seen = audits.join(companies.select("company_id"), "company_id", "left_semi")
+    both = candidates.select(F.col("a").alias("company_id"), F.col("b").alias("other"), "score", "status").unionByName(candidates.select(F.col("b").alias("company_id"), F.col("a").alias("other"), "score", "status"))
+    both = materialise(both.join(companies.select("company_id"), "company_id", "left_semi"), "candidates")
+    open_ones = both.where("status = 'open'").groupBy("company_id").agg(F.count("*").alias("n_open"))
+
+    kind, fresh = m.qualification(F.col("employee_min"), F.col("employee_max")), m.freshness(F.col("verified_on").cast("timestamp"), now, stale=stale_days)
+    told = companies.join(open_ones, "company_id", "left").select(
+        "company_id",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when(kind.isin("sub_scale", "unknown_headcount", "borderline"), F.struct(F.lit("headcount").alias("key"), kind.alias("value"))),
+                    F.when(fresh == "stale", F.struct(F.lit("freshness").alias("key"), fresh.alias("value"))),
+                    F.when(F.col("registry_id").isNull(), F.struct(F.lit("registry_id").alias("key"), F.lit("missing").alias("value"))),
+                    F.when(F.col("n_open") > 0, F.struct(F.lit("duplicates").alias("key"), F.concat(F.col("n_open").cast("string"), F.lit(" open")).alias("value"))),
+                )
+            )
+        ).alias("w"),
+    )
+    doubtful = view.where(F.col("status").isin("conflicting", "old"))
+    nothing = F.lit(None)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _lines(view, "field", F.col("at"), F.col("field_name"), F.col("value"), state),
+            _lines(mine, "fact", newest, F.col("fact_id"), F.col("value"), F.concat_ws("|", "field_name", "label")),
+            _lines(mine, "timeline", newest, event, F.col("field_name"), F.col("source_id")),
+            _lines(seen, "timeline", -F.unix_micros("at"), F.lit("audit"), F.col("action"), nothing),
+            _lines(financials, "financial", -F.col("fiscal_year"), F.col("fiscal_year"), F.col("revenue"), F.col("scope")),
+            _lines(shareholders, "shareholder", F.coalesce(-F.round(F.col("percent") * 10_000), F.lit(1)), F.col("name"), F.col("percent"), nothing),
+            _lines(both, "duplicate", -F.col("score"), F.col("other"), F.col("score"), F.col("status")),
+            _lines(doubtful, "warning", F.lit(0), F.col("field_name"), F.col("status"), F.when(F.col("status") == "conflicting", F.col("n_clusters"))),
+            _lines(told, "warning", F.lit(1), F.col("w.key"), F.col("w.value"), nothing),
+        ],
+    )

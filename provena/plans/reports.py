@@ -9,6 +9,9 @@ from provena.operators import register, reports
 from provena.plans.adapters import COMPANIES, FACTS, companies, facts, statements, table
 from provena.plans.imports import FIELDS as MONEY
 from provena.plans.screening import FUNNEL, items
+from provena.plans.sourcing import EVIDENCE, worded
+from provena.plans.sourcing import FIELDS as WORDED
+from provena.plans.sourcing import NOW as THEN
 
 NOW = "2025-06-30"
 QUERIES: dict = {}
@@ -109,3 +112,48 @@ def v30(spark: SparkSession, d: str) -> DataFrame:
 )
 def a15_settled(spark: SparkSession, d: str) -> DataFrame:
     return reports.conflicts(_facts(spark, d), companies(spark, d))
+
+
+PAGES = f"""with {EVIDENCE}, {COMPANIES}, c as (select *, case when company_id % 9 <> 0 then 'EE:' || company_id end as registry_id from companies
+), labels as (select e.company_id, e.field_name, e.fact_id, e.value, e.ts, e.fix, e.source,
+    case when e.fix then case when e.fact_id = f.fact_id then 'manually-corrected' else 'old' end when not e.fresh then 'old' when kind = 'conflicting' then 'conflicting'
+      when kind = 'multi-source' and e.v = k.v then 'multi-source' when e.trust = 0 then 'verified' else 'estimated' end as label,
+    coalesce(case when f.fact_id is not null then e.fact_id = f.fact_id when kind = 'old' then not e.fix and e.fact_id = o.fact_id else not e.fix and e.fresh and e.v = k.v end, false) as supporting
+  from e join kinds k using (company_id, field_name) left join fixes f using (company_id, field_name) left join olds o using (company_id, field_name) where company_id in (select company_id from c)
+), support as (select company_id, field_name, count(*) as n, string_agg(distinct source, ',' order by source) as sources from labels where supporting group by all
+), resolved as (select k.company_id, k.field_name, case when f.fact_id is not null then 'manually-corrected' when kind = 'single' then base else kind end as status,
+    case when f.fact_id is not null then f.value when n_clusters > 0 then k.value else o.value end as value, n_clusters
+  from kinds k left join fixes f using (company_id, field_name) left join olds o using (company_id, field_name)
+), view as (select c.company_id, x.pos, x.field_name, coalesce(r.status, 'unknown') as status, r.value, r.n_clusters, coalesce(s.n, 0) as n, coalesce(s.sources, '') as sources
+  from c, (select unnest(range({len(WORDED)})) as pos, unnest({WORDED}) as field_name) x left join resolved r on r.company_id = c.company_id and r.field_name = x.field_name left join support s on s.company_id = c.company_id and s.field_name = x.field_name
+), cand as (select c_custkey as a, c_custkey + 1 as b, c_custkey % 60 + 40 as score, case when c_custkey % 3 = 0 then 'open' else 'dismissed' end as status from customer where c_custkey % 11 = 0
+), dup as (select x.* from (select a as company_id, b as other, score, status from cand union all select b, a, score, status from cand) x where company_id in (select company_id from c)
+), n_open as (select company_id, count(*) as n from dup where status = 'open' group by all
+), yearly as (select o_custkey as company_id, year(o_orderdate) as y, sum(o_totalprice::decimal(20,2))::decimal(20,2) as revenue from orders group by all
+), holders as (select o_custkey as company_id, o_orderpriority as name, case when o_orderpriority <> '5-LOW' then count(*) * 0.5 end as percent from orders group by o_custkey, o_orderpriority
+), lines(company_id, section, place, key, value, note) as (select company_id, 'field', pos, field_name, value, status || '|' || n || '|' || sources from view
+  union all select company_id, 'fact', -epoch_us(ts), fact_id::varchar, value, field_name || '|' || label from labels
+  union all select company_id, 'timeline', -epoch_us(ts), case when fix then 'correction' else 'fact' end, field_name, source from labels
+  union all select o_custkey, 'timeline', -epoch_us(o_orderdate), 'audit', o_orderpriority, null from orders where o_orderkey % 5 = 0
+  union all select company_id, 'financial', -y, y::varchar, revenue::varchar, 'standalone' from yearly
+  union all select company_id, 'shareholder', coalesce(-round(percent * 10000), 1), name, percent::decimal(10,1)::varchar, null from holders
+  union all select company_id, 'duplicate', -score, other::varchar, score::varchar, status from dup
+  union all select company_id, 'warning', 0, field_name, status, case when status = 'conflicting' then n_clusters::varchar end from view where status in ('conflicting', 'old')
+  union all select company_id, 'warning', 1, 'headcount', case when employee_min is null then 'unknown_headcount' when employee_max <= 2 then 'sub_scale' else 'borderline' end, null from c
+    where employee_min is null or employee_min < 20 and (employee_max is null or employee_max >= 20 or employee_max <= 2)
+  union all select company_id, 'warning', 1, 'freshness', 'stale', null from c where timestamp '{THEN}' - verified_on::timestamp > interval 365 day
+  union all select company_id, 'warning', 1, 'registry_id', 'missing', null from c where registry_id is null union all select company_id, 'warning', 1, 'duplicates', n || ' open', null from n_open)"""
+
+
+@query("V31_company_pages", f"{PAGES} select company_id, section, place::bigint as place, key, value, note from lines")
+def v31(spark: SparkSession, d: str) -> DataFrame:
+    k, o = F.col("company_id"), table(spark, d, "orders")
+    c = companies(spark, d).withColumn("registry_id", F.when(k % 9 != 0, F.concat(F.lit("EE:"), k.cast("string"))))
+    own = F.col("o_custkey").alias("company_id")
+    yearly = o.groupBy(own, F.year("o_orderdate").alias("fiscal_year")).agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("decimal(20,2)").alias("revenue")).withColumn("scope", F.lit("standalone"))
+    half = (F.count("*") * 0.5).cast("decimal(10,1)")
+    holders = o.groupBy(own, F.col("o_orderpriority").alias("name")).agg(half.alias("half")).select("company_id", "name", F.when(F.col("name") != "5-LOW", F.col("half")).alias("percent"))
+    audits = o.where("o_orderkey % 5 = 0").select(own, F.col("o_orderpriority").alias("action"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    n = F.col("c_custkey")
+    pairs = table(spark, d, "customer").where(n % 11 == 0).select(n.alias("a"), (n + 1).alias("b"), (n % 60 + 40).alias("score"), F.when(n % 3 == 0, "open").otherwise("dismissed").alias("status"))
+    return reports.company_pages(c, worded(spark, d), F.lit(THEN).cast("timestamp"), WORDED, yearly, holders, pairs, audits)

@@ -265,3 +265,12 @@ def discover_links(pages: DataFrame, html: str = "html") -> DataFrame:
         kind = kind.when(F.col("url").rlike(pattern), name)
     year = F.nullif(F.regexp_extract("url", r"/4\.([0-9]{4})_", 1), F.lit("")).cast("int")
     return links.select("url", kind.alias("kind"), year.alias("year")).where("kind is not null").distinct()
+
+
+def indicator_years(wanted: list | None, offered: list[int]) -> list[int]:
+    """The years asked for, in order and once each; all that are offered if none is asked for, an error for others."""
+    years = sorted({int(y) for y in wanted or offered})
+    unknown = [y for y in years if y not in offered]
+    if unknown:
+        raise ValueError(f"no indicators of {', '.join(map(str, unknown))}; offered are {min(offered)} to {max(offered)}")
+    return years

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.operators import ledger, versions
+from provena.operators import ledger, versions, website
 from provena.sources.shared import materialise
 from provena.sources.versioned import Change, Store, Version
 
@@ -24,6 +24,7 @@ TABLES = {
     "financials": (["registry_code", "fiscal_year", "scope"], ["report_id", "revenue", "operating_profit", "employees_fte"]),
     "shareholders": (["registry_code"], ["n", "set_hash"]),
 }
+FACT_KEYS = ["company_id", "source_id", "field_name"]
 INPUTS = ["companies", "addresses", "reports", "holders"]
 
 
@@ -120,3 +121,15 @@ def view_rows(store: Store, view: str, by: list[str], version: Version | None =
     rows = store.read(view, version)
     rest = [c for c in rows.columns if c not in (*by, "_made")]
     return rows.groupBy(*by).agg(F.max_by(F.struct(*rest), "_made").alias("r")).select(*by, "r.*")
+
+
+def domain_batch(general: DataFrame, companies: DataFrame, source: str) -> ledger.Batch:
+    """The batch of facts that a register's contact entries make: one `registry_domains` fact a company, its active web and mail domains in their order.
+
+    general(row, registry_code, entries array of (kind, value, ends), observed_at), companies(company_id, registry_code). Entries of unknown companies are
+    rejected; those without a domain of their own make no fact.
+    """
+    found = general.select("row", "registry_code", "observed_at", F.array_join(website.contact_domains(F.col("entries")), ",").alias("value")).where("value <> ''")
+    rows = found.join(companies.select("company_id", "registry_code"), "registry_code", "left")
+    rows = rows.withColumn("errors", _problems(unknown_company=F.col("company_id").isNull())).withColumns({"source_id": F.lit(source), "field_name": F.lit("registry_domains")})
+    return ledger.Batch(rows.select("company_id", "source_id", "field_name", "value", "row", "observed_at", "errors"), FACT_KEYS, ["value"], errors="errors", by=["company_id"])

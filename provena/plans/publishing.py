@@ -131,3 +131,30 @@ def v14_by_change(spark: SparkSession, d: str) -> DataFrame:
         ledger.load(store, f"load {n}", {"facts": ledger.Batch(rows, keys, ["value"], by=["company_id"])})
         importing.maintain(store, str(n), "summaries", "facts", ["company_id"], summary)
     return importing.view_rows(store, "summaries", ["company_id"])
+
+
+DOMAINS = """x as (select c_custkey as k, case when c_custkey % 2 = 0 then 'shop' || c_custkey % 5 || '.ee' end as www, 'f' || c_custkey || '.ee' as mail,
+    case when c_custkey % 2 = 0 then 'shop' || (c_custkey % 5 + case when c_custkey % 3 = 0 then 1 else 0 end) || '.ee' end as www2, case when c_custkey % 7 <> 0 then 'f' || c_custkey || '.ee' end as mail2 from customer
+), v as (select k, concat_ws(',', mail, www) as a, concat_ws(',', mail2, www2) as b from x)"""
+
+
+@query(
+    "V34_domains_as_facts",
+    f"""with {DOMAINS} select 'load 1' as run, case when k % 10 = 0 then 'rejected' else 'new' end as outcome, count(*) as n from v group by all
+  union all select 'load 2', case when k % 10 = 0 then 'rejected' when a = b then 'unchanged' else 'changed' end, count(*) from v where b <> '' group by all
+  union all select 'open', case when b <> '' then b else a end, count(*) from v where k % 10 <> 0 group by all having count(*) > 1""",
+)
+def v34(spark: SparkSession, d: str) -> DataFrame:
+    """Contact entries of the register through the ledger in two loads, and the open values that several companies share."""
+    store, c, k = Store(spark, new_path(spark, "domains")), table(spark, d, "customer"), F.col("c_custkey")
+    known = c.where(k % 10 != 0).select(k.alias("company_id"), k.cast("string").alias("registry_code"))
+    entry = lambda kind, value, ends: F.struct(F.lit(kind).alias("kind"), value.alias("value"), ends.alias("ends"))
+    for n in (1, 2):
+        shop = F.concat(F.lit("http://www.shop"), (k % 5 + F.when(F.lit(n == 2) & (k % 3 == 0), 1).otherwise(0)).cast("string"), F.lit(".ee/"))
+        gone = F.when(F.lit(n == 2) & (k % 7 == 0), "2025-01-01")
+        entries = F.array(entry("EMAIL", F.concat(F.lit("Info@f"), k.cast("string"), F.lit(".ee")), gone), entry("WWW", F.when(k % 2 == 1, "gmail.com").otherwise(shop), F.lit(None).cast("string")))
+        general = c.select(k.alias("row"), k.cast("string").alias("registry_code"), entries.alias("entries"), F.lit(f"2025-0{n}-01").cast("timestamp").alias("observed_at"))
+        ledger.load(store, f"load {n}", {"facts": importing.domain_batch(general, known, "register")})
+    outcomes = importing.outcome_counts(store).select("run", "outcome", "n")
+    now = ledger.current(store, "facts", importing.FACT_KEYS, ["value"]).groupBy(F.lit("open").alias("run"), F.col("value").alias("outcome")).agg(F.count("*").alias("n")).where("n > 1")
+    return outcomes.unionByName(now)

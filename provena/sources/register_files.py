@@ -11,6 +11,7 @@ import csv
 import hashlib
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -73,48 +74,66 @@ class Pieces:
             self.out = None
 
 
-def csv_records(lines: Iterator[str]) -> Iterator[str]:
-    """Records of a CSV file; a record may hold line breaks within quotes."""
-    held = ""
+#: Characters that one record or element may have; a longer one is a damaged file, such as one with a stray quote.
+LONGEST = 1 << 26
+MARKS = re.compile(r'\\.|["\[\]{},]', re.S)
+
+
+def csv_records(lines: Iterator[str], longest: int = LONGEST) -> Iterator[str]:
+    """Records of a CSV file; a record may hold line breaks within quotes. Only whether quotes are open is carried from line to line."""
+    held, size, is_open = [], 0, False
     for line in lines:
-        held += line
-        if held.count('"') % 2 == 0:
-            yield held if held.endswith("\n") else held + "\n"
-            held = ""
+        held.append(line)
+        size += len(line)
+        is_open ^= line.count('"') % 2 == 1
+        if not is_open:
+            record = "".join(held)
+            yield record if record.endswith("\n") else record + "\n"
+            held, size = [], 0
+        elif size > longest:
+            raise ValueError(f"a CSV record of over {longest} characters: quotes are not closed")
     if held:
         raise ValueError("the CSV ends within quotes")
 
 
-def json_elements(text: io.TextIOBase, size: int = 1 << 20) -> Iterator[object]:
-    """Elements of a top-level JSON array, one at a time; an error if it is none or ends early."""
-    decoder, held, started, ended = json.JSONDecoder(), "", False, False
-    while True:
-        part = text.read(size)
-        held += part
-        while True:
-            held = held.lstrip(" \t\r\n," if started else " \t\r\n")
-            if not held:
-                break
-            if not started:
-                if held[0] != "[":
+def json_elements(text: io.TextIOBase, size: int = 1 << 20, longest: int = LONGEST) -> Iterator[object]:
+    """Elements of a top-level JSON array, one at a time; an error if it is none, ends early or has an element that is none.
+
+    Every character is looked at once, for where an element ends; the element is decoded then.
+    """
+    held, length, depth, quoted = [], 0, 0, False
+    while part := text.read(size):
+        while part.endswith("\\") and (more := text.read(1)):  # an escape is not cut in two
+            part += more
+        begin = 0
+        for mark in MARKS.finditer(part):
+            c = mark.group()
+            if quoted or c == '"':
+                quoted ^= c == '"'
+            elif c in "[{":
+                if depth == 0:
+                    if c == "{" or "".join([*held, part[begin : mark.start()]]).strip():
+                        raise ValueError("not a JSON array")
+                    held, length, begin = [], 0, mark.end()
+                depth += 1
+            elif depth == 0:
+                raise ValueError("not a JSON array")
+            else:
+                depth -= c in "]}"
+                if depth == 0 and c == "}":
                     raise ValueError("not a JSON array")
-                started, held = True, held[1:]
-                continue
-            if held[0] == "]":
-                ended = True
-                break
-            try:
-                element, at = decoder.raw_decode(held)
-            except ValueError:
-                break
-            if at == len(held) and part:
-                break  # a number might go on in the next part
-            yield element
-            held = held[at:]
-        if ended:
-            return
-        if not part:
-            raise ValueError("the JSON array is empty or ends early")
+                if depth == 0 or c == "," and depth == 1:
+                    element = "".join([*held, part[begin : mark.start()]])
+                    held, length, begin = [], 0, mark.end()
+                    if element.strip():
+                        yield json.loads(element)
+                    if depth == 0:
+                        return
+        held.append(part[begin:])
+        length += len(held[-1])
+        if length > longest:
+            raise ValueError(f"a JSON element of over {longest} characters")
+    raise ValueError("the JSON array is empty or ends early")
 
 
 def stage_zip(path: str, folder: str, kind: str) -> list[list]:

@@ -72,6 +72,25 @@ def test_extracts(spark, tmp_path):
         extracts.read_extract(spark, str(path), {}, [])
 
 
+def test_records_and_elements_are_bounded():
+    """Quotes and brackets are carried over parts of any size; what is not closed is an error, not the rest of the file."""
+    rows = ['a;"b\n', 'c";d\n', '"x ""y"" z";1\n', "last"]
+    assert list(register_files.csv_records(iter(rows))) == [rows[0] + rows[1], rows[2], "last\n"]
+    with pytest.raises(ValueError, match="not closed"):
+        list(register_files.csv_records(iter(['a"b\n'] + ["c;d\n"] * 100), longest=40))
+    with pytest.raises(ValueError, match="within quotes"):
+        list(register_files.csv_records(iter(['a"b\n', "c\n"])))
+    deep = [{"a": ["]", "}", '\\"', {"b": [1, [2, {}]]}], "ü,": "[x,{"}, "a,b", -1.5e3, [], {}, None, True, "\\\\"]
+    text = json.dumps(deep, ensure_ascii=False)
+    for size in (1, 2, 3, 7, 1000):
+        assert list(register_files.json_elements(io.StringIO(f" \n{text} tail"), size)) == deep
+    for bad in ("", "[", "[1, 2", '{"a": 1}', "x [1]", "1, [2]", '["a', "[1, x]", "[1}x"):
+        with pytest.raises(ValueError):
+            list(register_files.json_elements(io.StringIO(bad), 2))
+    with pytest.raises(ValueError, match="of over"):
+        list(register_files.json_elements(io.StringIO('["' + "x" * 100), 4, longest=50))
+
+
 def test_snapshots(spark):
     at = F.lit("2025-01-02").cast("timestamp")
     signals = spark.createDataFrame([("1", '{"verdict":"watch"}'), ("9", "{}")], "registry_code string, signal string").withColumn("observed_at", at)

@@ -40,7 +40,7 @@ from provena.llm.common import new_path
 from provena.llm.tokens import pretoken_pattern, vocabulary_dir
 
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
-CACHE = 1 << 18
+CACHE = 1 << 17
 LONGEST = 64
 #: Bytes of text whose tokens are one matrix, entries of one product, and pairs of a group from which its rows are put together by id.
 SLICE = 1 << 17
@@ -207,20 +207,23 @@ class _Parts(dict):
 
 def _byte_level(file: bytes) -> _Side:
     import tiktoken
-    from tokenizers import Tokenizer
 
-    made = Tokenizer.from_str(file.decode())
-    made.encode_special_tokens = True
-    byte, vocabulary = _byte_of(), made.get_vocab(with_added_tokens=False)
+    model = json.loads(file)["model"]
+    byte, vocabulary, merges = _byte_of(), model["vocab"], model["merges"]
     spell = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         spell[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+    made = []
 
     def whole(text: str) -> list[int]:
-        return made.encode(text, add_special_tokens=False).ids
+        if not made:  # large, and few texts need it
+            from tokenizers import Tokenizer
+
+            made.append(Tokenizer.from_str(file.decode()))
+            made[0].encode_special_tokens = True
+        return made[0].encode(text, add_special_tokens=False).ids
 
     # Where ids follow the order of merges, they are ranks, and a plain text may be encoded by rank.
-    merges = json.loads(file)["model"]["merges"]
     if any(vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) != 256 + i for i, m in enumerate(merges)):
         return _Side(spell, whole)
     ranks = {s: i for i, s in enumerate(spell) if i < 256 + len(merges)}

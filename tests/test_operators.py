@@ -72,7 +72,7 @@ def test_funnel_of_fourteen_companies(spark):
     assert [r["company_id"] for r in others.collect()] == [10]
     assert funnel.header_counts(items).first()["advisor_review"] == 10
     text = {r["company_id"]: r["review_reasons"] for r in funnel.brief(items, 5_000_000, 50_000_000).collect()}
-    assert text[8][0] == "Revenue €10.0m in FY2024, inside the provisional €5.0m–€50.0m band" and any("Also filed consolidated" in x for x in text[9])
+    assert text[8][0] == "Sales of €10.0m in 2024, within the band of €5.0m to €50.0m" and any("Parent of a group in 2024, with sales of €50.0m" in x for x in text[9])
 
 
 def test_histories(spark):

@@ -15,7 +15,7 @@ through wrongly costs time and is dropped by the joins. Nothing else of the benc
 
 Defined results: a null or empty text has no words and is clean; an item without words has no
 window; rows of an item id are one item; a null item id marks hits but is not counted as an item;
-repeated rows of documents are judged one by one; a text may have any length; other columns pass through under any name,
+an empty table of documents gives no rows, one of items contaminates nothing; repeated rows of documents are judged one by one; a text may have any length; other columns pass through under any name,
 but `judged` replaces columns named like those that it adds.
 """
 

@@ -6,7 +6,7 @@ rule, the cost and the rejection rate of each rule are measured, and rules run b
 The verdict is the conjunction of all rules, so the order changes the cost and never the result.
 
 Defined results: a null or empty text has no words and fails the base rule; texts are read whole;
-rows are judged one by one, so repeated rows, null ids and further columns do not matter.
+rows are judged one by one, so repeated rows, ties, null ids and further columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations

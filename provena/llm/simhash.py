@@ -13,7 +13,7 @@ least of them: no link is lost and rows grow with the number of fingerprints, no
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; a text of
 fewer words than a shingle is one shingle; repeated rows share a component; null ids take part in
-links but are never a component's id unless it has no other.
+links but are never a component's id unless it has no other; of equal fingerprints the smallest id counts; an empty table gives no rows; further columns do not matter.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ counted by their 128-bit content hash in an aggregation, which splits and pre-ag
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows that repeat id and
 text are occurrences of each other; matches never cross documents; the remaining bytes need not be
-valid UTF-8 and are given as bytes; further columns do not matter.
+valid UTF-8 and are given as bytes; an empty table gives no rows; further columns do not matter.
 """
 
 from __future__ import annotations

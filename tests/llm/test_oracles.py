@@ -46,4 +46,4 @@ def test_quotes_in_sql(spark):
 
 
 def test_every_operator_has_one_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]

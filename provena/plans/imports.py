@@ -67,7 +67,7 @@ def d06(spark: SparkSession, d: str) -> DataFrame:
 @query("D07_latest_date")
 def d07(spark: SparkSession, d: str) -> DataFrame:
     found = h.dates(F.col("html"), h.visible_text(F.col("html")), F.lit(TODAY).cast("date"))
-    return table(spark, d, "pages").select("page_id", F.size(found).alias("n_dates"), h.latest_date(found)["day"].alias("latest"))
+    return table(spark, d, "pages").select("page_id", h.date_summary(found).alias("s")).select("page_id", "s.n_dates", "s.latest")
 
 
 @query("D09_section_links")

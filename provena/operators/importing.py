@@ -64,6 +64,11 @@ Plan = Callable[[dict[str, DataFrame]], dict[str, ledger.Batch]]
 
 def import_run(store: Store, run: str, inputs: dict[str, DataFrame], plan: Plan, details: dict | None = None) -> Version:
     """Keep the run's input and merge what plan(inputs) makes of it, all in one version; a run that is committed is not applied again."""
+    last = store.latest()
+    if run in last.runs:
+        return store.kept(last.runs[run]) or last
+    # Read by the plan and by the store.
+    inputs = {name: materialise(df, f"input-{name}") for name, df in inputs.items()}
     kept = {f"input_{name}": Change(df.withColumn("run", F.lit(run)), ["run"]) for name, df in inputs.items()}
     return ledger.load(store, run, plan(inputs), details, kept)
 

@@ -11,7 +11,7 @@ Outcomes of a batch's rows: `rejected` (they carry errors), `duplicate` (an earl
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +59,9 @@ def newest(log: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 
 def merged(stored: DataFrame, batch: Batch) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, delta): row and outcome of each row of the batch, and the log rows to append; stored is the log of the buckets touched."""
+    """(outcomes, delta): row and outcome of each row of the batch, whose rows are a written table, and the log rows to append; stored is the log of the buckets touched."""
     bad = F.size(batch.errors) > 0 if batch.errors else F.lit(False)
-    rows = materialise(batch.rows.withColumn("_bad", F.coalesce(bad, F.lit(False))), "batch")
+    rows = batch.rows.withColumn("_bad", F.coalesce(bad, F.lit(False)))
     entry = F.min(F.struct(F.col(batch.row).alias("_row"), F.col(batch.at).alias("_at"), *batch.values))
     # Reduced before anything is joined: a key with most of the batch's rows is one row here.
     first = rows.where("not _bad").groupBy(*batch.keys).agg(entry.alias("_n")).alias("b")
@@ -89,6 +89,8 @@ def changes_of(store: Store, base: Version, run: str, batches: dict[str, Batch])
     """What merging the batches appends to a version's tables, and counts by table and outcome."""
     changes, counts, told = {}, {}, None
     for name, batch in batches.items():
+        # Written before its buckets are asked for: rows that a plan makes are made once.
+        batch = replace(batch, rows=materialise(batch.rows, "batch"))
         if name in base.tables:
             stored = store.read(name, base, touched(batch.rows, batch.layout, batch.buckets))
         else:

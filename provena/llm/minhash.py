@@ -3,14 +3,16 @@
 A document's set is that of the XXH64 hashes (seed 42) of its word shingles, lower-cased. Each of the two collections has TABLES
 keys of WIDTH minima. The key of table (i, j) is the i-th key of the first and the j-th of the second, so 2 * 24 * 3 = 144 minima stand
 for 576 tables of 6. Two sets of similarity s agree somewhere in a collection with probability 1 - (1 - s^3)^24: a pair at 0.8 is missed with
-a probability of about 7 in 100 million, a closer pair with less. A pair shares a table if and only if it agrees in both collections, so documents
-without a shared key on both sides make no table keys at all; a bit filter of bounded size tells.
+a probability of about 7 in 100 million, a closer pair with less. A pair shares a table if and only if it agrees in both collections, so no
+table keys are made: rows meet by the keys of the first collection and carry those of the second, and documents without a shared key on both sides
+are left out; a bit filter of bounded size tells.
 
 Equal sets are one node throughout. Candidates are verified on the full sets (9 * shared >= 4 * (n_a + n_b), that is a Jaccard similarity of 4/5
 or more). First, in rounds, each node meets one node of another component with which it shares a key of a collection: that connects most of a
-large group of near copies, with 48 keys a node instead of 576. Then the nodes whose keys on both sides are shared with other components
-make their table keys, and every pair of a table whose nodes are not connected yet, and whose sizes and parity bitmaps allow the similarity, is
-verified. So no candidate is lost, and a large group of near copies is not paired with itself.
+large group of near copies, with 48 keys a node instead of 576. Rounds go on while keys of many nodes still hold several components and would
+make more pairs than there are keys. Then the nodes whose keys on both sides are shared with other components meet, and every pair that agrees
+in both collections, is not connected yet, and whose sizes and parity bitmaps allow the similarity, is made once and verified. So no candidate is
+lost, and a large group of near copies is not paired with itself.
 
 Defined results: a null text, an empty one or one without words has an empty set: linked with nothing, a component of its own. A
 text of fewer words than a shingle is one shingle. Repeated rows share a component; null ids take part in links, but are a component's
@@ -94,25 +96,6 @@ def sketch(text: Column, shingle: int = SHINGLE, tables: int = TABLES, width: in
     return run.asNondeterministic()(text.cast("string"))
 
 
-def _table_keys(u: Column, v: Column, bits: np.ndarray) -> Column:
-    """The keys of the tables (i, j) whose two halves the filter lets through."""
-
-    @F.arrow_udf(LONGS)
-    def run(us: pa.Array, vs: pa.Array) -> pa.Array:
-        sides = []
-        for side in (us, vs):
-            sizes = np.diff(side.offsets.to_numpy())
-            flat = side.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            kept, owner = passes(bits, flat), np.repeat(np.arange(len(sizes)), sizes)
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(owner[kept], minlength=len(sizes)))])
-            sides.append((flat[kept], bounds))
-        (a, bounds_a), (b, bounds_b) = sides
-        out = [_mixed(_mixed(a[i:j])[:, None] + b[k:m]).ravel().view(np.int64) for i, j, k, m in zip(bounds_a, bounds_a[1:], bounds_b, bounds_b[1:], strict=False)]
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return run.asNondeterministic()(u, v)
-
-
 def _kept(keys: Column, bits: np.ndarray) -> Column:
     """The keys of an array that the filter lets through."""
 
@@ -154,56 +137,68 @@ def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     return keys.join(labels.select(F.col("id").alias("k"), "label"), "k", "left").select(*keys.columns, F.coalesce("label", "k").alias("l"))
 
 
-def _rounds(halves: DataFrame, verifier: Verifier, dense: int, rounds: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, labels) after rounds over halves(h, k), the keys that nodes share: most of a crowd is connected by few pairs a node."""
-    links, labels = None, None
-    for turn in range(rounds):
+def _rounds(halves: DataFrame, verifier: Verifier, dense: int, rounds: int) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """(links, labels, open keys) after rounds over halves(h, k), the keys that nodes share: most of a crowd is connected by few pairs a node."""
+    links, labels, goes_on = None, None, True
+    for turn in range(rounds + 1):
         now = _labelled(halves, labels)
         now = now if labels is None else materialise(now, "labelled")
         member = F.struct("l", F.xxhash64("k", F.lit(turn)).alias("x"), "k")
         ends = now.groupBy("h").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("size")).where("low.l < high.l")
-        ends = materialise(ends if turn == 0 else ends.where(F.col("size") > dense), "open-keys")
-        if ends.isEmpty():
+        ends = materialise(ends, "open-keys")
+        if turn == rounds or not goes_on:
+            break
+        met = ends if turn == 0 else ends.where(F.col("size") > dense)
+        n_open, squares = met.agg(F.count("*"), F.sum(F.col("size").cast("double") * F.col("size") / 2)).first()
+        # Another round pays where the pairs of crowds that it may spare are more than the rows that it reads.
+        if not n_open or turn and squares <= halves.count():
             break
         partner = F.when(F.col("l") > F.col("low.l"), F.col("low.k")).otherwise(F.col("high.k"))
         # The node that most of a node's keys offer.
-        offers = now.join(ends, "h").groupBy("k", partner.alias("with")).agg(F.count("*").alias("c"))
+        offers = now.join(met, "h").groupBy("k", partner.alias("with")).agg(F.count("*").alias("c"))
         one = offers.groupBy("k").agg(F.max(F.struct("c", F.xxhash64("with", F.lit(turn)).alias("x"), "with")).alias("p"))
         pairs = one.select(F.least("k", "p.with").alias("a"), F.greatest("k", "p.with").alias("b")).distinct()
         pairs = materialise(verifier.plausible(pairs), "round-pairs")
         found = verifier.links(pairs)
-        n_pairs, n_found = pairs.count(), found.count()
+        # Nor does it pay where few pairs are similar.
+        goes_on = turn == 0 or 4 * found.count() >= pairs.count()
         if labels is not None:
             drop(now)
         drop(ends, pairs)
         links = found if links is None else links.unionByName(found)
         labels = materialise(components(links), "labels")
-        # Another round pays where pairs were many and a fair part of them similar, but most nodes are not connected yet.
-        if 2 * n_found >= n_pairs or turn and 4 * n_found < n_pairs:
-            break
-    return links, labels
+    if labels is not None:
+        drop(now)
+    return links, labels, ends.select("h")
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of rows(k, l, n, bitmap, u, v) of two components that agree in both collections, if sizes and bitmaps allow the similarity.
+
+    Rows meet by the first collection's keys and carry what they have of the second. A pair is made with the first key that both have, so none is made twice.
+    """
+    placed = rows.select("k", "l", "n", "bitmap", "v", "u", F.posexplode("u").alias("at", "h")).withColumn("earlier", F.slice("u", F.lit(1), F.col("at"))).drop("u", "at")
+    of = lambda x: placed.select("h", F.col("k").alias(x), *[F.col(c).alias(f"{name}_{x}") for c, name in (("l", "l"), ("n", "n"), ("bitmap", "map"), ("v", "v"), ("earlier", "earlier"))])
+    once = "arrays_overlap(v_a, v_b) and not arrays_overlap(earlier_a, earlier_b)"
+    return of("a").join(of("b"), "h").where(f"a < b and l_a <> l_b and {PLAUSIBLE} and {once}").select("a", "b")
 
 
 def _connected(nodes: DataFrame, verifier: Verifier, dense: int, rounds: int) -> DataFrame | None:
-    """(id, label) of the nodes(k, u, v) that similar pairs connect; None if there are none."""
+    """(id, label) of the nodes(k, n, u, v, bitmap) that similar pairs connect; None if there are none."""
     halves = nodes.select("k", F.explode(F.concat("u", "v")).alias("h"))
     shared = materialise(halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     passing = nodes.select("k", F.explode(_kept(F.concat("u", "v"), bit_filter(shared))).alias("h"))
     # The filter spares the exchange of keys of one node; the few that it lets through wrongly go by the join.
     held = materialise(passing.join(shared, "h"), "halves")
-    links, labels = _rounds(held, verifier, dense, rounds)
-
-    # What still holds several components on both sides makes table keys.
-    apart = _labelled(held, labels).groupBy("h").agg(F.min("l").alias("l"), F.max("l").alias("m")).where("l < m").select("h")
-    apart = materialise(apart, "open-keys")
-    tables = nodes.select("k", F.explode(_table_keys(F.col("u"), F.col("v"), bit_filter(apart))).alias("t"))
-    keyed = materialise(_labelled(tables, labels), "keyed")
-    full = materialise(keyed.groupBy("t").agg(F.min("l").alias("l"), F.max("l").alias("m")).where("l < m").select("t"), "tables")
-    carried = materialise(keyed.join(full, "t", "left_semi").join(verifier.nodes.select("k", "n", "bitmap"), "k"), "carried")
-    drop(shared, held, apart, keyed, full)
-    left, right = (carried.select("t", F.col("k").alias(x), F.col("l").alias(f"l_{x}"), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"map_{x}")) for x in "ab")
-    rest = materialise(left.join(right, "t").where(f"a < b and l_a <> l_b and {PLAUSIBLE}").select("a", "b").distinct(), "rest")
-    drop(carried)
+    links, labels, apart = _rounds(held, verifier, dense, rounds)
+
+    # Nodes with keys on both sides that several components still hold meet each other.
+    bits = bit_filter(apart)
+    kept = nodes.select("k", "n", "bitmap", _kept(F.col("u"), bits).alias("u"), _kept(F.col("v"), bits).alias("v")).where("size(u) > 0 and size(v) > 0")
+    rows = materialise(_labelled(kept, labels), "open-rows")
+    drop(shared, held, apart)
+    rest = materialise(_meetings(rows), "rest")
+    drop(rows)
     if rest.isEmpty():
         return labels
     more = verifier.links(rest)

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from provena.llm import minhash, queries
 
@@ -96,3 +97,31 @@ def test_keys_agree_where_sets_do():
     a, b = made.keys(np.sort(base[:850])), made.keys(np.sort(np.concatenate([base[:800], base[850:900]])))
     assert abs((a == b).mean() - (800 / 900) ** 3) < 0.06
     assert len(set(a.tolist())) == 800
+
+
+def test_pairs_are_made_once(spark, documents, vocabulary):
+    """Near copies agree in up to 576 tables, yet a pair is made by one row of the join, and only of nodes that agree in both collections."""
+    texts = documents(families(vocabulary, 5, 4, 12, (150, 200), (0.01, 0.015))).dropDuplicates(["text"])
+    nodes = minhash.materialise(texts.select(F.col("doc_id").alias("k"), F.col("doc_id").alias("l"), minhash.sketch(F.col("text")).alias("s")).select("k", "l", "s.*"), "nodes")
+    held = nodes.collect()
+
+    def meet(x, y):
+        apart = sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x["bitmap"], y["bitmap"], strict=True))
+        return set(x["u"]) & set(y["u"]) and set(x["v"]) & set(y["v"]) and 5 * min(x["n"], y["n"]) >= 4 * max(x["n"], y["n"]) and 9 * apart <= x["n"] + y["n"]
+
+    want = sorted((x["k"], y["k"]) for x in held for y in held if x["k"] < y["k"] and meet(x, y))
+    assert len(want) > 50
+    assert sorted(tuple(r) for r in minhash._meetings(nodes).collect()) == want
+
+
+def test_a_crowd_of_near_copies_is_not_paired_with_itself(spark, documents, vocabulary, monkeypatch):
+    """Most of a crowd is connected in rounds, so that what is left to pair is no more than a few pairs a row."""
+    rows, made = families(vocabulary, 9, 1, 300, (150, 150), (0.005, 0.01, 0.015)), {}
+
+    def counted(df, name, write=minhash.materialise):
+        made[name] = (out := write(df, name)).count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialise", counted)
+    assert found(minhash.near_duplicates(documents(rows), dense=4)) == expected(rows)
+    assert made["rest"] <= 3 * len(rows)

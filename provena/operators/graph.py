@@ -50,13 +50,13 @@ def canonical(pointers: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, root) for pointers(id long, to long or null): follow `to` until it ends; a cycle stops at its least id.
 
     Pointer jumping: every round doubles the length of the chains that are already followed. `low` is the
-    least id on the way; on a cycle it settles at the cycle's least id.
+    least id on the way; on a cycle it settles at the cycle's least id. Rounds join by merging: no table goes through the driver.
     """
     now = materialise(pointers.select("id", F.coalesce("to", "id").alias("root"), F.col("id").alias("low")), "pointers")
     last = None
     for _ in range(rounds):
         ahead = now.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("low").alias("then"))
-        now = now.join(ahead, "root", "left").select("id", F.coalesce("next", "root").alias("next"), "root", F.least("low", "then").alias("low"))
+        now = now.join(ahead.hint("merge"), "root", "left").select("id", F.coalesce("next", "root").alias("next"), "root", F.least("low", "then").alias("low"))
         now = materialise(now, "pointers")
         going = now.where("next <> root")
         state = tuple(going.agg(F.count("*"), F.sum(F.col("low").cast("decimal(38,0)"))).first())
@@ -65,4 +65,4 @@ def canonical(pointers: DataFrame, rounds: int = 64) -> DataFrame:
             break
         last = state
     ends = now.select(F.col("id").alias("root"), F.when(F.col("root") == F.col("id"), F.col("id")).otherwise(F.col("low")).alias("end"))
-    return now.join(ends, "root", "left").select("id", F.coalesce("end", "root").alias("root"))
+    return now.join(ends.hint("merge"), "root", "left").select("id", F.coalesce("end", "root").alias("root"))

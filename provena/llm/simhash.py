@@ -99,13 +99,14 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
     spread = nodes.select("fp").repartition(partitions(nodes.sparkSession))
     keys = spread.select("fp", pick).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"))
     shared = keys.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(keys.join(shared, ["choice", "bits"]), "buckets")
+    # Spark sizes rows after an explode as those before it and would broadcast them: what follows joins by merging, nothing goes through the driver.
+    members = materialise(keys.join(shared.hint("merge"), ["choice", "bits"]), "buckets")
 
     small = members.where(F.col("n") <= dense).drop("n")
     left, right = small.withColumnRenamed("fp", "a"), small.withColumnRenamed("fp", "b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     pairs = (
-        left.join(right, ["choice", "bits"])
+        left.join(right.hint("merge"), ["choice", "bits"])
         .where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits))
         .where(F.forall(gaps[F.col("choice")], lambda g: differ.bitwiseAND(g) != 0))
         .select("a", "b")
@@ -119,7 +120,7 @@ def near_links(nodes: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
     dealt = crowd.repartition(partitions(nodes.sparkSession))  # few rows by now, but each makes len(flips)
     around = dealt.select("fp", F.explode(_long_array(flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     met = around.groupBy("mid").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("mid", "b")
-    through = around.join(met, "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    through = around.join(met.hint("merge"), "mid").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.unionByName(through)
 
 
@@ -129,12 +130,12 @@ def classes(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, d
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     with tables_of(prints.sparkSession) as made:
         labels = components(near_links(nodes, max_bits, blocks, dense))
-        joined = nodes.join(labels, nodes.fp == labels.id, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+        joined = nodes.join(labels.hint("merge"), nodes.fp == labels.id, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # Both written first: a join of tables is one that AQE may split where a component is large, a join with an aggregation is not.
     grouped = materialise(joined, "nodes")
     release(prints.sparkSession, made)
     class_ids = materialise(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "components")
-    found = materialise(grouped.join(class_ids, "label").select("fp", "label", "component_id"), "classes")
+    found = materialise(grouped.join(class_ids.hint("merge"), "label").select("fp", "label", "component_id"), "classes")
     drop(grouped, class_ids)
     return found
 
@@ -142,7 +143,7 @@ def classes(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, d
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, blocks: int = BLOCKS, dense: int = DENSE) -> DataFrame:
     """(doc_id, fp long, label, component_id) of every row, as classes."""
     prints = materialise(docs.select(F.col(doc_id).alias("doc_id"), simhash(F.col(text)).alias("fp")), "prints")
-    return prints.join(classes(prints, max_bits, blocks, dense), "fp").select("doc_id", "fp", "label", "component_id")
+    return prints.join(classes(prints, max_bits, blocks, dense).hint("merge"), "fp").select("doc_id", "fp", "label", "component_id")
 
 
 def as_hex(fp: Column) -> Column:

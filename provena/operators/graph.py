@@ -21,7 +21,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label) for each end of an edge (a long, b long); label is the smallest id of the component.
 
     Each round links the neighbours of a node to their least one: only minima are gathered, and they are written before they
-    are joined, so that AQE may split the rows of a hub: a join with an aggregation is not split. Rounds stop when the edges no longer change.
+    are joined, so that AQE may split the rows of a hub: a join with an aggregation is not split. Joins are by merging: no table goes through the driver.
+    Rounds stop when the edges no longer change.
     """
     star = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = _state(star)
@@ -30,10 +31,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both, before = _both_ways(star), star
         least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = materialise(large.distinct(), "large")
         lower = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "lower")
-        small = large.join(lower, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        small = large.join(lower.hint("merge"), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         star = materialise(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "small")
         drop(before, least, large, lower)
         now = _state(star)

@@ -3,6 +3,7 @@ import random
 import xxhash
 
 from provena.llm import shingles, simhash
+from provena.operators import graph
 
 
 def slow_fingerprint(text):
@@ -99,3 +100,26 @@ def test_keep_one(documents, prose):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 3), (False, 7), (True, None)]
     assert kept.columns == documents(rows).columns
     assert shingles.keep_one(documents([])).count() == 0
+
+
+def final_plans(monkeypatch, *modules):
+    """Plans as they ran of what the modules write from now on."""
+    plans = []
+
+    def planned(df, name, write=simhash.materialise):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    for module in modules:
+        monkeypatch.setattr(module, "materialise", planned)
+    return plans
+
+
+def test_links_send_no_table_through_the_driver(spark, monkeypatch):
+    """However small the tables are, none that grows with the documents is broadcast: rows after an explode are sized too low."""
+    plans = final_plans(monkeypatch, simhash, graph)
+    prints = spark.createDataFrame([(i, (1 << i % 9) + (i // 9 << 40)) for i in range(40)], "doc_id long, fp long")
+    assert simhash.classes(prints, dense=3).count() == 40
+    assert not [p for p in plans if "Broadcast" in p]
+    assert sum("SortMergeJoin" in p for p in plans) > 5

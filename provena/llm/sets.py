@@ -65,9 +65,9 @@ def similar_links(pairs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     pairs = materialise(pairs, "pairs")
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "wanted")
     bits = bit_filter(wanted.select(F.xxhash64("k")))
-    texts = materialise(rows.where(_let_through(F.xxhash64("k"), bits)).join(wanted, "k", "left_semi").select("k", "text"), "texts")
+    texts = materialise(rows.where(_let_through(F.xxhash64("k"), bits)).join(wanted.hint("merge"), "k", "left_semi").select("k", "text"), "texts")
     of = lambda x: texts.select(F.col("k").alias(x), F.col("text").alias(f"text_{x}"))
-    similar = pairs.join(of("b"), "b").join(of("a"), "a").where(_both_similar(F.col("text_a"), F.col("text_b"), shingle))
+    similar = pairs.join(of("b").hint("merge"), "b").join(of("a").hint("merge"), "a").where(_both_similar(F.col("text_a"), F.col("text_b"), shingle))
     found = materialise(similar.select("a", "b"), "links")
     drop(pairs, wanted, texts)
     return found

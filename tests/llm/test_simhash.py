@@ -2,7 +2,7 @@ import random
 
 import xxhash
 
-from provena.llm import shingles, simhash
+from provena.llm import sets, shingles, simhash
 from provena.operators import graph
 
 
@@ -123,3 +123,11 @@ def test_links_send_no_table_through_the_driver(spark, monkeypatch):
     assert simhash.classes(prints, dense=3).count() == 40
     assert not [p for p in plans if "Broadcast" in p]
     assert sum("SortMergeJoin" in p for p in plans) > 5
+
+
+def test_keep_one_sends_no_table_through_the_driver(documents, prose, monkeypatch):
+    plans = final_plans(monkeypatch, simhash, graph, sets, shingles)
+    rows = list(enumerate(near(prose, 6, 3) + [prose(100, 10)]))
+    assert shingles.keep_one(documents(rows)).count() == 2
+    assert not [p for p in plans if "Broadcast" in p]
+    assert sum("SortMergeJoin" in p for p in plans) > 10

@@ -180,7 +180,8 @@ def _meetings(rows: DataFrame) -> DataFrame:
     placed = rows.select("k", "l", "n", "bitmap", "v", "u", F.posexplode("u").alias("at", "h")).withColumn("earlier", F.slice("u", F.lit(1), F.col("at"))).drop("u", "at")
     of = lambda x: placed.select("h", F.col("k").alias(x), *[F.col(c).alias(f"{name}_{x}") for c, name in (("l", "l"), ("n", "n"), ("bitmap", "map"), ("v", "v"), ("earlier", "earlier"))])
     once = "arrays_overlap(v_a, v_b) and not arrays_overlap(earlier_a, earlier_b)"
-    return of("a").join(of("b"), "h").where(f"a < b and l_a <> l_b and {PLAUSIBLE} and {once}").select("a", "b")
+    # By merging: Spark sizes rows after an explode as those before it and would broadcast them.
+    return of("a").join(of("b").hint("merge"), "h").where(f"a < b and l_a <> l_b and {PLAUSIBLE} and {once}").select("a", "b")
 
 
 def _connected(nodes: DataFrame, verifier: Verifier, dense: int, rounds: int) -> DataFrame | None:
@@ -189,7 +190,7 @@ def _connected(nodes: DataFrame, verifier: Verifier, dense: int, rounds: int) ->
     shared = materialise(halves.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared")
     passing = nodes.select("k", F.explode(_kept(F.concat("u", "v"), bit_filter(shared))).alias("h"))
     # The filter spares the exchange of keys of one node; the few that it lets through wrongly go by the join.
-    held = materialise(passing.join(shared, "h"), "halves")
+    held = materialise(passing.join(shared.hint("merge"), "h"), "halves")
     links, labels, apart = _rounds(held, verifier, dense, rounds)
 
     # Nodes with keys on both sides that several components still hold meet each other.
